@@ -41,7 +41,7 @@ def parse_log3(value: Column) -> Column:
     """STRUCT<subject_id, activity, ts_ns, values> of ``user,activity,ts,x,y,z;`` - NULL for a bad line."""
     text = F.trim(value)
     text = F.when(text.endswith(";"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    parts = F.transform(F.split(text, ",", -1), F.trim)
+    parts = F.transform(F.split(text, ",", -1), lambda part: F.trim(part))
     user = F.get(parts, F.lit(0)).try_cast("bigint")
     ts = F.get(parts, F.lit(2)).try_cast("bigint")
     values = F.transform(F.slice(parts, 4, 3), lambda v: v.try_cast("double"))
