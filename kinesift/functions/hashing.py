@@ -7,6 +7,8 @@ depend on which task saw a row first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,17 +44,19 @@ def pick(items: Column, indices: Column) -> Column:
     return F.transform(indices, lambda i: F.get(items, i))
 
 
-def hash_cutoff(df: DataFrame, hashed: Column, n: int) -> str | None:
-    """The n-th smallest hash of ``df``, so that ``hash <= cutoff`` keeps exactly n rows.
+def hash_cutoff(df: DataFrame, hashed: Column, wanted: int | Callable[[int], int]) -> str | None:
+    """The n-th smallest hash of ``df``, so that ``hash <= cutoff`` keeps exactly n rows; None for n = 0.
 
-    Two passes: counts by 4-digit prefix (at most 65,536 numbers reach the driver), then the
-    order inside the one prefix that holds the n-th hash. Hashes must be distinct.
+    ``wanted`` is n or a function of the row count. Two passes: counts by 4-digit prefix (at most
+    65,536 numbers reach the driver), then the order inside the one prefix that holds the n-th
+    hash. Hashes must be distinct.
     """
-    if n <= 0:
-        return None
     hashes = df.select(hashed.alias("h"))
     counts = hashes.groupBy(F.substring("h", 1, 4).alias("p")).count().collect()
-    left = n
+    total = sum(r["count"] for r in counts)
+    left = wanted(total) if callable(wanted) else wanted
+    if left <= 0:
+        return None
     for row in sorted(counts, key=lambda r: r["p"]):
         if left <= row["count"]:
             inside = hashes.filter(F.substring("h", 1, 4) == row["p"])

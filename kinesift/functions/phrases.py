@@ -258,13 +258,15 @@ def axis_mentions() -> list[tuple[str, str]]:
     return sorted(known, key=lambda m: -len(m[0]))
 
 
-def worded(value: Column, words: dict[str, str], otherwise: Column) -> Column:
-    """``words[value]`` as a CASE."""
-    chain = None
-    for key, text in words.items():
-        hit = F.lit(text)
-        chain = F.when(value == key, hit) if chain is None else chain.when(value == key, hit)
-    return chain.otherwise(otherwise)
+def quoted(text: object) -> str:
+    return "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def worded(value: Column, words: dict, otherwise: Column | None = None) -> Column:
+    """``words[value]``, looked up in one map literal."""
+    pairs = ", ".join(f"{k if isinstance(k, int) else quoted(k)}, {quoted(v)}" for k, v in words.items())
+    found = F.try_element_at(F.expr(f"map({pairs})"), value)
+    return found if otherwise is None else F.coalesce(found, otherwise)
 
 
 def spelled(value: Column) -> Column:

@@ -20,18 +20,21 @@ from kinesift.functions.phrases import (
     VOCABULARY,
     axis_allowed,
     axis_mentions,
+    quoted,
+    worded,
 )
 
 FIELD_STRUCT = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 
 
 def first_mention(lower: Column, phrases: list[tuple[str, str]]) -> Column:
-    """Value of the first listed phrase that occurs; NULL when none does."""
-    chain = None
-    for phrase, value in phrases:
-        found = F.contains(lower, F.lit(phrase))
-        chain = F.when(found, value) if chain is None else chain.when(found, value)
-    return chain
+    """Value of the first listed phrase that occurs; NULL when none does.
+
+    The list is one array literal: a loop over it stays small enough to be compiled, a CASE arm per phrase
+    does not.
+    """
+    listed = ", ".join(f"named_struct('p', {quoted(p)}, 'v', {quoted(v)})" for p, v in phrases)
+    return F.get(F.filter(F.expr(f"array({listed})"), lambda m: F.contains(lower, m["p"])), F.lit(0))["v"]
 
 
 def caption_claims(lower: Column) -> Column:
@@ -207,11 +210,8 @@ def model_fields(response: Column, dataset_id: Column) -> Column:
         raw = F.lower(F.trim(parsed[f]))
         value = F.translate(raw, "- ", "__")
         if f == "dominant_axis":
-            spoken = F.replace(raw, F.lit("_"), F.lit(" "))
-            chain = None
-            for phrase, axis in phrases.items():
-                chain = F.when(spoken == phrase, axis) if chain is None else chain.when(spoken == phrase, axis)
-            out[f] = F.when(axis_allowed(dataset_id, value), value).when(axis_allowed(dataset_id, chain), chain)
+            spoken = worded(F.replace(raw, F.lit("_"), F.lit(" ")), phrases)
+            out[f] = F.when(axis_allowed(dataset_id, value), value).when(axis_allowed(dataset_id, spoken), spoken)
         else:
             out[f] = F.when(value.isin(VOCABULARY[f]), value)
     return F.struct(*[out[f].alias(f) for f in FIELDS])

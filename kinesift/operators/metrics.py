@@ -118,14 +118,13 @@ def macro_f1(rows: DataFrame, truth: str, guess: str) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     hit = F.when(F.col("t") == F.col("g"), F.col("n")).otherwise(0)
-    sides = pairs.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("t").alias("label"), hit.alias("tp"), F.lit(0).cast("bigint").alias("fp"), (F.col("n") - hit).alias("fn")),
-                F.struct(F.col("g"), F.lit(0).cast("bigint"), F.col("n") - hit, F.lit(0).cast("bigint")),
-            )
-        )
-    )
+    none = F.lit(0).cast("bigint")
+
+    def side(label: str, tp: Column, fp: Column, fn: Column) -> Column:
+        return F.struct(F.col(label).alias("label"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+
+    miss = F.col("n") - hit
+    sides = pairs.select(F.inline(F.array(side("t", hit, none, miss), side("g", none, miss, none))))
     per_label = sides.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
     return per_label.agg(
         F.coalesce(F.avg(f1_of(F.col("tp"), F.col("fp"), F.col("fn"))), F.lit(0.0)).alias("macro_f1"),

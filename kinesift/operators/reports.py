@@ -105,17 +105,20 @@ def per_fact_accuracy(rows: DataFrame, records: DataFrame, literal: bool = False
         _facts_of(records, literal), "window_id", "left"
     )
     right = F.coalesce(F.col("caption_prediction") == F.col("caption_answer_index"), F.lit(False))
-    named = joined.select(
-        right.cast("int").alias("right"),
-        F.array(
-            F.struct(F.lit("overall").alias("grouping"), F.lit("all").alias("fact")),
-            F.struct(F.lit("gold"), candidate_fact(F.col("_candidates"), _place(F.col("caption_answer_index")))),
-            F.when(
-                ~right, F.struct(F.lit("predicted_wrong"), candidate_fact(F.col("_candidates"), _place(F.col("caption_prediction"))))
-            ),
-        ).alias("g"),
+
+    def group(grouping: str, fact: Column) -> Column:
+        return F.struct(F.lit(grouping).alias("grouping"), fact.alias("fact"))
+
+    gold = candidate_fact(F.col("_candidates"), _place(F.col("caption_answer_index")))
+    chosen = candidate_fact(F.col("_candidates"), _place(F.col("caption_prediction")))
+    groups = F.concat(
+        F.array(group("overall", F.lit("all")), group("gold", gold)),
+        F.when(right, F.array().cast("array<struct<grouping:string,fact:string>>")).otherwise(
+            F.array(group("predicted_wrong", chosen))
+        ),
     )
-    opened = named.select("right", F.explode(F.filter("g", lambda g: g.isNotNull())).alias("g"))
+    named = joined.select(right.cast("int").alias("right"), groups.alias("g"))
+    opened = named.select("right", F.explode("g").alias("g"))
     return opened.groupBy(F.col("g.grouping").alias("grouping"), F.col("g.fact").alias("fact")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("right").alias("accuracy")
     )

@@ -57,43 +57,53 @@ def prefix_scan(
     )
 
 
+FEW_VALUES = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
     """Linear-interpolated quantiles of several columns, exact at any size.
 
-    Values are counted first, then ranked by :func:`prefix_scan`; at most two values per quantile
-    and column come back to the driver.
+    Values are counted first. Up to a million distinct values fit one aggregate; beyond that they are
+    ranked by :func:`prefix_scan` and at most two values per quantile and column come back.
     """
     stacked = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))
     ).filter(F.col("value").isNotNull())
-    counted = stacked.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = prefix_scan(counted, ["metric", "value"], {"through": F.col("n")})
-    sizes = {r["metric"]: r["n"] for r in ranked.groupBy("metric").agg(F.sum("n").alias("n")).collect()}
-    missing = [c for c in columns if c not in sizes]
+    counted = durable(stacked.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")))
+    if counted.count() <= FEW_VALUES:
+        rows = counted.groupBy("metric").agg(F.percentile("value", probabilities, F.col("n")).alias("q")).collect()
+        found = {r["metric"]: list(r["q"]) for r in rows}
+    else:
+        found = _ranked_quantiles(counted, probabilities)
+    missing = [c for c in columns if c not in found]
     if missing:
         raise ValueError(f"no values to take quantiles of: {missing}")
-    start, offset = {}, 0
+    return found
+
+
+def _ranked_quantiles(counted: DataFrame, probabilities: list[float]) -> dict[str, list[float]]:
+    """Quantiles of (metric, value, n) rows from running counts over all of them."""
+    ranked = prefix_scan(counted, ["metric", "value"], {"through": F.col("n")})
+    sizes = {r["metric"]: r["n"] for r in ranked.groupBy("metric").agg(F.sum("n").alias("n")).collect()}
+    wanted, offset = {}, 0
     for metric in sorted(sizes):
-        start[metric], offset = offset, offset + sizes[metric]
-    wanted = {}
-    for metric in columns:
         for p in probabilities:
             place = p * (sizes[metric] - 1)
             low = math.floor(place)
-            wanted[metric, p] = (start[metric] + low, start[metric] + min(low + 1, sizes[metric] - 1), place - low)
+            wanted[metric, p] = (offset + low, offset + min(low + 1, sizes[metric] - 1), place - low)
+        offset += sizes[metric]
     ranks = sorted({r for low, high, _ in wanted.values() for r in (low, high)})
-    holds = [(F.col("through") - F.col("n") <= r) & (F.col("through") > r) for r in ranks]
-    any_held = holds[0]
-    for h in holds[1:]:
-        any_held = any_held | h
-    hits = ranked.filter(any_held).select("value", "n", "through").collect()
+    held = F.lit(False)
+    for r in ranks:
+        held = held | ((F.col("through") - F.col("n") <= r) & (F.col("through") > r))
+    hits = ranked.filter(held).select("value", "n", "through").collect()
     at = {r: next(h["value"] for h in hits if h["through"] - h["n"] <= r < h["through"]) for r in ranks}
     return {
         metric: [
             at[low] if at[low] == at[high] else at[low] + (at[high] - at[low]) * part
             for low, high, part in (wanted[metric, p] for p in probabilities)
         ]
-        for metric in columns
+        for metric in sizes
     }
 
 

@@ -187,11 +187,12 @@ def subject_split(
     cutoff hash, so the big table is not joined.
     """
     subjects = samples.select(F.col(subject).cast("string").alias("s")).filter(F.col("s").isNotNull()).distinct()
-    n = subjects.count()
-    if n <= 1:
+    def test_count(n: int) -> int:
+        return 0 if n <= 1 else max(1, min(n - 1, round(n * test_ratio)))
+
+    cutoff = hash_cutoff(subjects, order_hash(seed, F.col("s")), test_count)
+    if cutoff is None:
         return F.lit("train")
-    n_test = max(1, min(n - 1, round(n * test_ratio)))
-    cutoff = hash_cutoff(subjects, order_hash(seed, F.col("s")), n_test)
     return F.when(order_hash(seed, F.col(subject)) <= cutoff, "test").otherwise("train")
 
 

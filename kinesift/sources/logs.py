@@ -62,7 +62,7 @@ def parse_log21(value: Column) -> Column:
     parts = F.split(F.trim(value), r"\s+")
     numbers = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: v.try_cast("double"))
     label = F.element_at(parts, -1).try_cast("double").cast("int")
-    activity = worded(label, ACTIVITY_LABELS_12, F.lit(None).cast("string"))
+    activity = worded(label, ACTIVITY_LABELS_12)
     good = (F.size(parts) >= 24) & ~F.exists(numbers, lambda v: v.isNull()) & activity.isNotNull()
     kept = F.concat(*[F.slice(numbers, first, count) for first, count in KEPT_VALUES])
     return F.when(good, F.struct(activity.alias("activity"), kept.alias("values")))
