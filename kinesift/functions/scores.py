@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kinesift.functions.arrays import dot, first_argmax, one_hot, sum_squares, total
 from kinesift.functions.captions import Card
 from kinesift.functions.phrases import FIELDS, VOCABULARY
-from kinesift.functions.textfields import claim_count, statement_claims
 
 # ---- Fixed values: rule systems (fields, penalty) and the words that count as a contradiction ----
 RULE_SYSTEMS = {
@@ -139,18 +138,21 @@ def statement_vector(evidence: Column, claims: Column, feature_mode: str = "orac
     )
 
 
-def field_match_score(vector: Column) -> Column:
-    """Matches over claims from a statement vector's last ten places; any mismatch holds it at .1 or below."""
-    matches = total(F.slice(vector, -10, 5))
-    clashes = total(F.slice(vector, -5, 5))
-    share = matches / F.greatest(matches + clashes, F.lit(1.0))
-    return F.when(clashes > 0, F.least(share, F.lit(0.1))).otherwise(share)
+def claim_matches(evidence: Column, claims: Column) -> tuple[Column, Column]:
+    """How many claims equal the card and how many do not."""
+    same, other = F.lit(0), F.lit(0)
+    for f in FIELDS:
+        same = same + F.coalesce(claims[f] == evidence[f], F.lit(False)).cast("int")
+        other = other + F.coalesce(claims[f] != evidence[f], F.lit(False)).cast("int")
+    return same, other
 
 
-def claim_scores(texts: Column, probabilities: Column) -> Column:
-    """Probability scores of an ARRAY of texts."""
-    return F.transform(texts, lambda t: probability_score(statement_claims(F.lower(t)), probabilities))
+def field_match(matches: Column, clashes: Column) -> Column:
+    """Matches over claims; any mismatch holds it at .1 or below."""
+    share = matches / F.greatest(matches + clashes, F.lit(1))
+    return F.when(clashes > 0, F.least(share, F.lit(0.1))).otherwise(share)
 
 
-def has_claims(claims: Column) -> Column:
-    return claim_count(claims) > 0
+def field_match_score(vector: Column) -> Column:
+    """:func:`field_match` from the last ten places of a statement vector."""
+    return field_match(total(F.slice(vector, -10, 5)), total(F.slice(vector, -5, 5)))

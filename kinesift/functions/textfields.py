@@ -30,11 +30,13 @@ FIELD_STRUCT = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 def first_mention(lower: Column, phrases: list[tuple[str, str]]) -> Column:
     """Value of the first listed phrase that occurs; NULL when none does.
 
-    The list is one array literal: a loop over it stays small enough to be compiled, a CASE arm per phrase
+    The lists are array literals: a loop over them stays small enough to be compiled, a CASE arm per phrase
     does not.
     """
-    listed = ", ".join(f"named_struct('p', {quoted(p)}, 'v', {quoted(v)})" for p, v in phrases)
-    return F.get(F.filter(F.expr(f"array({listed})"), lambda m: F.contains(lower, m["p"])), F.lit(0))["v"]
+    texts = F.expr(f"array({', '.join(quoted(p) for p, _ in phrases)})")
+    values = F.expr(f"array({', '.join(quoted(v) for _, v in phrases)})")
+    found = F.array_position(F.transform(texts, lambda p: F.contains(lower, p)), True)
+    return F.get(values, found.cast("int") - 1)
 
 
 def caption_claims(lower: Column) -> Column:

@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from kinesift.functions.arrays import first_argmax, item
 from kinesift.functions.captions import card_of
 from kinesift.functions.scores import (
+    claim_matches,
     cosine,
-    field_match_score,
+    field_match,
     predicted_fields,
     probability_score,
     rule_answer,
@@ -46,21 +47,38 @@ def _lowered(items: Column) -> Column:
     return F.transform(items, lambda c: F.lower(c["text"]))
 
 
-def _judged(records: DataFrame, keep: list[str], score: Callable[[Column], Column]) -> DataFrame:
-    """Scores the candidates and the support items of every record with ``score(lower-case text)``."""
+def _judged(
+    records: DataFrame,
+    keep: list[str],
+    score: Callable[[Column], Column],
+    read: Callable[[Column], Column] = lambda t: t,
+    to: str = "support_probabilities",
+) -> DataFrame:
+    """Scores the candidates and the support items of every record.
+
+    ``read`` turns a lower-case text into what ``score`` takes; it runs once per text, in a step of its own,
+    because an expression repeated inside one lambda would be computed each time.
+    """
     kept = [c for c in dict.fromkeys(["window_id", *keep]) if c in records.columns]
     listed = records.select(
         *kept,
         F.col("caption_selection")["answer_index"].alias("caption_answer_index"),
         _lowered(F.col("caption_selection")["candidates"]).alias("_candidates"),
         support_items().alias("support_items"),
-    ).withColumn("_statements", _lowered(F.col("support_items")))
-    return listed.select(
+    )
+    understood = listed.select(
+        *kept,
+        "caption_answer_index",
+        "support_items",
+        F.transform("_candidates", read).alias("_candidates"),
+        F.transform(_lowered(F.col("support_items")), read).alias("_statements"),
+    )
+    return understood.select(
         *kept,
         "caption_answer_index",
         "support_items",
         F.transform("_candidates", score).alias("caption_scores"),
-        F.transform("_statements", score).alias("support_probabilities"),
+        F.transform("_statements", score).alias(to),
     ).withColumn("caption_prediction", first_argmax(F.col("caption_scores")))
 
 
@@ -89,34 +107,17 @@ def structured_rows(
     """
     text = shown_evidence(F.col("evidence_text"), F.col("evidence"))
     read = records.withColumn("evidence_fields", fields if fields is not None else evidence_fields(text, bounds))
-    kept = ["dataset_id", "evidence_fields", *(["candidate_index_map"] if "candidate_index_map" in records.columns else [])]
-    listed = read.select(
-        "window_id",
-        *kept,
-        F.col("caption_selection")["answer_index"].alias("caption_answer_index"),
-        _lowered(F.col("caption_selection")["candidates"]).alias("_candidates"),
-        support_items().alias("support_items"),
-    ).withColumn("_statements", _lowered(F.col("support_items")))
-    claimed = listed.select(
-        "*",
-        F.transform("_candidates", caption_claims).alias("_candidate_claims"),
-        F.transform("_statements", caption_claims).alias("_statement_claims"),
-    )
-    held = claimed.select(
-        "window_id",
-        *kept,
-        "caption_answer_index",
-        "support_items",
-        F.transform(
-            "_candidate_claims", lambda c: F.when(supports(c, F.col("evidence_fields")), 1.0).otherwise(0.0)
-        ).alias("caption_scores"),
-        F.transform("_statement_claims", lambda c: supports(c, F.col("evidence_fields"))).alias("support_predictions"),
-    )
-    return held.select(
-        "*",
-        first_argmax(F.col("caption_scores")).alias("caption_prediction"),
-        fields_complete(F.col("evidence_fields")).alias("parse_complete"),
+    own = F.col("evidence_fields")
+    held = _judged(
+        read,
+        ["dataset_id", "evidence_fields", "candidate_index_map"],
+        lambda c: supports(c, own),
+        caption_claims,
+        to="support_predictions",
     )
+    return held.withColumn(
+        "caption_scores", F.transform("caption_scores", lambda h: F.when(h, 1.0).otherwise(0.0))
+    ).select("*", fields_complete(own).alias("parse_complete"))
 
 
 def structured_rows_from_answers(records: DataFrame, answers: DataFrame) -> DataFrame:
@@ -130,7 +131,8 @@ def probability_rows(records: DataFrame, probabilities: str = "field_probabiliti
     rows = _judged(
         records,
         ["dataset_id", probabilities, "evidence"],
-        lambda t: probability_score(statement_claims(t), F.col(probabilities)),
+        lambda c: probability_score(c, F.col(probabilities)),
+        statement_claims,
     )
     told = rows.withColumn("evidence_predictions", predicted_fields(F.col(probabilities)))
     guess, card = F.col("evidence_predictions"), F.col("evidence")
@@ -275,7 +277,8 @@ def field_match_rows(records: DataFrame) -> DataFrame:
     return _judged(
         records,
         ["dataset_id", "evidence"],
-        lambda t: field_match_score(statement_vector(card, statement_claims(t))),
+        lambda c: field_match(*claim_matches(card, c)),
+        statement_claims,
     ).drop("evidence")
 
 

@@ -17,6 +17,9 @@ def get_spark(app_name: str = "kinesift", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Rows here are small and costly to work on: keep every core busy on small tables. Large tables
+        # follow the advisory partition size as usual.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
         **conf,
