@@ -47,7 +47,7 @@ def evidence_text(spark, d):
 
 @check("counterfactuals", "SELECT window_id, CAST(i - 1 AS INT) AS pos, text, fact AS changed_fact FROM easy_items WHERE i > 0")
 def counterfactuals(spark, d):
-    c = easy(spark, d).select("window_id", F.posexplode("counterfactuals").alias("pos", "c"))
+    c = easy(spark, d).select("window_id", F.posexplode_outer("counterfactuals").alias("pos", "c"))
     return c.select("window_id", "pos", "c.text", "c.changed_fact")
 
 
@@ -58,7 +58,7 @@ def counterfactuals(spark, d):
     ' movement pattern with ', dominant_frequency, ' frequency and a ', {cx.TREND}, ' trend.') FROM ev_cards""",
 )
 def paraphrases(spark, d):
-    return easy(spark, d).select("window_id", F.posexplode("paraphrases").alias("pos", "c")).select("window_id", "pos", "c.text")
+    return easy(spark, d).select("window_id", F.posexplode_outer("paraphrases").alias("pos", "c")).select("window_id", "pos", "c.text")
 
 
 @check(
@@ -70,11 +70,11 @@ def paraphrases(spark, d):
     'counterfactual' FROM ev_cards""",
 )
 def questions(spark, d):
-    return easy(spark, d).select("window_id", F.inline("qa")).select("window_id", "fact", "question", "answer")
+    return easy(spark, d).select("window_id", F.inline_outer("qa")).select("window_id", "fact", "question", "answer")
 
 
 def _choices(records):
-    c = records.select("window_id", F.col("caption_selection.answer_index").alias("answer"), F.posexplode("caption_selection.candidates").alias("pos", "c"))
+    c = records.select("window_id", F.col("caption_selection.answer_index").alias("answer"), F.posexplode_outer("caption_selection.candidates").alias("pos", "c"))
     return c.select("window_id", "answer", "pos", "c.text", "c.supported")
 
 
@@ -94,7 +94,7 @@ for _v in ("v1", "v2", "v3"):
 
     def _hard_texts(spark, d, v=_v):
         records = hard(spark, d, v)
-        rows = records.select("window_id", F.posexplode(F.concat(F.array("positive"), "counterfactuals")).alias("i", "c"))
+        rows = records.select("window_id", F.posexplode_outer(F.concat(F.array("positive"), "counterfactuals")).alias("i", "c"))
         return rows.select("window_id", "i", "c.text", F.coalesce("c.changed_fact", F.lit("")).alias("fact"))
 
     check(f"hard_texts_{_v}", f"SELECT window_id, CAST(i AS INT) AS i, text, coalesce(fact, '') AS fact FROM hard_{_v}_items")(_hard_texts)
@@ -353,7 +353,7 @@ def statement_claims(spark, d):
 
     def part(records, offset):
         items = F.concat(F.array("positive"), "counterfactuals")
-        rows = records.select("window_id", F.posexplode(items).alias("i", "c"))
+        rows = records.select("window_id", F.posexplode_outer(items).alias("i", "c"))
         named = rows.select("window_id", (F.col("i") + offset).alias("i"), tf.statement_claims(F.lower("c.text")).alias("c"))
         return named.select("window_id", "i", *[F.coalesce(F.col("c")[f], F.lit("-")).alias(f) for f in ph.FIELDS])
 
@@ -466,7 +466,7 @@ def hashed_words(spark, d):
 def card_tokens(spark, d):
     from kinesift.operators.words import card_tokens as tokens
 
-    return views.cards(spark, d).select("window_id", F.explode(tokens("rich")).alias("token"))
+    return views.cards(spark, d).select("window_id", F.explode_outer(tokens("rich")).alias("token"))
 
 
 _ONE_HOTS = [(f, w) for f in ph.FIELDS for w in ph.VOCABULARY[f]]

@@ -65,7 +65,7 @@ RIGHT = "CAST(coalesce(pred, 0) = answer AS INT)"
 @check("verified_statements", "SELECT window_id, CAST(i AS INT) AS i, held = 1 AS held FROM v3_held")
 def verified_statements(spark, d):
     _, rows = structured(spark, d)
-    return rows.select("window_id", F.posexplode("support_predictions").alias("i", "held"))
+    return rows.select("window_id", F.posexplode_outer("support_predictions").alias("i", "held"))
 
 
 def _prf_sql(src: str) -> str:
@@ -132,7 +132,7 @@ for _system in ("B1", "B2", "B3", "M1"):
 @check("rule_scores", f"SELECT window_id, CAST(i AS INT) AS i, {q6('s')} AS score FROM ({_rule_sql('M1')})")
 def rule_scores(spark, d):
     rows = evaluate.rule_rows(easy(spark, d), "M1")
-    return tight(rows.select("window_id", F.posexplode("support_probabilities").alias("i", "score")))
+    return tight(rows.select("window_id", F.posexplode_outer("support_probabilities").alias("i", "score")))
 
 
 @check(
@@ -144,7 +144,7 @@ def rule_scores(spark, d):
 def embedding_cosines(spark, d):
     rows = evaluate.cosine_rows(vector_sets(spark, d))
     every = F.concat("caption_scores", F.array("positive_score"), "counterfactual_scores")
-    opened = rows.select(F.col("window_id").cast("bigint").alias("vec_id"), F.posexplode(every).alias("k", "score"))
+    opened = rows.select(F.col("window_id").cast("bigint").alias("vec_id"), F.posexplode_outer(every).alias("k", "score"))
     return tight(opened.select("vec_id", (F.col("k") + 1).cast("bigint").alias("k"), "score"))
 
 
@@ -225,7 +225,7 @@ def with_probabilities(records):
 @check("probability_scores", f"SELECT window_id, CAST(i AS INT) AS i, {q6('s')} AS score FROM v3_prob")
 def probability_scores(spark, d):
     rows = evaluate.probability_rows(with_probabilities(hard(spark, d)))
-    return tight(rows.select("window_id", F.posexplode("support_probabilities").alias("i", "score")))
+    return tight(rows.select("window_id", F.posexplode_outer("support_probabilities").alias("i", "score")))
 
 
 @check("field_predictions", "SELECT window_id, field, word FROM field_guess")
@@ -312,7 +312,7 @@ def field_probability_report(spark, d):
 )
 def field_match_scores(spark, d):
     rows = evaluate.field_match_rows(hard(spark, d))
-    return tight(rows.select("window_id", F.posexplode("support_probabilities").alias("i", "score")))
+    return tight(rows.select("window_id", F.posexplode_outer("support_probabilities").alias("i", "score")))
 
 
 @check(
@@ -901,7 +901,7 @@ def score_invariance(spark, d):
 
     def scores_of(r):
         rows = evaluate.probability_rows(r)
-        return rows.select("window_id", F.posexplode("support_probabilities").alias("pos", "score"))
+        return rows.select("window_id", F.posexplode_outer("support_probabilities").alias("pos", "score"))
 
     before = scores_of(records)
     changed = audit.changed_rows(before, scores_of(altered)).select(F.col("side").alias("outcome"))

@@ -246,7 +246,7 @@ def window_rms(spark, d):
 
 @check("axis_energy", f"SELECT window_id, CAST(ch AS INT) AS channel, {q6('e')} AS energy FROM gr_ch")
 def axis_energy(spark, d):
-    return tight(_grid_stats(spark, d).select("window_id", F.posexplode("axis_energy").alias("channel", "energy")))
+    return tight(_grid_stats(spark, d).select("window_id", F.posexplode_outer("axis_energy").alias("channel", "energy")))
 
 
 @check("dominant_frequency", f"SELECT window_id, {q6('hz')} AS hz, {q6('ratio')} AS ratio FROM tn_spec")
@@ -344,14 +344,14 @@ def unusable_windows(spark, d):
 @check("window_features", f"SELECT window_id, CAST(pos AS INT) AS pos, {q6('x')} AS x FROM gr_feat")
 def window_features(spark, d):
     f = si.window_features(views.grid_windows(spark, d), channels=4)
-    return tight(f.select("window_id", F.posexplode("features").alias("pos", "x")))
+    return tight(f.select("window_id", F.posexplode_outer("features").alias("pos", "x")))
 
 
 @check("feature_zscores", f"SELECT window_id, CAST(pos AS INT) AS pos, {q6('z')} AS z FROM gr_z")
 def feature_zscores(spark, d):
     f = si.window_features(views.grid_windows(spark, d), channels=4)
     z = cn.fit_zscore(f.filter("split = 'train'"))
-    return tight(f.select("window_id", F.posexplode(z.apply(F.col("features"))).alias("pos", "z")))
+    return tight(f.select("window_id", F.posexplode_outer(z.apply(F.col("features"))).alias("pos", "z")))
 
 
 @check("sensor_scale", f"SELECT {q6('avg(v)')} AS mean, {q6('CASE WHEN stddev_pop(v) < 1e-6 THEN 1 ELSE stddev_pop(v) END')} AS std FROM grid_long")

@@ -46,10 +46,11 @@ def shortcut_hits(records: DataFrame, phrases: list[str] = SHORTCUT_PHRASES, by:
 
 
 def changed_fact_counts(records: DataFrame, by: list[str] = []) -> DataFrame:
-    opened = records.select(*by, F.explode("counterfactuals").alias("c"))
+    opened = records.select(*by, F.explode_outer("counterfactuals").alias("c"))
     single = F.when(F.length(F.col("c.changed_fact")) > 0, F.array("c.changed_fact"))
     facts = F.when(F.size("c.changed_facts") > 0, F.col("c.changed_facts")).otherwise(single)
-    return opened.select(*by, F.explode(facts).alias("fact")).groupBy(*by, "fact").agg(F.count(F.lit(1)).alias("n"))
+    named = opened.select(*by, F.explode_outer(facts).alias("fact")).filter(F.col("fact").isNotNull())
+    return named.groupBy(*by, "fact").agg(F.count(F.lit(1)).alias("n"))
 
 
 def subject_overlap(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -209,7 +209,7 @@ def statements(records: DataFrame) -> DataFrame:
         tagged(F.coalesce("paraphrases", F.array().cast(f"array<{CANDIDATE}>")), "paraphrase"),
         tagged(F.col("counterfactuals"), "counterfactual"),
     )
-    return records.select("window_id", "evidence", F.inline(rows)).withColumn(
+    return records.select("window_id", "evidence", F.inline_outer(rows)).withColumn(
         "label", (F.col("kind") != "counterfactual").cast("int")
     )
 

@@ -29,7 +29,7 @@ class ZScore:
 def fit_zscore(features: DataFrame, column: str = "features") -> ZScore:
     """One row per feature position comes back to the driver (the vector's length)."""
     rows = (
-        features.select(F.posexplode(column).alias("p", "x"))
+        features.select(F.posexplode_outer(column).alias("p", "x"))
         .groupBy("p")
         .agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
         .orderBy("p")
@@ -40,7 +40,7 @@ def fit_zscore(features: DataFrame, column: str = "features") -> ZScore:
 
 def sensor_scale(windows: DataFrame, sensor: str = "sensor") -> DataFrame:
     """One row: mean and population deviation over every value of every window (under 1e-6 counts as 1)."""
-    spread = windows.select(F.explode(F.flatten(F.col(sensor))).alias("v")).agg(
+    spread = windows.select(F.explode_outer(F.flatten(F.col(sensor))).alias("v")).agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")
     )
     return spread.select("mean", F.when(F.col("std") < 1e-6, 1.0).otherwise(F.col("std")).alias("std"))
@@ -81,7 +81,7 @@ def fit_centroids(features: DataFrame, label: str = "label", column: str = "feat
     """Class means of the z-scored features. Labels are a closed set; more than 10,000 are refused."""
     scale = fit_zscore(features, column)
     means = (
-        features.select(F.col(label).cast("string").alias("label"), F.posexplode(scale.apply(F.col(column))).alias("p", "x"))
+        features.select(F.col(label).cast("string").alias("label"), F.posexplode_outer(scale.apply(F.col(column))).alias("p", "x"))
         .groupBy("label", "p")
         .agg(F.avg("x").alias("m"))
         .groupBy("label")

@@ -323,7 +323,7 @@ def classifier_rows(records: DataFrame, model, feature_mode: str = "oracle_field
     texts = listed.select(
         "window_id",
         "evidence",
-        F.inline(
+        F.inline_outer(
             F.concat(
                 F.col("_c"),
                 F.transform(

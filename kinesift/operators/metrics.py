@@ -98,7 +98,7 @@ def support_rows(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
         else F.transform("support_predictions", lambda p: p.cast("double"))
     )
     zipped = F.arrays_zip(F.col("support_items").alias("s"), judged.alias("p"), score.alias("v"))
-    opened = rows.select("window_id", F.posexplode(zipped).alias("pos", "x"))
+    opened = rows.select("window_id", F.posexplode_outer(zipped).alias("pos", "x")).filter(F.col("pos").isNotNull())
     return opened.select(
         "window_id",
         "pos",
@@ -224,21 +224,21 @@ def _replicates(rows: DataFrame, key: str, values: list[str], n_bootstrap: int,
     """Weighted sums per replicate. Rows meet in at most ``groups`` hash groups first, so cost past that one
     aggregate does not grow with the table; up to that many rows a group is about one row. Replicate -1 is
     the table itself."""
-    grouped = rows.groupBy(F.pmod(hex_number(order_hash("g", F.col(key)), 8), F.lit(groups)).alias("g")).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(v) for v in values]
+    grouped = rows.groupBy(F.pmod(hex_number(order_hash("g", F.col(key)), 8), F.lit(groups)).alias("_g")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(v) for v in values]
     )
-    drawn = grouped.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n_bootstrap - 1))).alias("b")).withColumn(
-        "w", F.when(F.col("b") < 0, 1).otherwise(poisson_weight(hash_unit(seed, F.col("g"), F.col("b"))))
+    drawn = grouped.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n_bootstrap - 1))).alias("_b")).withColumn(
+        "_w", F.when(F.col("_b") < 0, 1).otherwise(poisson_weight(hash_unit(seed, F.col("_g"), F.col("_b"))))
     )
-    return drawn.groupBy("b").agg(
-        F.sum(F.col("w") * F.col("n")).alias("n"), *[F.sum(F.col("w") * F.col(v)).alias(v) for v in values]
+    return drawn.groupBy("_b").agg(
+        F.sum(F.col("_w") * F.col("_n")).alias("_n"), *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values]
     )
 
 
 def _interval(replicates: DataFrame, value: Column, alpha: float) -> DataFrame:
     """One row: point (replicate -1 weighs every row once), interval and tail shares of the others."""
-    drawn = F.when((F.col("b") >= 0) & (F.col("n") > 0), value)
-    whole = F.when(F.col("b") < 0, value)
+    drawn = F.when((F.col("_b") >= 0) & (F.col("_n") > 0), value)
+    whole = F.when(F.col("_b") < 0, value)
     q = F.percentile(drawn, [alpha / 2, 1 - alpha / 2])
     return replicates.agg(
         F.coalesce(F.max(whole), F.lit(0.0)).alias("point"),
@@ -246,7 +246,7 @@ def _interval(replicates: DataFrame, value: Column, alpha: float) -> DataFrame:
         F.coalesce(F.get(q, F.lit(1)), F.lit(0.0)).alias("upper"),
         F.avg((drawn <= 0).cast("int")).alias("low_tail"),
         F.avg((drawn >= 0).cast("int")).alias("high_tail"),
-        F.coalesce(F.max(F.when(F.col("b") < 0, F.col("n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.max(F.when(F.col("_b") < 0, F.col("_n"))), F.lit(0)).alias("n"),
     )
 
 
@@ -255,7 +255,7 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Mean of ``correct`` with a percentile interval over Poisson-weighted replicates."""
     boot = _replicates(rows, key, [correct], n_bootstrap, seed, groups)
-    return _interval(boot, F.col(correct) / F.col("n"), alpha).select("point", "lower", "upper", "n")
+    return _interval(boot, F.col(correct) / F.col("_n"), alpha).select("point", "lower", "upper", "n")
 
 
 def paired_bootstrap(
@@ -270,7 +270,7 @@ def paired_bootstrap(
 ) -> DataFrame:
     """Difference of two means on the same rows: point, interval and one-sided tail share."""
     boot = _replicates(pairs, key, [left, right], n_bootstrap, seed, groups)
-    spread = _interval(boot, (F.col(left) - F.col(right)) / F.col("n"), alpha)
+    spread = _interval(boot, (F.col(left) - F.col(right)) / F.col("_n"), alpha)
     tail = F.when(F.col("point") >= 0, F.col("low_tail")).otherwise(F.col("high_tail"))
     return spread.select("point", "lower", "upper", F.coalesce(tail, F.lit(1.0)).alias("p_value"), "n")
 

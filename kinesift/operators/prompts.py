@@ -146,7 +146,7 @@ def support_prompts(
 def yes_no_prompts(records: DataFrame) -> DataFrame:
     """One prompt per candidate."""
     shown = records.select(
-        "window_id", _evidence().alias("_e"), F.posexplode(F.col("caption_selection")["candidates"]).alias("pos", "_c")
+        "window_id", _evidence().alias("_e"), F.posexplode_outer(F.col("caption_selection")["candidates"]).alias("pos", "_c")
     )
     return shown.select(
         "window_id", "pos", _fill(YES_NO_PROMPT, evidence=F.col("_e"), options=F.col("_c")["text"]).alias("prompt")

@@ -118,7 +118,7 @@ def per_fact_accuracy(rows: DataFrame, records: DataFrame, literal: bool = False
         ),
     )
     named = joined.select(right.cast("int").alias("right"), groups.alias("g"))
-    opened = named.select("right", F.explode("g").alias("g"))
+    opened = named.select("right", F.explode_outer("g").alias("g"))
     return opened.groupBy(F.col("g.grouping").alias("grouping"), F.col("g.fact").alias("fact")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("right").alias("accuracy")
     )
@@ -172,7 +172,7 @@ def field_rejection(rows: DataFrame) -> DataFrame:
     )
     ok = F.when(F.col("kind") == "positive", F.col("predicted")).otherwise(~F.col("predicted"))
     return (
-        s.select(F.explode(groups).alias("field"), ok.cast("int").alias("ok"))
+        s.select(F.explode_outer(groups).alias("field"), ok.cast("int").alias("ok"))
         .groupBy("field")
         .agg(F.count(F.lit(1)).alias("total"), F.sum("ok").alias("right"), F.avg("ok").alias("recall"))
     )

@@ -14,7 +14,8 @@ def hashed_bag(texts: DataFrame, key: str, text: str, dim: int = 256) -> DataFra
 
     A document's tokens are summed to at most ``dim`` buckets before the shuffle.
     """
-    words = texts.select(key, F.explode(tokens(F.col(text))).alias("_w"))
+    # The outer form: an inner explode also filters by the array's size and would tokenise every text twice.
+    words = texts.select(key, F.explode_outer(tokens(F.col(text))).alias("_w")).filter(F.col("_w").isNotNull())
     counts = words.groupBy(key, (hex_number(F.md5("_w"), 8) % dim).alias("bucket")).agg(
         F.count(F.lit(1)).cast("double").alias("_n")
     )
