@@ -44,22 +44,33 @@ def pick(items: Column, indices: Column) -> Column:
     return F.transform(indices, lambda i: F.get(items, i))
 
 
+SMALL_BIN = 100_000
+
+
 def hash_cutoff(df: DataFrame, hashed: Column, wanted: int | Callable[[int], int]) -> str | None:
     """The n-th smallest hash of ``df``, so that ``hash <= cutoff`` keeps exactly n rows; None for n = 0.
 
-    ``wanted`` is n or a function of the row count. Two passes: counts by 4-digit prefix (at most
-    65,536 numbers reach the driver), then the order inside the one prefix that holds the n-th
-    hash. Hashes must be distinct.
+    ``wanted`` is n or a function of the row count. Rows are counted by 4-digit prefix (at most 65,536
+    numbers reach the driver), then again inside the one prefix that holds the n-th hash until few
+    rows share it; only those are sorted. Hashes must be distinct.
     """
     hashes = df.select(hashed.alias("h"))
-    counts = hashes.groupBy(F.substring("h", 1, 4).alias("p")).count().collect()
-    total = sum(r["count"] for r in counts)
-    left = wanted(total) if callable(wanted) else wanted
-    if left <= 0:
-        return None
-    for row in sorted(counts, key=lambda r: r["p"]):
-        if left <= row["count"]:
-            inside = hashes.filter(F.substring("h", 1, 4) == row["p"])
-            return inside.orderBy("h").limit(left).agg(F.max("h")).first()[0]
-        left -= row["count"]
-    return "g"
+    prefix, left, digits = "", None, 4
+    while True:
+        counts = hashes.groupBy(F.substring("h", 1, digits).alias("p")).count().collect()
+        if left is None:
+            total = sum(r["count"] for r in counts)
+            left = wanted(total) if callable(wanted) else wanted
+            if left <= 0:
+                return None
+            if left > total:
+                return "g"
+        for row in sorted(counts, key=lambda r: r["p"]):
+            if left <= row["count"]:
+                prefix = row["p"]
+                break
+            left -= row["count"]
+        hashes = hashes.filter(F.substring("h", 1, digits) == prefix)
+        if row["count"] <= SMALL_BIN:
+            return hashes.orderBy("h").limit(left).agg(F.max("h")).first()[0]
+        digits += 4

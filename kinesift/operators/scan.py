@@ -110,10 +110,11 @@ def _ranked_quantiles(counted: DataFrame, probabilities: list[float]) -> dict[st
 def cyclic_successor(df: DataFrame, key: str, hashed: Column, carry: list[str], prefix: str = "next_") -> DataFrame:
     """Add ``carry`` columns of the row that follows in hash order; the last row gets the first.
 
-    With two rows or more no row is its own successor. Rows are spread by hash prefix (even by
-    nature); the wrap between prefixes goes through one row per prefix.
+    With two rows or more no row is its own successor. Rows are spread over 65,536 hash prefixes (even by
+    nature); the wrap between prefixes goes through one row per prefix, joined on the key that the rows
+    are already spread by.
     """
-    rows = df.select("*", hashed.alias("_h")).withColumn("_slot", F.substring("_h", 1, 3))
+    rows = df.select("*", hashed.alias("_h")).withColumn("_slot", F.substring("_h", 1, 4))
     taken = F.struct(*[F.col(c) for c in carry])
     inside = Window.partitionBy("_slot").orderBy("_h", key)
     heads = rows.groupBy("_slot").agg(F.min_by(taken, F.struct("_h", key)).alias("_head"))
@@ -125,7 +126,7 @@ def cyclic_successor(df: DataFrame, key: str, hashed: Column, carry: list[str],
             F.first("_head").over(by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         ).alias("_following"),
     )
-    followed = rows.withColumn("_inner", F.lead(taken).over(inside)).join(F.broadcast(ring), "_slot")
+    followed = rows.withColumn("_inner", F.lead(taken).over(inside)).join(ring, "_slot")
     chosen = F.coalesce("_inner", "_following")
     return followed.select(*df.columns, *[chosen[c].alias(prefix + c) for c in carry])
 

@@ -9,6 +9,21 @@ from kinesift.functions.hashing import hash_cutoff, order_hash
 from kinesift.operators.scan import prefix_scan
 
 
+SLOT_ROWS = 2_000_000
+
+
+def balanced_slot(samples: DataFrame, *, time: str, subject: str = "subject_id", rows: int = SLOT_ROWS) -> Column:
+    """Time slots for :func:`segment_runs` in which even the busiest subject has about ``rows`` samples.
+
+    One small aggregate (count, first and last time per subject) sets the width; a quiet log gets one slot.
+    """
+    spans = samples.groupBy(subject).agg(
+        F.count(F.lit(1)).alias("n"), (F.max(time) - F.min(time) + 1).cast("double").alias("span")
+    )
+    found = spans.agg(F.min(F.when(F.col("n") > rows, F.col("span") * rows / F.col("n")))).first()[0]
+    return F.lit(0).cast("bigint") if found is None else F.floor(F.col(time) / F.lit(max(1, int(found))))
+
+
 def segment_runs(
     samples: DataFrame,
     *,

@@ -116,6 +116,17 @@ def test_sampling(spark, hard):
     assert a == {r[0] for r in bm.sample_records(hard, 7).select("window_id").collect()}
 
 
+def test_cutoff_refines_crowded_prefixes(spark, monkeypatch):
+    from kinesift.functions import hashing
+
+    monkeypatch.setattr(hashing, "SMALL_BIN", 2)
+    df = spark.range(400).select(F.concat(F.lit("abcd"), F.substring(F.md5(F.col("id").cast("string")), 1, 12)).alias("h"))
+    hashes = sorted(r[0] for r in df.collect())
+    for n in (1, 57, 399, 400):
+        assert hashing.hash_cutoff(df, F.col("h"), n) == hashes[n - 1]
+    assert hashing.hash_cutoff(df, F.col("h"), 401) == "g" and hashing.hash_cutoff(df, F.col("h"), 0) is None
+
+
 def test_duplicate_keys(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
     with pytest.raises(Exception, match="duplicate k"):

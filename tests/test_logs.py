@@ -136,7 +136,11 @@ def test_slots_do_not_change_runs(spark):
     for width in (1, 7, 100, 100000):
         out = sg.segment_runs(df, order=["i"], slot=F.floor(F.col("i") / width), time="t", max_gap=500)
         results.append(sorted((r["i"], r["seq_no"], r["pos"]) for r in out.collect()))
-    assert results[0] == results[1] == results[2] == results[3]
+    out = sg.segment_runs(df, order=["i"], slot=sg.balanced_slot(df, time="i", rows=50), time="t", max_gap=500)
+    results.append(sorted((r["i"], r["seq_no"], r["pos"]) for r in out.collect()))
+    assert results[0] == results[1] == results[2] == results[3] == results[4]
+    hot = df.withColumn("s", sg.balanced_slot(df, time="i", rows=50)).groupBy("subject_id", "s").count().agg(F.max("count")).first()[0]
+    assert hot <= 65
 
 
 def test_interleaved_subjects_break_with_dense_lines(spark):
