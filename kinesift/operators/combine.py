@@ -315,20 +315,25 @@ def hybrid_sweep(structured: DataFrame, direct: DataFrame, step: float = 0.05) -
         ),
         "window_id",
     )
+    ordered = F.sort_array("caption_scores", asc=False)
+    best = first_argmax(F.col("caption_scores"))
     joined = structured.join(other, "window_id", "left").select(
         "caption_answer_index",
-        "caption_scores",
-        F.coalesce("_direct", first_argmax(F.col("caption_scores"))).alias("_fallback"),
+        F.size("caption_scores").alias("_n"),
+        F.get(ordered, F.lit(0)).alias("_first"),
+        F.get(ordered, F.lit(1)).alias("_second"),
+        best.alias("_best"),
+        F.coalesce("_direct", best).alias("_fallback"),
         support_cells().alias("_cells"),
     )
 
     def decided(t: float) -> Column:
-        reached = F.filter(F.transform("caption_scores", lambda s, i: F.when(s >= t, i)), lambda i: i.isNotNull())
-        return F.when(F.size(reached) == 1, item(reached, F.lit(0)).cast("int"))
+        """Exactly one score reaches t: the best does and the second best does not."""
+        alone = F.col("_second").isNull() | (F.col("_second") < t)
+        return F.when((F.col("_first") >= t) & alone, F.col("_best"))
 
     def counted(choice: Column) -> Column:
-        inside = F.when((choice >= 0) & (choice < F.size("caption_scores")), choice)
-        return _chosen_is_answer(inside)
+        return _chosen_is_answer(F.when((choice >= 0) & (choice < F.col("_n")), choice))
 
     points = [
         F.struct(
