@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinesift.llm import mixing, quality, simhash
+from kinesift.llm import lines, mixing, pieces, quality, simhash
 from kinesift.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,28 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixed(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source", "times")
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and whether they decode to it; what is known of a row travels in its key."""
+    docs = table(spark, sf_dir, "documents").select(F.struct("doc_id", F.sha2("text", 256).alias("digest")).alias("key"), "text")
+    ids = pieces.encoded(docs, "key").select(F.struct("key.*", F.col("ids")).alias("key"), "ids")
+    back = pieces.decoded(ids, "key")
+    same = F.sha2("text", 256).eqNullSafe(F.col("key.digest"))
+    return back.select("key.doc_id", F.size("key.ids").alias("n_ids"), "key.ids", same.alias("round_trip"))
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lines.repeated_lines(docs)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("m"))
+    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("m") == F.col("mark")), "left")
+    removed = F.coalesce(F.array_join("removed", ","), F.lit(""))
+    return both.select(
+        "doc_id",
+        F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long").alias("n_removed"),
+        removed.alias("removed"),
+    )
