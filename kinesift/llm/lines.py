@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinesift.llm.text import stored
+from kinesift.llm.text import bit_table, may_hold, parts, stored
 
 #: Bits of the word hash, and of the number of its counter.
 WORD_BITS, COUNTER_BITS = 44, 22
@@ -34,8 +34,6 @@ CHUNK = 1 << 21
 COMMON = 1024
 SALTS = 16
 NEIGHBOURS = 4
-#: Bits of the table that tells which lines' words are asked for.
-ASKED_BITS = 26
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -139,7 +137,7 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, total, waiting, held = LineReader(), np.zeros(1 << COUNTER_BITS, np.int64), [], 0
-        for batch in batches:
+        for batch in parts(batches, 0):
             waiting.append(_counter(reader.lines(batch.column(0))["word"]))
             held += len(waiting[-1])
             if held > 1 << COUNTER_BITS:
@@ -148,8 +146,8 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
         if held:
             total += np.bincount(np.concatenate(waiting), minlength=len(total))
         if total.any():
-            parts = np.minimum(total, 255).astype(np.uint8).reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "counts"])
+            slices = np.minimum(total, 255).astype(np.uint8).reshape(-1, SLICE)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array([p.tobytes() for p in slices], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -178,7 +176,7 @@ def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> D
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = LineReader()
-        for batch in batches:
+        for batch in parts(batches, 2):
             found = reader.lines(batch.column(2))
             n, start, word = found["n"], found["start"], found["word"]
             if not len(n):
@@ -218,20 +216,14 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def words_of_sets(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
     """(set, words) of the asked sets. A bit table of fixed size, made from the asked hashes, lets through the lines
     of these and few others before the join."""
-    place = F.pmod(F.col("set"), F.lit(1 << ASKED_BITS))
-    table = np.zeros((1 << ASKED_BITS) // 8, np.uint8)
-    parts = asked.groupBy(F.shiftright(place, 15).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(1 << 15))).alias("b"))
-    for row in parts.toLocalIterator():
-        table[row["k"] * 4096 : (row["k"] + 1) * 4096] = np.frombuffer(row["b"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(asked.select("set")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = LineReader()
-        for batch in batches:
+        for batch in parts(batches, 0):
             found = reader.lines(batch.column(0))
             ids = _set_ids(found)
-            spot = ids & ((1 << ASKED_BITS) - 1)
-            hit = np.flatnonzero((shared.value[spot >> 3] >> (spot & 7)) & 1)
+            hit = np.flatnonzero(may_hold(shared.value, ids))
             _, once = np.unique(ids[hit], return_index=True)
             hit = hit[once]
             sizes = found["n"][hit]

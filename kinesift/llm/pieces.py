@@ -27,17 +27,16 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinesift.llm.text import parts
+
 MARK = "▁"
 #: Stands for a mark of the text while words are cut; it can't be a character of a text.
 _OWN = "\udc81"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Text bytes of a batch whose words are sorted together.
-BATCH_BYTES = 8 << 20
 #: Remembered words and neighbour tests of a worker; at the bound they are forgotten and made again when needed.
 REMEMBERED = 400_000
 
@@ -283,16 +282,11 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_BYTES, "right")))
-                texts = batch.column(1).slice(at, end - at).to_pylist()
-                ids = encode_batch(texts, encoder)
-                arrays = pa.array([None if t is None else i for t, i in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), arrays], ["key", "ids"])
-                at = end
+        for part in parts(batches, 1):
+            texts = part.column(1).to_pylist()
+            ids = encode_batch(texts, encoder)
+            arrays = pa.array([None if t is None else i for t, i in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), arrays], ["key", "ids"])
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return plain.mapInArrow(run, shape).withColumnRenamed("key", key)
