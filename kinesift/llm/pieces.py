@@ -37,8 +37,9 @@ MARK = "▁"
 #: Stands for a mark of the text while words are cut; it can't be a character of a text.
 _OWN = "\udc81"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Remembered words and neighbour tests of a worker; at the bound they are forgotten and made again when needed.
-REMEMBERED = 400_000
+#: Words that a worker remembers, twice: beyond it the older half is forgotten, but for what was met again since. Also
+#: the bound on remembered neighbour tests.
+REMEMBERED = 250_000
 
 
 @dataclass
@@ -49,24 +50,22 @@ class Vocabulary:
     scores: dict[str, float]
     byte_ids: list[int]
     merges: bool = True
-    #: Lengths, longest first, of the pieces that end in three given characters (two, at a word's second character).
-    sizes_by_end: dict[str, tuple[int, ...]] = field(init=False)
+    #: The pieces by their characters from the last to the first: nested tables, "" holds the piece that ends there.
+    endings: dict = field(init=False)
     #: Score of a character without a piece: below every piece.
     unknown: float = field(init=False)
     right_edge: dict[str, list] = field(init=False)
     left_edge: dict[str, list] = field(init=False)
 
     def __post_init__(self) -> None:
-        sizes: dict[str, set[int]] = {}
-        for piece in self.ids:
-            if len(piece) > 1:
-                sizes.setdefault(piece[-3:], set()).add(len(piece))
-        for end, found in sizes.items():
-            if len(end) == 3 and end[1:] in self.ids:
-                found.add(2)
-        self.sizes_by_end = {end: tuple(sorted(found, reverse=True)) for end, found in sizes.items()}
         self.unknown = min(self.scores.values(), default=0.0) - 10.0
-        self.right_edge, self.left_edge = _edges(self.scores) if self.merges else ({}, {})
+        self.right_edge, self.left_edge, made = _edges(self.scores) if self.merges else ({}, {}, self.scores)
+        self.endings = {}
+        for piece in made:
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = piece
 
 
 def load(path: str = MODEL, merges: bool = True) -> Vocabulary:
@@ -82,9 +81,9 @@ def load(path: str = MODEL, merges: bool = True) -> Vocabulary:
     return Vocabulary(ids, scores, byte_ids, merges)
 
 
-def merged(text: str, scores: dict[str, float], steps: list[str] | None = None) -> list[str]:
+def merged(text: str, scores: dict[str, float], steps: list[tuple[int, str]] | None = None) -> list[str]:
     """Pieces of ``text`` by merging: always the neighbours whose joint piece scores best, leftmost first.
-    ``steps`` gets the merges in their order."""
+    ``steps`` gets the merges in their order, each with its place."""
     parts: list[str | None] = list(text)
     after = [*range(1, len(parts)), -1]
     before = [-1, *range(len(parts) - 1)]
@@ -102,7 +101,7 @@ def merged(text: str, scores: dict[str, float], steps: list[str] | None = None)
         if parts[i] is None or j < 0 or parts[i] + parts[j] != joint:
             continue
         if steps is not None:
-            steps.append(joint)
+            steps.append((i, joint))
         parts[i], parts[j] = joint, None
         after[i] = after[j]
         if after[i] >= 0:
@@ -112,29 +111,33 @@ def merged(text: str, scores: dict[str, float], steps: list[str] | None = None)
     return [p for p in parts if p is not None]
 
 
-def _edges(scores: dict[str, float]) -> tuple[dict[str, list], dict[str, list]]:
+def _edges(scores: dict[str, float]) -> tuple[dict[str, list], dict[str, list], list[str]]:
     """By piece, the parts that stand at its right (at its left) end while it is merged, smallest first, each
     with the score of the merge that takes it in; the piece itself stays, so its score is minus infinity.
 
-    Pieces that merging doesn't make, or whose merges don't come in falling order of score, are left out.
+    Pieces that merging doesn't make, or whose merges don't come in falling order of score, are left out. Third, the
+    pieces that merging makes.
     """
     right: dict[str, list] = {}
     left: dict[str, list] = {}
+    made: list[str] = []
     for piece, score in sorted(scores.items(), key=lambda x: len(x[0])):
         if len(piece) == 1:
             right[piece] = left[piece] = [(piece, -np.inf)]
+            made.append(piece)
             continue
-        steps: list[str] = []
+        steps: list[tuple[int, str]] = []
         if merged(piece, scores, steps) != [piece]:
             continue
-        marks = [scores[x] for x in steps]
+        made.append(piece)
+        marks = [scores[x] for _, x in steps]
         if any(later >= earlier for earlier, later in zip(marks, marks[1:])):
             continue
-        ends = [x for x in steps if piece.endswith(x)]
-        starts = [x for x in steps if piece.startswith(x)]
+        ends = [x for i, x in steps if i + len(x) == len(piece)]
+        starts = [x for i, x in steps if i == 0]
         right[piece] = _lives([piece[-1], *ends], scores)
         left[piece] = _lives([piece[0], *starts], scores)
-    return right, left
+    return right, left, made
 
 
 def _lives(parts: list[str], scores: dict[str, float]) -> list[tuple[str, float]]:
@@ -159,12 +162,13 @@ def _apart(ends: list, starts: list, scores: dict[str, float]) -> bool:
 
 
 class Encoder:
-    """Encodes words with remembered neighbour tests; one per worker."""
+    """Encodes words and remembers them and the neighbour tests. As a broadcast value it stays with a worker over tasks."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.fits: dict[tuple[str, str], bool] = {}
         self.words: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def _neighbours(self, left: str, right: str) -> bool:
         """Whether merging the joint text of two pieces gives these two."""
@@ -180,34 +184,40 @@ class Encoder:
 
     def _extend_merged(self, word: str, last: list[str]) -> None:
         """Append to ``last`` the last piece of the one allowed path to each further position of ``word``."""
-        sizes_by_end, scores, fits = self.v.sizes_by_end, self.v.scores, self.fits
+        endings, fits = self.v.endings, self.fits
         for end in range(len(last), len(word) + 1):
-            near = word[end - 3 : end] if end > 2 else word[:end]
-            for size in sizes_by_end.get(near) or sizes_by_end.get(near[1:], ()):
-                if size > end:
-                    continue
-                piece = word[end - size : end]
-                if piece in scores:
-                    if size == end:
+            node, at, chosen = endings, end, word[end - 1]
+            while at:
+                at -= 1
+                node = node.get(word[at])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    if not at:
+                        chosen = piece
                         break
-                    before = last[end - size]
+                    before = last[at]
                     fit = fits.get((before, piece))
                     if fit or (fit is None and self._neighbours(before, piece)):
+                        chosen = piece
                         break
-            else:
-                piece = word[end - 1]
-            last.append(piece)
+            last.append(chosen)
 
     def _extend_scored(self, word: str, last: list[str], best: list[float]) -> None:
         """Append the best score of each further position of ``word`` and the last piece that reaches it."""
-        scores, unknown = self.v.scores, self.v.unknown
+        scores = self.v.scores
         for end in range(len(last), len(word) + 1):
-            top, chosen = best[end - 1] + scores.get(word[end - 1], unknown), word[end - 1]
-            near = word[end - 3 : end] if end > 2 else word[:end]
-            for size in self.v.sizes_by_end.get(near) or self.v.sizes_by_end.get(near[1:], ()):
-                score = scores.get(word[end - size : end]) if size <= end else None
-                if score is not None and best[end - size] + score > top:
-                    top, chosen = best[end - size] + score, word[end - size : end]
+            node, at = self.v.endings, end
+            top, chosen = best[end - 1] + self.v.unknown, word[end - 1]
+            while at:
+                at -= 1
+                node = node.get(word[at])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None and best[at] + scores[piece] > top:
+                    top, chosen = best[at] + scores[piece], piece
             last.append(chosen)
             best.append(top)
 
@@ -228,10 +238,16 @@ class Encoder:
 
     def learn(self, words: Collection[str]) -> None:
         """Encode the words that are new: in sorted order, forward states of shared prefixes are kept."""
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = list(words)
+        if len(self.words) > REMEMBERED:
+            self.older, self.words = self.words, {}
+        new = []
+        for w in words:
+            if w not in self.words:
+                known = self.older.get(w)
+                if known is None:
+                    new.append(w)
+                else:
+                    self.words[w] = known
         new.sort()
         last, best, before = [""], [0.0], ""
         for word in new:
@@ -275,13 +291,13 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     """(key, ids): piece ids of every text; null for a null text, empty for an empty one. Repeated rows repeat.
 
     Works row by row in batches of bounded bytes, without a shuffle. The vocabulary is read by the driver and
-    travels with the tasks.
+    is broadcast: it has the size of the model file.
     """
-    vocabulary = load(model, merges)
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(load(model, merges)))
     shape = docs.select(F.col(key).alias("key")).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = shared.value
         for part in parts(batches, 1):
             texts = part.column(1).to_pylist()
             ids = encode_batch(texts, encoder)
@@ -292,31 +308,28 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     return plain.mapInArrow(run, shape).withColumnRenamed("key", key)
 
 
-def decode(ids: Iterable[int], names: dict[int, str], byte_of: dict[int, int]) -> str:
-    """The text of piece ids: marks become blanks, runs of byte pieces characters, and the mark in front goes."""
-    raw = bytearray()
-    for i in ids:
-        b = byte_of.get(i)
-        if b is None:
-            raw += names[i].replace(MARK, " ").encode()
-        else:
-            raw.append(b)
-    text = raw.decode("utf-8", "replace")
+def decoder(v: Vocabulary) -> dict[int, bytes]:
+    """The bytes that each piece id stands for; marks are blanks."""
+    return {i: p.replace(MARK, " ").encode() for p, i in v.ids.items()} | {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
+
+
+def decode(ids: Iterable[int], raw: dict[int, bytes]) -> str:
+    """The text of piece ids; the blank of the mark in front goes."""
+    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
 def decoded(rows: DataFrame, key: str = "doc_id", ids: str = "ids", model: str = MODEL) -> DataFrame:
     """(key, text): the text of every row's piece ids; null for null."""
-    v = load(model)
-    names = {i: p for p, i in v.ids.items()}
-    byte_of = {i: b for b, i in enumerate(v.byte_ids)}
+    shared = rows.sparkSession.sparkContext.broadcast(decoder(load(model, merges=False)))
     shape = rows.select(F.col(key).alias("key")).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                texts = [None if i is None else decode(i.tolist(), names, byte_of) for i in (x.values.to_numpy() if x.is_valid else None for x in part.column(1))]
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [decode(x.values.to_pylist(), raw) if x.is_valid else None for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["key", "text"])
 
     plain = rows.select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
