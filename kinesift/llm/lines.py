@@ -250,23 +250,22 @@ def _entries(sets: DataFrame) -> DataFrame:
     """A row for each shareable prefix word of each set; ``pos`` is its place in the set's order (words that no other
     line has come before it)."""
     skipped = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - F.size("prefix")
-    every = sets.select("set", "n", "bits", "common", skipped.cast("int").alias("_s"), F.posexplode("prefix").alias("_p", "word"))
-    return every.select("word", "set", "n", "bits", "common", (F.col("_p") + F.col("_s")).alias("pos"))
+    every = sets.select("set", "n", "bits", "open", skipped.cast("int").alias("_s"), F.posexplode("prefix").alias("_p", "word"))
+    return every.select("word", "set", "n", "bits", "open", (F.col("_p") + F.col("_s")).alias("pos"))
 
 
-def _pairs(entries: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(a, b): sets that may be similar; with ``wanted`` (set), b is one of these."""
-    right = entries if wanted is None else entries.join(wanted, "set", "left_semi")
-    l, r = entries.alias("l"), right.alias("r")
-    differ = F.col("l.set") < F.col("r.set") if wanted is None else F.col("l.set") != F.col("r.set")
-    return l.join(r, (F.col("l.word") == F.col("r.word")) & differ & _possible("l", "r")).select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
+def _pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): sets that may be similar, at least b of them open. Both sides are the same rows, shuffled once."""
+    l, r = entries.alias("l"), entries.alias("r")
+    once = F.col("r.open") & (F.col("l.set") != F.col("r.set")) & (~F.col("l.open") | (F.col("l.set") < F.col("r.set")))
+    return l.join(r, (F.col("l.word") == F.col("r.word")) & once & _possible("l", "r")).select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
 
 
 def _neighbours(entries: DataFrame) -> DataFrame:
     """(a, b) for sets with a common prefix word: each against the few before it among a salted share of the word's sets."""
     w = Window.partitionBy("word", F.pmod("set", F.lit(SALTS))).orderBy("n", "bits", "set")
     row = F.struct("set", "n", "bits", "pos")
-    near = entries.filter("common").select("word", row.alias("r"), *[F.lag(row, k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
+    near = entries.select("word", row.alias("r"), *[F.lag(row, k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
     each = near.select("r", F.explode(F.array(*[f"l{k}" for k in range(1, NEIGHBOURS + 1)])).alias("l")).filter("l is not null")
     return each.filter(_possible("l", "r")).select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
 
@@ -296,14 +295,16 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame
     word first meet a few neighbours. Those found later than a verified neighbour are settled; all the others
     meet every set with which they share a prefix word.
     """
-    entries = _entries(sets)
     settled = None
-    if not sets.filter("common").isEmpty():
-        near = stored(_neighbours(entries), "near-lines")
+    sets = sets.withColumn("open", F.lit(True))
+    common = sets.filter("common")
+    if not common.isEmpty():
+        near = stored(_neighbours(_entries(common)), "near-lines")
         if not near.isEmpty():
             settled = stored(_later(_verified(docs, text, near), sets), "settled-lines")
-    rest = None if settled is None else sets.join(settled, "set", "left_anti").select("set")
-    pairs = stored(_pairs(entries, rest), "line-pairs")
+            done = settled.withColumn("done", F.lit(True))
+            sets = sets.join(done, "set", "left").withColumn("open", F.col("done").isNull()).drop("done")
+    pairs = stored(_pairs(_entries(sets)), "line-pairs")
     found = _later(_verified(docs, text, pairs), sets)
     return found if settled is None else found.union(settled).distinct()
 
