@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinesift.llm import ann, lines, mixing, pieces, pii, quality, simhash, toxicity, urls
-from kinesift.llm.text import table
+from kinesift.llm import ann, chat, lines, mixing, pieces, pii, quality, simhash, toxicity, urls
+from kinesift.llm.text import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,15 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
         pii.listed(F.col("all")).alias("spans"),
     )
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of all conversations, with a share of markers lost; roles are learnt outside the held-out fifth."""
+    raw = stored(chat.raw_transcripts(chat.pieces(table(spark, sf_dir, "conversations"))), "transcripts")
+    known = raw.filter(~F.coalesce(chat.held_out(F.col("key")), F.lit(True)))
+    model = chat.fit(known.select(F.transform(F.split("text", "\n"), chat.observed).alias("seen"), "state"))
+    rows = raw.select(F.struct("key", "piece", F.array_join("state", "").alias("true_states")).alias("key"), "text")
+    found = chat.formatted(rows, model)
+    held = F.coalesce(chat.held_out(F.col("key.key")), F.lit(True)).alias("held_out")
+    return found.select(F.col("key.key").alias("conv_id"), "key.piece", held, "roles", "states", "key.true_states", "chat")
