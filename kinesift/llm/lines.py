@@ -11,12 +11,13 @@ documents and lines) is 0.8 or more, none is kept. Equal sets meet by a hash of
 
 Word counts are kept for hashed words in a table of fixed size: sharing a counter can make a word seem less
 rare than it is, which costs candidates, never results. Words are compared by 44 bits of a 64-bit hash.
-A word that very many lines share is met in two steps, see ``_candidates``.
+A word that very many lines share is met in two steps, see ``similar_to_earlier``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -165,12 +166,12 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return table
 
 
-LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, bits long, common boolean, prefix array<int>"
+LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, bits long, common int, prefix array<int>"
 
 
 def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
     """Every line with a word: its place, the hash of its word set, their number, their parity over 64 bits, and the
-    prefix words that other lines may share, rarest first. ``common``: the most frequent of these is common."""
+    prefix words that other lines may share, rarest first. ``common``: how many of these, the last ones, are common."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shape = LINE_SHAPE.format(key=docs.schema[key].dataType.simpleString())
 
@@ -194,14 +195,13 @@ def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> D
             prefix = n - (4 * n + 4) // 5 + 1
             use = (np.arange(len(word)) - start[place] < prefix[place]) & (often > 1)
             kept = np.bincount(place[use], minlength=len(n))
-            top = np.zeros(len(n), np.int64)
-            np.maximum.at(top, place[use], often[use])
+            common = np.bincount(place[use & (often >= COMMON)], minlength=len(n))
             bits = np.bitwise_xor.reduceat(np.uint64(1) << (word & np.uint64(63)), start)
             ends = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((order[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             at = pa.array(found["doc"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(top >= COMMON), lists],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(common.astype(np.int32)), lists],
                 ["doc", "mark", "line", "set", "n", "bits", "common", "prefix"],
             )
 
@@ -246,11 +246,13 @@ def _possible(a: str, b: str) -> Column:
     )
 
 
-def _entries(sets: DataFrame) -> DataFrame:
-    """A row for each shareable prefix word of each set; ``pos`` is its place in the set's order (words that no other
+def _entries(sets: DataFrame, common: bool = False) -> DataFrame:
+    """A row for each shareable (or only for each common) prefix word of each set; ``pos`` is its place in the set's order (words that no other
     line has come before it)."""
     skipped = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - F.size("prefix")
-    every = sets.select("set", "n", "bits", "open", skipped.cast("int").alias("_s"), F.posexplode("prefix").alias("_p", "word"))
+    rare = F.size("prefix") - F.col("common")
+    every = sets.select("set", "n", "bits", "open", skipped.cast("int").alias("_s"), rare.alias("_r"), F.posexplode("prefix").alias("_p", "word"))
+    every = every.filter("_p >= _r") if common else every
     return every.select("word", "set", "n", "bits", "open", (F.col("_p") + F.col("_s")).alias("pos"))
 
 
@@ -280,33 +282,44 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
     return both.filter(9 * overlap >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
 
 
-def _later(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(set): of each similar pair the one that first occurs later."""
-    first = sets.select("set", "first")
-    a, b = first.select(F.col("set").alias("a"), F.col("first").alias("fa")), first.select(F.col("set").alias("b"), F.col("first").alias("fb"))
-    placed = pairs.join(a, "a").join(b, "b")
-    return placed.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
+def _directed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(later, earlier, apart): the pairs by where their sets first occur, and in how many parity bits they differ."""
+    side = lambda x: sets.select(F.col("set").alias(x), F.struct("first", "bits").alias(f"_{x}"))
+    placed = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.bit_count(F.col("_a.bits").bitwiseXOR(F.col("_b.bits")))
+    swap = F.col("_a.first") < F.col("_b.first")
+    return placed.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("a"), apart.alias("apart"))
+
+
+def _settled(docs: DataFrame, text: str, directed: DataFrame) -> DataFrame:
+    """(set): the later sets ``b`` whose most promising earlier partner ``a`` is verified."""
+    best = directed.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
+    return stored(_verified(docs, text, stored(best, "best-partners")).select(F.col("b").alias("set")).distinct(), "settled-lines")
 
 
 def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
     """(set): sets that are similar to another one which first occurs earlier.
 
     Of a group of many similar lines each needs one earlier partner, not all pairs. So sets with a common prefix
-    word first meet a few neighbours. Those found later than a verified neighbour are settled; all the others
-    meet every set with which they share a prefix word.
+    word first meet a few neighbours; those found later than a verified neighbour are settled, and only the others
+    meet all sets with which they share a prefix word. Of the partners found, each set is verified against the
+    most promising one, and against all the others only if that one fails.
     """
-    settled = None
     sets = sets.withColumn("open", F.lit(True))
-    common = sets.filter("common")
+    found = []
+    common = sets.filter("common > 0")
     if not common.isEmpty():
-        near = stored(_neighbours(_entries(common)), "near-lines")
+        near = stored(_directed(_neighbours(_entries(common, common=True)), sets), "near-lines")
         if not near.isEmpty():
-            settled = stored(_later(_verified(docs, text, near), sets), "settled-lines")
-            done = settled.withColumn("done", F.lit(True))
+            found.append(_settled(docs, text, near))
+            done = found[0].withColumn("done", F.lit(True))
             sets = sets.join(done, "set", "left").withColumn("open", F.col("done").isNull()).drop("done")
-    pairs = stored(_pairs(_entries(sets)), "line-pairs")
-    found = _later(_verified(docs, text, pairs), sets)
-    return found if settled is None else found.union(settled).distinct()
+    directed = stored(_directed(_pairs(_entries(sets)), sets), "line-pairs")
+    found.append(_settled(docs, text, directed))
+    rest = stored(directed.join(reduce(DataFrame.union, found).withColumnRenamed("set", "b"), "b", "left_anti"), "open-pairs")
+    if not rest.isEmpty():
+        found.append(_verified(docs, text, rest).select(F.col("b").alias("set")))
+    return reduce(DataFrame.union, found).distinct()
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
