@@ -20,6 +20,34 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 ORACLES["op5_urls"] = urls.judged_sql()
+# Any fixed order of words gives right prefixes; long words are rare enough here.
+ORACLES["op10_line_dedup"] = r"""
+WITH doc AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS no FROM doc),
+words AS (
+    SELECT doc_id, no, list_sort(list_transform(list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+')), lambda x: {'k': -length(x), 'x': x})) AS w
+    FROM line
+),
+cut AS (SELECT * FROM words WHERE len(w) > 0),
+sets AS (SELECT w, len(w) AS n, min((doc_id, no)) AS first FROM cut GROUP BY w),
+numbered AS (SELECT row_number() OVER () AS id, * FROM sets),
+entries AS (SELECT id, n, unnest(w[1:n - CAST(ceil(n * 4 / 5) AS INT) + 1]) AS word FROM numbered),
+pairs AS (
+    SELECT DISTINCT a.id AS a, b.id AS b FROM entries a JOIN entries b
+    ON a.word = b.word AND a.id <> b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+),
+gone AS (
+    SELECT DISTINCT b.w FROM pairs p JOIN numbered a ON p.a = a.id JOIN numbered b ON p.b = b.id
+    WHERE a.first < b.first AND 9 * len(list_intersect(a.w, b.w)) >= 4 * (a.n + b.n)
+),
+marked AS (
+    SELECT c.doc_id, c.no, (s.first < (c.doc_id, c.no) OR g.w IS NOT NULL) AS removed
+    FROM cut c JOIN sets s ON c.w = s.w LEFT JOIN gone g ON c.w = g.w
+)
+SELECT d.doc_id, count(m.no) AS n_lines, count(*) FILTER (m.removed) AS n_removed,
+       coalesce(string_agg(m.no::VARCHAR, ',' ORDER BY m.no) FILTER (m.removed), '') AS removed
+FROM documents d LEFT JOIN marked m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
 
 
 @query
