@@ -73,7 +73,7 @@ class RoleModel:
         return out
 
 
-def _chances(counts: np.ndarray, weight: float = 0.5) -> np.ndarray:
+def _chances(counts: np.ndarray, weight: float | np.ndarray = 0.5) -> np.ndarray:
     full = counts + weight
     return np.log(full / full.sum(-1, keepdims=True))
 
@@ -105,7 +105,10 @@ def fit(labelled: DataFrame) -> RoleModel:
     for axis, size in enumerate(SIZES, 1):
         sums = grid.sum(tuple(a for a in range(1, 5) if a != axis))
         joint = joint + _chances(sums).reshape(STATES, *[size if a == axis else 1 for a in range(1, 5)])
-    return RoleModel(_chances(start), _chances(step), joint.reshape(STATES, -1))
+    # A state that no label shows is no refuge for odd lines.
+    known = show.sum(1) > 0
+    into = np.where(known, 0.5, 1e-9) if known.any() else np.full(STATES, 0.5)
+    return RoleModel(_chances(start, into), _chances(step, into), joint.reshape(STATES, -1))
 
 
 def unmarked(line: str) -> str:
