@@ -405,11 +405,21 @@ def model_fields(spark, d):
     return f.select("event_id", "f.intensity", "f.dominant_axis", "f.burstiness")
 
 
+@check(
+    "fixed_point",
+    "SELECT event_id, printf('%.3f', (2 * (event_id % 4000) + 1) / 2000.0 - 1) AS tie, printf('%.3f', event_id / 7.0 - 3) AS other FROM events",
+)
+def fixed_point(spark, d):
+    i = F.col("event_id").cast("double")
+    tie = (2 * (i % 4000) + 1) / 2000.0 - 1
+    return views.table(spark, d, "events").select("event_id", ph.fixed_point(tie, 3).alias("tie"), ph.fixed_point(i / 7.0 - 3, 3).alias("other"))
+
+
 @check(
     "choice_index",
     """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 0 THEN CAST(conv_id % 3 AS INT) WHEN (conv_id + turn) % 4 = 1 THEN
-    CASE WHEN conv_id % 7 < 4 THEN CAST(conv_id % 7 AS INT) END WHEN (conv_id + turn) % 4 = 2 THEN CASE WHEN turn < 4 THEN CAST(turn AS INT) END END AS choice
-    FROM conversations""",
+    CASE WHEN conv_id % 7 < 4 THEN CAST(conv_id % 7 AS INT) END WHEN (conv_id + turn) % 4 = 2 THEN CASE WHEN turn < 4 THEN CAST(turn AS INT) END
+    WHEN conv_id % 5 = 1 THEN 1 WHEN conv_id % 5 = 4 THEN 2 END AS choice FROM conversations""",
 )
 def choice_index(spark, d):
     c = views.table(spark, d, "conversations").select("conv_id", "turn")
@@ -418,6 +428,10 @@ def choice_index(spark, d):
         F.when(kind == 0, F.concat(F.lit('so {"answer_index": '), (F.col("conv_id") % 3).cast("string"), F.lit("} then")))
         .when(kind == 1, F.concat(F.lit("option "), F.char(F.col("conv_id") % 7 + 65), F.lit(".")))
         .when(kind == 2, F.concat(F.lit("number "), F.col("turn").cast("string"), F.lit(" fits")))
+        .when(F.col("conv_id") % 5 == 0, '{"answer_index": 99999999999}')
+        .when(F.col("conv_id") % 5 == 1, '{"answer_index": "no", "index": 1.7}')
+        .when(F.col("conv_id") % 5 == 2, '{"choice_index": "NaN"}')
+        .when(F.col("conv_id") % 5 == 4, '{"index": "1.7", "choice_index": " 2 "}')
         .otherwise("no idea")
     )
     return c.select("conv_id", "turn", tf.choice_index(answer, F.lit(4)).alias("choice"))
@@ -425,7 +439,7 @@ def choice_index(spark, d):
 
 @check(
     "support_labels",
-    """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE concat_ws(',', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END,
+    """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN CASE WHEN event_id % 3 = 1 THEN 'true,false' END ELSE concat_ws(',', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END,
     CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END) END AS labels FROM events""",
 )
 def support_labels(spark, d):
@@ -439,7 +453,8 @@ def support_labels(spark, d):
     json = F.concat_ws("", F.lit('x {"labels": ['), words("true", "false")[0], F.lit(", "), words("true", "false")[1], F.lit("]}"))
     bare = F.concat_ws("", F.lit('["'), words("Yes", "no")[0], F.lit('", "'), words("support", "rejected")[1], F.lit('"]'))
     lines = F.concat_ws("", F.lit("S0: "), words("Supported", "unsupported")[0], F.lit("\nS1 = "), words("yes", "reject")[1])
-    answer = F.when(i % 4 == 0, json).when(i % 4 == 1, bare).when(i % 4 == 2, lines).otherwise("S0: yes")
+    answer = F.when(i % 4 == 0, json).when(i % 4 == 1, bare).when(i % 4 == 2, lines).when(i % 3 == 0, '{"answers": ["2", "no"]}')
+    answer = answer.when(i % 3 == 1, '{"answers": [2, 0.0]}').otherwise("S0: yes")
     labels = tf.support_labels(answer, F.lit(2))
     return e.select("event_id", F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"))
 

@@ -79,6 +79,9 @@ _HELD_CELLS = """CAST(sum(CASE WHEN i = 0 AND {p} THEN 1 ELSE 0 END) AS DOUBLE)
     CAST(sum(CASE WHEN i = 0 AND NOT {p} THEN 1 ELSE 0 END) AS DOUBLE) AS fn, CAST(sum(CASE WHEN i > 0 AND NOT {p} THEN 1 ELSE 0 END) AS DOUBLE) AS tn"""
 
 
+_HELD_PRF = _prf_sql(f"SELECT {_HELD_CELLS.format(p='held = 1')} FROM v3_held")
+
+
 @check(
     "structured_summary",
     _prf_sql(
@@ -165,6 +168,18 @@ _COS = """SELECT a.vec_id, k, list_dot_product(av, bv) / sqrt(list_dot_product(a
     JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS bv FROM embeddings) b ON b.vec_id = (a.vec_id + k) % n"""
 
 
+@check(
+    "cosine_rejection",
+    _prf_sql(
+        f"""SELECT CAST(sum(CASE WHEN k = 5 AND s >= 0.1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp, CAST(sum(CASE WHEN k > 5 AND s >= 0.1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+    CAST(sum(CASE WHEN k = 5 AND s < 0.1 THEN 1 ELSE 0 END) AS DOUBLE) AS fn, CAST(sum(CASE WHEN k > 5 AND s < 0.1 THEN 1 ELSE 0 END) AS DOUBLE) AS tn FROM ({_COS}) WHERE k >= 5"""
+    ),
+)
+def cosine_rejection(spark, d):
+    m = metrics.rejection_metrics(evaluate.cosine_judgements(evaluate.cosine_rows(vector_sets(spark, d))), "truth", "score", 0.1)
+    return tight(m.select(*[F.col(c).alias(f"cf_reject_{c}") for c in ("accuracy", "precision", "recall", "f1")]))
+
+
 @check(
     "pairwise_rejection",
     f"""SELECT {q6('sum(CASE WHEN s < p - 0.02 THEN 1 ELSE 0 END + CASE WHEN k = 6 THEN 1 ELSE 0 END) / (count(*) * 6 / 5)')} AS cf_pairwise_reject_accuracy,
@@ -455,7 +470,8 @@ def hybrid_rows(spark, d):
     f"""SELECT {q6('avg(CAST(guess = answer AS INT))')} AS caption_selection_accuracy, count(*) AS n_eval_records, CAST(sum(CAST(n_held <> 1 AS INT)) AS BIGINT) AS caption_fallback_count,
     {q6('avg(CAST(n_held <> 1 AS INT))')} AS caption_fallback_rate, CAST(sum(CAST(n_held <> 1 AND d IS NULL AS INT)) AS BIGINT) AS missing_direct_count,
     {q6('sum(CAST(n_held <> 1 AND guess = answer AS INT)) / greatest(1, sum(CAST(n_held <> 1 AS INT)))')} AS caption_fallback_accuracy,
-    {q6('1 - avg(CAST(n_held <> 1 AS INT))')} AS structured_decisive_rate FROM ({HYBRID})""",
+    {q6('1 - avg(CAST(n_held <> 1 AS INT))')} AS structured_decisive_rate, any_value(cf_reject_accuracy) AS cf_reject_accuracy, any_value(cf_reject_precision) AS cf_reject_precision,
+    any_value(cf_reject_recall) AS cf_reject_recall, any_value(cf_reject_f1) AS cf_reject_f1 FROM ({HYBRID}), ({_HELD_PRF})""",
 )
 def hybrid_summary(spark, d):
     records, rows = structured(spark, d)
@@ -876,21 +892,22 @@ def override_cost(spark, d):
 _BY_SET = PAIR_COUNTS.replace("FROM (SELECT alt,", "FROM (SELECT dataset, alt,").replace("SELECT CAST(sum(CAST(alt IS NOT NULL", "SELECT dataset, CAST(sum(CAST(alt IS NOT NULL") + " GROUP BY dataset"
 
 
+_TAIL_BY_SET = f"""SELECT n.*, list_sum(list_transform(range(0, s + 1), lambda k: exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) - n * ln(2)))) AS tail,
+    exp(lgamma(n + 1.0) - lgamma(s + 1.0) - lgamma(n - s + 1.0) - n * ln(2)) AS last FROM (SELECT *, primary_only_correct + challenger_only_correct AS n,
+    least(primary_only_correct, challenger_only_correct) AS s FROM ({_BY_SET})) n"""
+
+
 @check(
     "system_table",
     f"""SELECT t.dataset, {q6('ca')} AS choice_accuracy, {q6('ga')} AS gated_accuracy, {q6('na')} AS nogate_accuracy, {q6('p.delta')} AS delta_vs_primary,
-    CAST(k AS BIGINT) AS gate_alternate_count, n AS n_eval_records FROM ({_COND_TABLE}) t JOIN (SELECT dataset, (challenger_only_correct - primary_only_correct) / n_pairs AS delta
-    FROM ({_BY_SET})) p ON p.dataset = t.dataset WHERE condition = 'visible'""",
+    {q6('least(1, 2 * (p.tail - p.last / 2))')} AS mcnemar_midp, CAST(k AS BIGINT) AS gate_alternate_count, t.n AS n_eval_records FROM ({_COND_TABLE}) t JOIN (SELECT t.*, (challenger_only_correct - primary_only_correct) / n_pairs AS delta
+    FROM ({_TAIL_BY_SET}) t) p ON p.dataset = t.dataset WHERE condition = 'visible'""",
 )
 def system_table(spark, d):
     own, other = primaries(spark, d), scored(spark, d, with_map=False)
-    sets = [r["dataset"] for r in own.select("dataset").distinct().orderBy("dataset").limit(50).collect()]
-    paired = None
-    for s in sets:
-        row = metrics.paired_comparison(own.filter(F.col("dataset") == s), other.filter(F.col("dataset") == s)).withColumn("dataset", F.lit(s))
-        paired = row if paired is None else paired.unionByName(row)
+    paired = metrics.paired_comparison(own, other, by=["dataset"])
     t = reports.system_table(condition_metrics(spark, d).filter("condition = 'visible'"), paired)
-    return tight(t.drop("mcnemar_midp"))
+    return tight(t)
 
 
 @check("score_invariance", f"SELECT 'same' AS outcome, count(*) AS rows FROM v3_prob HAVING count(*) > 0")

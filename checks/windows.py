@@ -21,7 +21,7 @@ from kinesift.sources import logs, tables
 def _lines3(spark, d):
     e = views.table(spark, d, "events")
     good = F.concat(
-        F.lit(" 0"), F.col("user_id").cast("string"), F.lit(", "), F.upper("event_type"), F.lit(" Up,"),
+        F.lit("\t 0"), F.col("user_id").cast("string"), F.lit(", "), F.upper("event_type"), F.lit(" Up,"),
         F.col("event_id").cast("string"), F.lit(","), F.col("value").cast("string"), F.lit(","),
         (F.col("event_id") % 7).cast("string"), F.lit(".5 ,-"), (F.col("event_id") % 3).cast("string"), F.lit(";"),
     )
@@ -62,7 +62,8 @@ def log3_rejects(spark, d):
 def log21_parse(spark, d):
     e = views.table(spark, d, "embeddings")
     numbers = F.transform(F.slice("embedding", 1, 23), lambda x: x.cast("double").cast("string"))
-    line = F.concat(F.array_join(numbers, "\t"), F.lit("\t"), (F.col("vec_id") % 15).cast("string"))
+    label = F.when(F.col("vec_id") % 15 == 13, "NaN").when(F.col("vec_id") % 15 == 14, "99999999999").otherwise((F.col("vec_id") % 15).cast("string"))
+    line = F.concat(F.lit("\t"), F.array_join(numbers, "\t"), F.lit("\t"), label, F.lit(" \t"))
     p = e.select("vec_id", logs.parse_log21(line).alias("p")).filter("p is not null")
     v = F.col("p.values")
     return p.select(
@@ -71,13 +72,16 @@ def log21_parse(spark, d):
     )
 
 
-@check("line_numbers", "SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS line_no FROM events")
+@check(
+    "line_numbers",
+    "SELECT event_id, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) - 1 AS line_no FROM events",
+)
 def line_numbers(spark, d):
-    """Lines written in event order come back with that order as line numbers (one file, several splits)."""
+    """Lines written in event order, into a file per remainder, come back with that order as line numbers of their file."""
     path = stage_path(spark, "lines")
-    views.table(spark, d, "events").select(F.col("event_id").cast("string")).coalesce(1).sortWithinPartitions(
-        F.col("event_id").cast("bigint")
-    ).write.text(path)
+    event = F.col("event_id").cast("bigint")
+    rows = views.table(spark, d, "events").select(F.col("event_id").cast("string").alias("value"), (event % 8).alias("part"))
+    rows.repartition(8, "part").sortWithinPartitions("part", F.col("value").cast("bigint")).write.partitionBy("part").text(path)
     lines = logs.number_lines(logs.read_lines(spark, path))
     return lines.select(F.col("value").cast("bigint").alias("event_id"), "line_no")
 

@@ -301,9 +301,18 @@ def axis_allowed(dataset_id: Column, axis: Column) -> Column:
 def fixed_point(value: Column, digits: int) -> Column:
     """``value`` with 0 or 3 decimals; a number halfway between two goes to the even one, as in C.
 
-    With 3 decimals an exact binary halfway point is an odd multiple of 1/16.
+    The formatter rounds the shortest decimal text of a number. Where that ends halfway, the number itself lies above,
+    below or on the middle: which, tells the exact remainder, made of two products of halves that have no rounding.
     """
     if digits == 0:
         return F.format_string("%.0f", F.bround(value, 0))
-    halfway = F.abs(value * 16) % 2 == 1
-    return F.format_string(f"%.{digits}f", F.when(halfway, F.bround(value, digits)).otherwise(value))
+    steps = 2.0 * 10**digits
+    size = F.abs(value)
+    middle = 2 * F.floor(size * steps / 2) + 1
+    split = size * 134217729.0
+    high = split - (split - size)
+    rest = (high * steps - middle) + (size - high) * steps
+    near = F.abs(rest) < 1e-6
+    to = F.when(rest > 0, middle + 1).when(rest < 0, middle - 1).otherwise(2 * F.bround(middle / 2.0, 0))
+    sign = F.when(value < 0, -1.0).otherwise(1.0)
+    return F.format_string(f"%.{digits}f", F.when(near, sign * (to / 2 / 10**digits)).otherwise(value))

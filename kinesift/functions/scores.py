@@ -139,11 +139,12 @@ def statement_vector(evidence: Column, claims: Column, feature_mode: str = "orac
 
 
 def claim_matches(evidence: Column, claims: Column) -> tuple[Column, Column]:
-    """How many claims equal the card and how many do not."""
+    """How many claims equal the card and how many do not; a claim on a field that the card lacks does not."""
     same, other = F.lit(0), F.lit(0)
     for f in FIELDS:
-        same = same + F.coalesce(claims[f] == evidence[f], F.lit(False)).cast("int")
-        other = other + F.coalesce(claims[f] != evidence[f], F.lit(False)).cast("int")
+        equal = F.coalesce(claims[f] == evidence[f], F.lit(False))
+        same = same + equal.cast("int")
+        other = other + (claims[f].isNotNull() & ~equal).cast("int")
     return same, other
 
 

@@ -219,6 +219,25 @@ def model_fields(response: Column, dataset_id: Column) -> Column:
     return F.struct(*[out[f].alias(f) for f in FIELDS])
 
 
+# Keys of answers and words for yes and no.
+ANSWER_KEYS = ("answer_index", "caption_index", "choice_index", "index")
+SUPPORT_KEYS = ("supported", "labels", "answers", "is_supported")
+YES_WORDS = ("true", "yes", "supported", "support", "1")
+NO_WORDS = ("false", "no", "unsupported", "reject", "rejected", "0")
+
+
+def _is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
+def _whole(span: Column, key: str) -> Column:
+    """A JSON member as a whole number: numbers are cut, texts must be whole numbers, the rest is NULL."""
+    member = F.try_variant_get(span, f"$.{key}", "variant")
+    text = F.regexp_replace(F.try_variant_get(span, f"$.{key}", "string"), r"^\s+|\s+$", "")
+    number = F.when(text == "true", 1).when(text == "false", 0).otherwise(text.try_cast("double").try_cast("int"))
+    return F.when(_is_text(member), F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))).otherwise(number)
+
+
 def choice_index(response: Column, candidate_count: Column) -> Column:
     """0-based choice in a free answer: a JSON key, else the first lone letter, else the first number.
 
@@ -228,11 +247,8 @@ def choice_index(response: Column, candidate_count: Column) -> Column:
     def in_range(value: Column) -> Column:
         return F.when((value >= 0) & (value < candidate_count), value)
 
-    span = _json_span(response, "{", "}")
-    keyed = [
-        in_range(F.get_json_object(span, f"$.{k}").try_cast("double").cast("int"))
-        for k in ("answer_index", "caption_index", "choice_index", "index")
-    ]
+    span = F.try_parse_json(_json_span(response, "{", "}"))
+    keyed = [in_range(_whole(span, k)) for k in ANSWER_KEYS]
     letter = F.regexp_extract(F.upper(response), r"(?<![\p{L}\p{N}_])([A-Z])(?![\p{L}\p{N}_])", 1)
     lettered = F.when(letter != "", F.ascii(letter) - 65)
     number = F.regexp_extract(response, r"(?<![\p{L}\p{N}_])(\d+)(?![\p{L}\p{N}_])", 1).try_cast("int")
@@ -240,13 +256,15 @@ def choice_index(response: Column, candidate_count: Column) -> Column:
 
 
 def _yes_no(word: Column) -> Column:
-    lower = F.lower(F.trim(word))
-    number = lower.try_cast("double")
-    return (
-        F.when(lower.isin("true", "yes", "supported", "support", "1"), True)
-        .when(lower.isin("false", "no", "unsupported", "reject", "rejected", "0"), False)
-        .when(number.isNotNull(), number != 0)
-    )
+    lower = F.lower(F.regexp_replace(word, r"^\s+|\s+$", ""))
+    return F.when(lower.isin(*YES_WORDS), True).when(lower.isin(*NO_WORDS), False)
+
+
+def _yes_no_value(value: Column) -> Column:
+    """A JSON value as yes or no; any number but zero is a yes, text is a word."""
+    text = F.try_variant_get(value, "$", "string")
+    number = F.when(~_is_text(value), text.try_cast("double"))
+    return F.coalesce(_yes_no(text), F.when(number.isNotNull(), number != 0))
 
 
 def support_labels(response: Column, statement_count: Column) -> Column:
@@ -254,13 +272,10 @@ def support_labels(response: Column, statement_count: Column) -> Column:
 
     A JSON list (under one of four keys, or bare) comes first, then ``S<i>: yes/no`` lines.
     """
-    text_list = T.ArrayType(T.StringType())
-    span = _json_span(response, "{", "}")
-    listed = [
-        F.from_json(F.get_json_object(span, f"$.{k}"), text_list) for k in ("supported", "labels", "answers", "is_supported")
-    ]
-    bare = F.when(span.isNull(), F.from_json(_json_span(response, "[", "]"), text_list))
-    values = F.transform(F.slice(F.coalesce(*listed, bare), 1, F.greatest(statement_count, F.lit(0))), _yes_no)
+    span = F.try_parse_json(_json_span(response, "{", "}"))
+    listed = [F.try_variant_get(span, f"$.{k}", "array<variant>") for k in SUPPORT_KEYS]
+    bare = F.when(span.isNull(), F.try_variant_get(F.try_parse_json(_json_span(response, "[", "]")), "$", "array<variant>"))
+    values = F.transform(F.slice(F.coalesce(*listed, bare), 1, F.greatest(statement_count, F.lit(0))), _yes_no_value)
     whole = (F.size(values) == statement_count) & ~F.exists(values, lambda v: v.isNull())
 
     pattern = r"(?i)\bS?(\d+)\s*[:=-]\s*(supported|unsupported|true|false|yes|no|reject(?:ed)?)\b"

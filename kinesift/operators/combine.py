@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinesift.functions.arrays import first_argmax, item, top_margin
 from kinesift.functions.hashing import sha_bucket
+from kinesift.operators.metrics import rejection_columns, support_cells
 from kinesift.operators.scan import unique_rows
 
 # Margins tried when a gate is calibrated.
@@ -88,7 +89,9 @@ def hybrid_summary(rows: DataFrame) -> DataFrame:
     right = F.coalesce(F.col("caption_prediction") == F.col("caption_answer_index"), F.lit(False))
     n = F.greatest(F.lit(1), F.count(F.lit(1)))
     fallback = F.coalesce(F.sum(fell.cast("bigint")), F.lit(0))
-    return rows.agg(
+    judged = rows.withColumn("_cells", support_cells())
+    cells = {k: F.coalesce(F.sum(f"_cells.{k}"), F.lit(0)) for k in ("tp", "fp", "fn", "tn")}
+    return judged.agg(
         F.coalesce(F.avg(choice_correct()), F.lit(0.0)).alias("caption_selection_accuracy"),
         F.count(F.lit(1)).alias("n_eval_records"),
         fallback.alias("caption_fallback_count"),
@@ -100,6 +103,7 @@ def hybrid_summary(rows: DataFrame) -> DataFrame:
             "caption_fallback_accuracy"
         ),
         (1.0 - fallback / n).alias("structured_decisive_rate"),
+        *rejection_columns(cells, "cf_reject_"),
     )
 
 

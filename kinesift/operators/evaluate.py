@@ -156,6 +156,13 @@ def cosine_rows(vectors: DataFrame) -> DataFrame:
     return scored.withColumn("caption_prediction", first_argmax(F.col("caption_scores")))
 
 
+def cosine_judgements(rows: DataFrame) -> DataFrame:
+    """(window_id, truth, score): the positive and the counterfactual cosines of :func:`cosine_rows` as judged statements."""
+    one = lambda truth, score: F.struct(F.lit(truth).alias("truth"), score.alias("score"))
+    stated = F.concat(F.array(one(1, F.col("positive_score"))), F.transform("counterfactual_scores", lambda s: one(0, s)))
+    return rows.select("window_id", F.explode_outer(stated).alias("s")).select("window_id", "s.truth", "s.score")
+
+
 def _answer_key(records: DataFrame) -> DataFrame:
     n = F.size(F.col("caption_selection")["candidates"])
     mapped = "candidate_index_map" if "candidate_index_map" in records.columns else None

@@ -329,10 +329,11 @@ def mcnemar_columns(primary_only: Column, challenger_only: Column) -> list[Colum
     return [n.alias("discordant_count"), exact.alias("two_sided_p_value"), mid.alias("midp_value")]
 
 
-def paired_comparison(primary: DataFrame, challenger: DataFrame, on_duplicate: str = "error") -> DataFrame:
-    """Agreement counts of two systems with McNemar values. A missing prediction is wrong."""
+def paired_comparison(primary: DataFrame, challenger: DataFrame, on_duplicate: str = "error", by: list[str] = []) -> DataFrame:
+    """Agreement counts of two systems with McNemar values, per group of ``by`` (columns of ``primary``). A missing
+    prediction is wrong."""
     right = lambda: F.coalesce(F.col("caption_prediction") == F.col("caption_answer_index"), F.lit(False))
-    own = primary.select("window_id", right().alias("_p"))
+    own = primary.select("window_id", *by, right().alias("_p"))
     other = unique_rows(challenger.select("window_id", right().alias("_c")), "window_id", on_duplicate)
     joined = own.join(other, "window_id", "left")
     p, c = F.col("_p"), F.col("_c")
@@ -340,7 +341,7 @@ def paired_comparison(primary: DataFrame, challenger: DataFrame, on_duplicate: s
     def count(cond: Column) -> Column:
         return F.coalesce(F.sum(cond.cast("bigint")), F.lit(0))
 
-    counts = joined.agg(
+    counts = joined.groupBy(*by).agg(
         count(c.isNotNull()).alias("n_pairs"),
         count(c.isNull()).alias("missing_challenger"),
         count(p & c).alias("both_correct"),

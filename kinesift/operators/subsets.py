@@ -29,16 +29,17 @@ def constrained_subset(
     """Records whose structured scores do not single out one choice, cut to the choices still open.
 
     Open are all choices scored .5 or more when there are several, else the ``top_k`` by field agreement.
-    Losing the right choice fails the job; with ``strict=False`` such rows stay, marked by ``gold_lost``.
+    Losing the right choice, or a record without structured scores, fails the job; with ``strict=False`` such rows
+    stay, marked by ``gold_lost`` and ``verdict_missing``, the latter with all their choices.
     """
     verdicts = unique_rows(structured.select("window_id", "caption_scores", "evidence_fields"), "window_id")
-    joined = records.join(verdicts, "window_id")
+    joined = records.join(verdicts.withColumn("_told", F.lit(True)), "window_id", "left").withColumn("_told", F.col("_told").isNotNull())
     cs = F.col("caption_selection")
     indexed = F.transform("caption_scores", lambda s, i: F.when(s >= 0.5, i))
     claims = joined.withColumn("_positive", F.filter(indexed, lambda i: i.isNotNull())).withColumn(
         "_claims", F.transform(cs["candidates"], lambda c: caption_claims(F.lower(c["text"])))
     )
-    ambiguous = F.size("_positive") != 1
+    ambiguous = ~F.col("_told") | (F.size("_positive") != 1)
     kept = claims.filter(ambiguous) if ambiguous_only else claims
     ranked = F.transform(
         "_claims",
@@ -50,14 +51,18 @@ def constrained_subset(
     )
     best = F.transform(F.slice(F.array_sort(ranked), 1, max(1, top_k)), lambda r: r["i"])
     selected = kept.withColumn("_ambiguous", ambiguous).withColumn(
-        "_selected", F.when(F.size("_positive") > 1, F.col("_positive")).otherwise(best)
+        "_selected",
+        F.when(~F.col("_told"), F.transform(cs["candidates"], lambda _, i: i)).when(F.size("_positive") > 1, F.col("_positive")).otherwise(best),
     )
     answer = F.array_position("_selected", cs["answer_index"]).cast("int") - 1
     lost = answer < 0
     if strict:
+        fail = F.raise_error(F.concat(F.lit("no structured scores for "), F.col("window_id")))
+        answer = F.when(~F.col("_told"), fail).otherwise(answer)
         answer = F.when(lost, F.raise_error(F.concat(F.lit("subset lost the right choice of "), F.col("window_id")))).otherwise(answer)
     return (
         selected.withColumn("gold_lost", lost)
+        .withColumn("verdict_missing", ~F.col("_told"))
         .withColumn("original_candidate_count", F.size(cs["candidates"]))
         .withColumn(
             "caption_selection",
@@ -69,7 +74,7 @@ def constrained_subset(
         )
         .withColumn("candidate_index_map", F.col("_selected"))
         .withColumn("ambiguous_window", F.col("_ambiguous"))
-        .drop("_positive", "_claims", "_selected", "_ambiguous", "caption_scores", "evidence_fields")
+        .drop("_positive", "_claims", "_selected", "_ambiguous", "_told", "caption_scores", "evidence_fields")
     )
 
 

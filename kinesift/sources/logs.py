@@ -37,11 +37,16 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse_log3(value: Column) -> Column:
     """STRUCT<subject_id, activity, ts_ns, values> of ``user,activity,ts,x,y,z;`` - NULL for a bad line."""
-    text = F.trim(value)
+    text = stripped(value)
     text = F.when(text.endswith(";"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    parts = F.transform(F.split(text, ",", -1), lambda part: F.trim(part))
+    parts = F.transform(F.split(text, ",", -1), stripped)
     user = F.get(parts, F.lit(0)).try_cast("bigint")
     ts = F.get(parts, F.lit(2)).try_cast("bigint")
     values = F.transform(F.slice(parts, 4, 3), lambda v: v.try_cast("double"))
@@ -59,9 +64,9 @@ def parse_log3(value: Column) -> Column:
 
 def parse_log21(value: Column) -> Column:
     """STRUCT<activity, values> of a whitespace line of 23+ values and a label id; label 0 or unknown is NULL."""
-    parts = F.split(F.trim(value), r"\s+")
+    parts = F.split(stripped(value), r"\s+")
     numbers = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: v.try_cast("double"))
-    label = F.element_at(parts, -1).try_cast("double").cast("int")
+    label = F.element_at(parts, -1).try_cast("double").try_cast("int")
     activity = worded(label, ACTIVITY_LABELS_12)
     good = (F.size(parts) >= 24) & ~F.exists(numbers, lambda v: v.isNull()) & activity.isNotNull()
     kept = F.concat(*[F.slice(numbers, first, count) for first, count in KEPT_VALUES])
@@ -75,7 +80,7 @@ def file_subject(file_name: Column) -> Column:
 
 
 def _parsed(lines: DataFrame, parsed: Column) -> DataFrame:
-    return lines.filter(F.length(F.trim("value")) > 0).withColumn("_p", parsed)
+    return lines.filter(F.col("value").rlike(r"\S")).withColumn("_p", parsed)
 
 
 def read_log3(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -136,13 +141,13 @@ def read_matrices(
     names = {f"{stem}_{split}.txt": channel for channel, stem in MATRIX_FILES.items()}
     paths = [f"{base}/{split}/Inertial Signals/{name}" for name in names]
     paths += [f"{base}/{split}/y_{split}.txt", f"{base}/{split}/subject_{split}.txt"]
-    lines = number_lines(read_lines(spark, paths).filter(F.length(F.trim("value")) > 0))
+    lines = number_lines(read_lines(spark, paths).filter(F.col("value").rlike(r"\S")))
     if max_windows is not None and max_windows >= 0:
         lines = lines.filter(F.col("line_no") < max_windows)
     name = F.replace(F.col("file_name"), F.lit("%20"), F.lit(" "))
 
     def line_of(file: str) -> Column:
-        return F.max(F.when(name == file, F.trim("value")))
+        return F.max(F.when(name == file, stripped(F.col("value"))))
 
     rows = lines.groupBy("line_no").agg(
         *[line_of(file).alias(channel) for file, channel in names.items()],
@@ -150,8 +155,8 @@ def read_matrices(
         line_of(f"subject_{split}.txt").alias("_s"),
     )
     signals = [F.transform(F.split(c, r"\s+"), lambda v: v.cast("double")).alias(c) for c in MATRIX_FILES]
-    label = F.col("_y").cast("double").cast("int")
-    wide = rows.select("line_no", *signals, label.alias("_l"), F.col("_s").cast("double").cast("int").cast("string").alias("subject_id"))
+    label = F.col("_y").try_cast("double").try_cast("int")
+    wide = rows.select("line_no", *signals, label.alias("_l"), F.col("_s").try_cast("double").try_cast("int").cast("string").alias("subject_id"))
     sensor = F.transform(
         F.arrays_zip(*MATRIX_FILES), lambda row: F.array(*[row[c] for c in MATRIX_FILES])
     )
