@@ -31,8 +31,10 @@ WORD_BITS, COUNTER_BITS = 44, 22
 SLICE = 1 << 16
 #: Bytes of text whose words are found at once.
 CHUNK = 1 << 21
+#: Lines of so many words also carry the parity of words over WIDE times 64 bits: 64 bits tell too little of them.
+LONG, WIDE = 48, 4
 #: From this count on, a prefix word is met in two steps.
-COMMON = 1024
+COMMON = 512
 SALTS = 16
 NEIGHBOURS = 4
 
@@ -166,11 +168,11 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return table
 
 
-LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, bits long, common int, prefix array<int>"
+LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, bits long, wide array<long>, common int, prefix array<int>"
 
 
 def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
-    """Every line with a word: its place, the hash of its word set, their number, their parity over 64 bits, and the
+    """Every line with a word: its place, the hash of its word set, their number, their parity over 64 bits (for long lines, also over ``WIDE`` times as many), and the
     prefix words that other lines may share, rarest first. ``common``: how many of these, the last ones, are common."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shape = LINE_SHAPE.format(key=docs.schema[key].dataType.simpleString())
@@ -196,13 +198,19 @@ def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> D
             use = (np.arange(len(word)) - start[place] < prefix[place]) & (often > 1)
             kept = np.bincount(place[use], minlength=len(n))
             common = np.bincount(place[use & (often >= COMMON)], minlength=len(n))
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (word & np.uint64(63)), start)
+            single = np.uint64(1) << (word & np.uint64(63))
+            bits = np.bitwise_xor.reduceat(single, start)
+            part = (word >> np.uint64(6)) & np.uint64(WIDE - 1)
+            wide = np.stack([np.bitwise_xor.reduceat(np.where(part == k, single, np.uint64(0)), start) for k in range(WIDE)], 1)
+            long = n >= LONG
+            wide_ends = np.concatenate(([0], np.cumsum(np.where(long, WIDE, 0)))).astype(np.int32)
+            wide = pa.ListArray.from_arrays(pa.array(wide_ends), pa.array(wide[long].ravel().view(np.int64)))
             ends = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((order[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             at = pa.array(found["doc"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), pa.array(common.astype(np.int32)), lists],
-                ["doc", "mark", "line", "set", "n", "bits", "common", "prefix"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), wide, pa.array(common.astype(np.int32)), lists],
+                ["doc", "mark", "line", "set", "n", "bits", "wide", "common", "prefix"],
             )
 
     return _keyed(docs, key, text).mapInArrow(emit, shape)
@@ -239,10 +247,12 @@ def words_of_sets(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
 def _possible(a: str, b: str) -> Column:
     """Length, position and parity filters for Jaccard 0.8: overlap at least 4/9 of both sizes together."""
     n1, n2, p1, p2 = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
+    apart = sum((F.bit_count(F.get(f"{a}.wide", F.lit(k)).bitwiseXOR(F.get(f"{b}.wide", F.lit(k)))) for k in range(WIDE)), F.lit(0))
     return (
         (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2))
         & (9 * F.least(n1 - p1, n2 - p2) >= 4 * (n1 + n2))
         & (9 * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= n1 + n2)
+        & F.coalesce(9 * apart <= n1 + n2, F.lit(True))
     )
 
 
@@ -251,9 +261,10 @@ def _entries(sets: DataFrame, common: bool = False) -> DataFrame:
     line has come before it)."""
     skipped = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - F.size("prefix")
     rare = F.size("prefix") - F.col("common")
-    every = sets.select("set", "n", "bits", "open", skipped.cast("int").alias("_s"), rare.alias("_r"), F.posexplode("prefix").alias("_p", "word"))
+    more = ["first"] if common else []
+    every = sets.select("set", "n", "bits", "wide", "open", *more, skipped.cast("int").alias("_s"), rare.alias("_r"), F.posexplode("prefix").alias("_p", "word"))
     every = every.filter("_p >= _r") if common else every
-    return every.select("word", "set", "n", "bits", "open", (F.col("_p") + F.col("_s")).alias("pos"))
+    return every.select("word", "set", "n", "bits", "wide", "open", *more, (F.col("_p") + F.col("_s")).alias("pos"))
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
@@ -264,9 +275,10 @@ def _pairs(entries: DataFrame) -> DataFrame:
 
 
 def _neighbours(entries: DataFrame) -> DataFrame:
-    """(a, b) for sets with a common prefix word: each against the few before it among a salted share of the word's sets."""
-    w = Window.partitionBy("word", F.pmod("set", F.lit(SALTS))).orderBy("n", "bits", "set")
-    row = F.struct("set", "n", "bits", "pos")
+    """(a, b) for sets with a common prefix word: each against the few that occur last before it, among a salted
+    share of the word's sets. Where all are similar, only the first of each share is left unsettled."""
+    w = Window.partitionBy("word", F.pmod("set", F.lit(SALTS))).orderBy("first", "set")
+    row = F.struct("set", "n", "bits", "wide", "pos")
     near = entries.select("word", row.alias("r"), *[F.lag(row, k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
     each = near.select("r", F.explode(F.array(*[f"l{k}" for k in range(1, NEIGHBOURS + 1)])).alias("l")).filter("l is not null")
     return each.filter(_possible("l", "r")).select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
@@ -332,7 +344,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lines = stored(with_prefixes(docs, key, text, word_counts(docs, text)), "lines")
     place = F.struct("doc", "mark", "line")
     grouped = lines.groupBy("set").agg(
-        F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("common").alias("common"), F.first("prefix").alias("prefix")
+        F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("common").alias("common"), F.first("prefix").alias("prefix")
     )
     sets = stored(grouped, "line-sets")
     gone = similar_to_earlier(docs, sets, text).select("set", F.lit(True).alias("gone"))
