@@ -99,11 +99,6 @@ def predicted_fields(probabilities: Column, vocabulary: dict[str, list[str]] = V
     )
 
 
-def decision_row(scores: Column) -> list[Column]:
-    """``caption_prediction`` (first best) and ``caption_scores``."""
-    return [first_argmax(scores).alias("caption_prediction"), scores.alias("caption_scores")]
-
-
 def card_vector(evidence: Column) -> Column:
     """Numbers, confidence, one-hot words and trend counts of a card."""
     numbers = [

@@ -312,7 +312,3 @@ def mask_numbers(text: Column) -> Column:
 def mask_all_numbers(text: Column) -> Column:
     """The stress variant: also takes a leading sign and numbers next to dots; only letters guard."""
     return F.regexp_replace(text, r"(?<![A-Za-z])[-+]?\p{Nd}+(?:\.\p{Nd}+)?", "<num>")
-
-
-def axis_names() -> list[str]:
-    return list(AXIS_WORDS)

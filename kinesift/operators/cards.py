@@ -33,7 +33,9 @@ class CardBounds:
 
     @staticmethod
     def from_table(table: DataFrame) -> "CardBounds":
-        rows = table.limit(len(BOUNDED) + 1).collect()
+        rows = table.collect()
+        if {r["measure"] for r in rows} != set(BOUNDED) or len(rows) != len(BOUNDED):
+            raise ValueError("a table of card bounds has one row per bounded measure")
         return CardBounds({r["measure"]: (r["low"], r["high"]) for r in rows}, rows[0]["sample_rate"])
 
 

@@ -7,8 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LABELS = 10_000
-
 
 def _literal(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
@@ -70,7 +68,7 @@ class Centroids:
 
     @staticmethod
     def from_table(table: DataFrame) -> "Centroids":
-        rows = table.limit(MAX_LABELS + 2).collect()
+        rows = table.collect()
         part = {r["part"]: list(r["at"]) for r in rows if r["part"] != "center"}
         return Centroids(
             ZScore(part["mean"], part["std"]), {r["label"]: list(r["at"]) for r in rows if r["part"] == "center"}
@@ -78,7 +76,7 @@ class Centroids:
 
 
 def fit_centroids(features: DataFrame, label: str = "label", column: str = "features") -> Centroids:
-    """Class means of the z-scored features. Labels are a closed set; more than 10,000 are refused."""
+    """Class means of the z-scored features: one vector per label comes back, as the model's parameters."""
     scale = fit_zscore(features, column)
     means = (
         features.select(F.col(label).cast("string").alias("label"), F.posexplode_outer(scale.apply(F.col(column))).alias("p", "x"))
@@ -86,9 +84,6 @@ def fit_centroids(features: DataFrame, label: str = "label", column: str = "feat
         .agg(F.avg("x").alias("m"))
         .groupBy("label")
         .agg(F.array_sort(F.collect_list(F.struct("p", "m"))).alias("ms"))
-        .limit(MAX_LABELS + 1)
         .collect()
     )
-    if len(means) > MAX_LABELS:
-        raise ValueError("too many labels for a centroid model")
     return Centroids(scale, {r["label"]: [m["m"] for m in r["ms"]] for r in means})

@@ -283,17 +283,6 @@ def caption_samples(rows: DataFrame) -> DataFrame:
     )
 
 
-def support_samples(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """key (window::text), truth, pred, correct per judged statement."""
-    opened = support_rows(rows, threshold)
-    return opened.select(
-        F.concat_ws("::", "window_id", "text").alias("key"),
-        (F.col("predicted").cast("int") == F.col("truth")).cast("int").alias("correct"),
-        "truth",
-        F.col("predicted").cast("int").alias("pred"),
-    )
-
-
 # ---- Paired significance -----------------------------------------------------------------------
 
 

@@ -157,10 +157,6 @@ def sliding_windows(
     )
 
 
-def windows_in_run(n: Column, size: int, stride: int) -> Column:
-    return F.greatest(F.lit(0), F.floor((n - size) / F.lit(stride)) + 1).cast("bigint")
-
-
 def number_windows(
     windows: DataFrame, *, keys: list[str], start: list[str], dataset_id: str, split: str = "split"
 ) -> DataFrame:

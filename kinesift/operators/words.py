@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinesift.functions.hashing import hex_number
@@ -12,15 +14,20 @@ from kinesift.functions.textfields import tokens
 def hashed_bag(texts: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
     """(key, bucket, weight): token counts in ``dim`` hash buckets at unit length; documents without tokens give no row.
 
-    A document's tokens are summed to at most ``dim`` buckets before the shuffle.
+    A document is one row, so its bag and norm are made inside the row: nothing is shuffled.
     """
-    # The outer form: an inner explode also filters by the array's size and would tokenise every text twice.
-    words = texts.select(key, F.explode_outer(tokens(F.col(text))).alias("_w")).filter(F.col("_w").isNotNull())
-    counts = words.groupBy(key, (hex_number(F.md5("_w"), 8) % dim).alias("bucket")).agg(
-        F.count(F.lit(1)).cast("double").alias("_n")
-    )
-    norm = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(key)))
-    return counts.select(key, "bucket", (F.col("_n") / norm).alias("weight"))
+
+    @F.pandas_udf("array<double>")
+    def bag(buckets: pd.Series) -> pd.Series:
+        out = []
+        for b in buckets:
+            counts = np.bincount(np.asarray(b if b is not None else [], dtype=np.int64), minlength=dim).astype(float)
+            out.append(counts / max(np.sqrt((counts * counts).sum()), 1.0))
+        return pd.Series(out)
+
+    buckets = F.transform(tokens(F.col(text)), lambda w: (hex_number(F.md5(w), 8) % dim).cast("int"))
+    bags = texts.select(key, F.posexplode(bag(buckets)).alias("bucket", "weight"))
+    return bags.filter(F.col("weight") > 0).select(key, F.col("bucket").cast("bigint").alias("bucket"), "weight")
 
 
 def card_tokens(mode: str = "rich") -> Column:

@@ -35,14 +35,6 @@ def write_windows(windows: DataFrame, path: str) -> DataFrame:
     return written.groupBy("dataset_id", "split").agg(F.count(F.lit(1)).alias("windows"))
 
 
-def read_windows(spark: SparkSession, path: str, dataset_id: str | None = None, split: str | None = None) -> DataFrame:
-    """The written windows; the two filters prune folders."""
-    df = spark.read.parquet(path)
-    if dataset_id:
-        df = df.filter(F.col("dataset_id") == dataset_id)
-    return df.filter(F.col("split") == split) if split else df
-
-
 def save_bounds(bounds: CardBounds, spark: SparkSession, path: str) -> None:
     bounds.table(spark).coalesce(1).write.mode("overwrite").parquet(path)
 
