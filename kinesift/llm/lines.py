@@ -256,27 +256,33 @@ def _possible(a: str, b: str) -> Column:
     )
 
 
-def _entries(sets: DataFrame, common: bool = False) -> DataFrame:
-    """A row for each shareable (or only for each common) prefix word of each set; ``pos`` is its place in the set's order (words that no other
-    line has come before it)."""
-    skipped = F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - F.size("prefix")
-    rare = F.size("prefix") - F.col("common")
-    more = ["first"] if common else []
-    every = sets.select("set", "n", "bits", "wide", "open", *more, skipped.cast("int").alias("_s"), rare.alias("_r"), F.posexplode("prefix").alias("_p", "word"))
-    every = every.filter("_p >= _r") if common else every
-    return every.select("word", "set", "n", "bits", "wide", "open", *more, (F.col("_p") + F.col("_s")).alias("pos"))
+def _skipped() -> Column:
+    """Prefix words of a set that no other line has; they come first in its order."""
+    return (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - F.size("prefix")).cast("int")
+
+
+def _entries(sets: DataFrame) -> DataFrame:
+    """A row for each shareable prefix word of each set; ``pos`` is its place in the set's order."""
+    every = sets.select("set", "n", "bits", "wide", "open", _skipped().alias("_s"), F.posexplode("prefix").alias("_p", "word"))
+    return every.select("word", "set", "n", "bits", "wide", "open", (F.col("_p") + F.col("_s")).alias("pos"))
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): sets that may be similar, at least b of them open. Both sides are the same rows, shuffled once."""
+    """(a, b): sets that may be similar, at least b of them open. Both sides are the same rows, shuffled once: the one
+    condition on either side must not be moved below the exchange."""
     l, r = entries.alias("l"), entries.alias("r")
-    once = F.col("r.open") & (F.col("l.set") != F.col("r.set")) & (~F.col("l.open") | (F.col("l.set") < F.col("r.set")))
+    once = (
+        F.when(F.col("l.set") < F.col("r.set"), F.col("r.open"))
+        .when(F.col("l.set") > F.col("r.set"), F.col("r.open") & ~F.col("l.open"))
+        .otherwise(False)
+    )
     return l.join(r, (F.col("l.word") == F.col("r.word")) & once & _possible("l", "r")).select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
 
 
-def _neighbours(entries: DataFrame) -> DataFrame:
-    """(a, b) for sets with a common prefix word: each against the few that occur last before it, among a salted
-    share of the word's sets. Where all are similar, only the first of each share is left unsettled."""
+def _neighbours(common: DataFrame) -> DataFrame:
+    """(a, b) for sets whose last prefix word is common: each against the few that occur last before it, among a salted
+    share of that word's sets. Where all are similar, only the first of each share is left unsettled."""
+    entries = common.select(F.element_at("prefix", -1).alias("word"), "set", "n", "bits", "wide", "first", (_skipped() + F.size("prefix") - 1).alias("pos"))
     w = Window.partitionBy("word", F.pmod("set", F.lit(SALTS))).orderBy("first", "set")
     row = F.struct("set", "n", "bits", "wide", "pos")
     near = entries.select("word", row.alias("r"), *[F.lag(row, k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
@@ -312,8 +318,8 @@ def _settled(docs: DataFrame, text: str, directed: DataFrame) -> DataFrame:
 def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
     """(set): sets that are similar to another one which first occurs earlier.
 
-    Of a group of many similar lines each needs one earlier partner, not all pairs. So sets with a common prefix
-    word first meet a few neighbours; those found later than a verified neighbour are settled, and only the others
+    Of a group of many similar lines each needs one earlier partner, not all pairs. So sets with a common last
+    prefix word first meet a few neighbours; those found later than a verified neighbour are settled, and only the others
     meet all sets with which they share a prefix word. Of the partners found, each set is verified against the
     most promising one, and against all the others only if that one fails.
     """
@@ -321,7 +327,7 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame
     found = []
     common = sets.filter("common > 0")
     if not common.isEmpty():
-        near = stored(_directed(_neighbours(_entries(common, common=True)), sets), "near-lines")
+        near = stored(_directed(_neighbours(common), sets), "near-lines")
         if not near.isEmpty():
             found.append(_settled(docs, text, near))
             done = found[0].withColumn("done", F.lit(True))
