@@ -89,7 +89,9 @@ def hybrid_summary(rows: DataFrame) -> DataFrame:
     right = F.coalesce(F.col("caption_prediction") == F.col("caption_answer_index"), F.lit(False))
     n = F.greatest(F.lit(1), F.count(F.lit(1)))
     fallback = F.coalesce(F.sum(fell.cast("bigint")), F.lit(0))
-    judged = rows.withColumn("_cells", support_cells())
+    # Rows without judged statements have nothing to reject and no such measures.
+    stated = "support_items" in rows.columns
+    judged = rows.withColumn("_cells", support_cells()) if stated else rows
     cells = {k: F.coalesce(F.sum(f"_cells.{k}"), F.lit(0)) for k in ("tp", "fp", "fn", "tn")}
     return judged.agg(
         F.coalesce(F.avg(choice_correct()), F.lit(0.0)).alias("caption_selection_accuracy"),
@@ -103,7 +105,7 @@ def hybrid_summary(rows: DataFrame) -> DataFrame:
             "caption_fallback_accuracy"
         ),
         (1.0 - fallback / n).alias("structured_decisive_rate"),
-        *rejection_columns(cells, "cf_reject_"),
+        *(rejection_columns(cells, "cf_reject_") if stated else []),
     )
 
 
