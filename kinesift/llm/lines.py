@@ -11,7 +11,7 @@ documents and lines) is 0.8 or more, none is kept. Equal sets meet by a hash of
 
 Word counts are kept for hashed words in a table of fixed size: sharing a counter can make a word seem less
 rare than it is, which costs candidates, never results. Words are compared by 44 bits of a 64-bit hash.
-A word that very many lines share is met in two steps, see ``similar_to_earlier``.
+Groups of many similar lines are met in two steps, see ``similar_to_earlier``.
 """
 
 from __future__ import annotations
@@ -33,8 +33,7 @@ SLICE = 1 << 16
 CHUNK = 1 << 21
 #: Lines of so many words also carry the parity of words over WIDE times 64 bits: 64 bits tell too little of them.
 LONG, WIDE = 48, 4
-#: From this count on, a prefix word is met in two steps.
-COMMON = 512
+#: Shares that the sets of a word are dealt into for the first step, and how many sets before it each meets there.
 SALTS = 16
 NEIGHBOURS = 4
 
@@ -168,12 +167,12 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return table
 
 
-LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, bits long, wide array<long>, common int, prefix array<int>"
+LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, bits long, wide array<long>, prefix array<int>"
 
 
 def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
     """Every line with a word: its place, the hash of its word set, their number, their parity over 64 bits (for long lines, also over ``WIDE`` times as many), and the
-    prefix words that other lines may share, rarest first. ``common``: how many of these, the last ones, are common."""
+    prefix words that other lines may share, rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shape = LINE_SHAPE.format(key=docs.schema[key].dataType.simpleString())
 
@@ -197,7 +196,6 @@ def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> D
             prefix = n - (4 * n + 4) // 5 + 1
             use = (np.arange(len(word)) - start[place] < prefix[place]) & (often > 1)
             kept = np.bincount(place[use], minlength=len(n))
-            common = np.bincount(place[use & (often >= COMMON)], minlength=len(n))
             single = np.uint64(1) << (word & np.uint64(63))
             bits = np.bitwise_xor.reduceat(single, start)
             part = (word >> np.uint64(6)) & np.uint64(WIDE - 1)
@@ -209,8 +207,8 @@ def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> D
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((order[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             at = pa.array(found["doc"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), wide, pa.array(common.astype(np.int32)), lists],
-                ["doc", "mark", "line", "set", "n", "bits", "wide", "common", "prefix"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), wide, lists],
+                ["doc", "mark", "line", "set", "n", "bits", "wide", "prefix"],
             )
 
     return _keyed(docs, key, text).mapInArrow(emit, shape)
@@ -279,10 +277,10 @@ def _pairs(entries: DataFrame) -> DataFrame:
     return l.join(r, (F.col("l.word") == F.col("r.word")) & once & _possible("l", "r")).select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
 
 
-def _neighbours(common: DataFrame) -> DataFrame:
-    """(a, b) for sets whose last prefix word is common: each against the few that occur last before it, among a salted
-    share of that word's sets. Where all are similar, only the first of each share is left unsettled."""
-    entries = common.select(F.element_at("prefix", -1).alias("word"), "set", "n", "bits", "wide", "first", (_skipped() + F.size("prefix") - 1).alias("pos"))
+def _neighbours(sets: DataFrame) -> DataFrame:
+    """(a, b): each set against the few that occur last before it, among a salted share of those with its last prefix word.
+    Where all are similar, only the first of each share is left unsettled."""
+    entries = sets.filter(F.size("prefix") > 0).select(F.element_at("prefix", -1).alias("word"), "set", "n", "bits", "wide", "first", (_skipped() + F.size("prefix") - 1).alias("pos"))
     w = Window.partitionBy("word", F.pmod("set", F.lit(SALTS))).orderBy("first", "set")
     row = F.struct("set", "n", "bits", "wide", "pos")
     near = entries.select("word", row.alias("r"), *[F.lag(row, k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
@@ -318,20 +316,18 @@ def _settled(docs: DataFrame, text: str, directed: DataFrame) -> DataFrame:
 def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
     """(set): sets that are similar to another one which first occurs earlier.
 
-    Of a group of many similar lines each needs one earlier partner, not all pairs. So sets with a common last
-    prefix word first meet a few neighbours; those found later than a verified neighbour are settled, and only the others
+    Of a group of many similar lines each needs one earlier partner, not all pairs. So each set first
+    meets a few that share its last prefix word; those found later than a verified neighbour are settled, and only the others
     meet all sets with which they share a prefix word. Of the partners found, each set is verified against the
     most promising one, and against all the others only if that one fails.
     """
     sets = sets.withColumn("open", F.lit(True))
     found = []
-    common = sets.filter("common > 0")
-    if not common.isEmpty():
-        near = stored(_directed(_neighbours(common), sets), "near-lines")
-        if not near.isEmpty():
-            found.append(_settled(docs, text, near))
-            done = found[0].withColumn("done", F.lit(True))
-            sets = sets.join(done, "set", "left").withColumn("open", F.col("done").isNull()).drop("done")
+    near = stored(_directed(_neighbours(sets), sets), "near-lines")
+    if not near.isEmpty():
+        found.append(_settled(docs, text, near))
+        done = found[0].withColumn("done", F.lit(True))
+        sets = sets.join(done, "set", "left").withColumn("open", F.col("done").isNull()).drop("done")
     directed = stored(_directed(_pairs(_entries(sets)), sets), "line-pairs")
     found.append(_settled(docs, text, directed))
     rest = stored(directed.join(reduce(DataFrame.union, found).withColumnRenamed("set", "b"), "b", "left_anti"), "open-pairs")
@@ -350,7 +346,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lines = stored(with_prefixes(docs, key, text, word_counts(docs, text)), "lines")
     place = F.struct("doc", "mark", "line")
     grouped = lines.groupBy("set").agg(
-        F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("common").alias("common"), F.first("prefix").alias("prefix")
+        F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")
     )
     sets = stored(grouped, "line-sets")
     gone = similar_to_earlier(docs, sets, text).select("set", F.lit(True).alias("gone"))

@@ -177,9 +177,9 @@ def plain_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("common", [1024, 3])
-def test_repeated_lines_equal_all_pairs(spark, monkeypatch, common):
-    monkeypatch.setattr(lines, "COMMON", common)
+@pytest.mark.parametrize("salts", [16, 1])
+def test_repeated_lines_equal_all_pairs(spark, monkeypatch, salts):
+    monkeypatch.setattr(lines, "SALTS", salts)
     rng = random.Random(6)
     texts = list(ODD)
     stock = [words(rng, rng.randrange(1, 40), 90) for _ in range(60)]
