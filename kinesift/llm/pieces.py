@@ -167,8 +167,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.fits: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _neighbours(self, left: str, right: str) -> bool:
         """Whether merging the joint text of two pieces gives these two."""
@@ -221,7 +221,7 @@ class Encoder:
             last.append(chosen)
             best.append(top)
 
-    def _ids(self, last: list[str]) -> array:
+    def _ids(self, last: list[str]) -> bytes:
         out: list[int] = []
         at, ids = len(last) - 1, self.v.ids
         while at > 0:
@@ -234,10 +234,11 @@ class Encoder:
                 out.append(number)
             at -= len(piece)
         out.reverse()
-        return array("i", out)
+        return array("i", out).tobytes()
 
     def learn(self, words: Collection[str]) -> None:
-        """Encode the words that are new: in sorted order, forward states of shared prefixes are kept."""
+        """Encode the words that are new: in sorted order, forward states of shared prefixes are kept. A word without a
+        mark stands for the same word with one."""
         if len(self.words) > REMEMBERED:
             self.older, self.words = self.words, {}
         new = []
@@ -248,16 +249,16 @@ class Encoder:
                     new.append(w)
                 else:
                     self.words[w] = known
-        new.sort()
+        marked = sorted((w if w.startswith(MARK) else MARK + w, w) for w in new)
         last, best, before = [""], [0.0], ""
-        for word in new:
+        for word, name in marked:
             shared = len(commonprefix((before, word)))
             del last[shared + 1 :], best[shared + 1 :]
             if self.v.merges:
                 self._extend_merged(word, last)
             else:
                 self._extend_scored(word, last, best)
-            self.words[word] = self._ids(last)
+            self.words[name] = self._ids(last)
             before = word
 
 
@@ -279,9 +280,17 @@ def marked_words(text: str) -> list[str]:
     return out
 
 
+def _words(text: str | None) -> list[str]:
+    """The words of a text; where all its blanks are single, without their marks."""
+    if not text:
+        return []
+    words = text.split(" ")
+    return marked_words(text) if "" in words or MARK in text else words
+
+
 def encode_batch(texts: list[str | None], encoder: Encoder) -> list[np.ndarray]:
     """Piece ids of each text; none for null."""
-    cut = [marked_words(t) if t else [] for t in texts]
+    cut = [_words(t) for t in texts]
     encoder.learn(set(chain.from_iterable(cut)))
     known = encoder.words
     return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
