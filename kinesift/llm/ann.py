@@ -8,7 +8,8 @@ the cell borders, sorted, take the place of their expected values, for which the
 perturbations are known beforehand. The candidates of all tables are ranked by the exact inner product.
 
 The number of directions follows the logarithm of the number of vectors, so buckets grow much more slowly than the
-table, at every size by the same formula.
+table, and the number of probes follows the directions, so the chance to visit a neighbour's bucket does not fall; both
+at every size by the same formula. Buckets are dealt into parts, and a query meets each part once, with the list of the buckets it visits there.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from kinesift.llm.text import stored
 
 TABLES = 6
 WIDTH = 1.5
+#: Probes at four directions and fewer; every further direction takes SPREAD times as many.
 PROBES = 36
+SPREAD = 2.5
 SEED = 29
 #: Vectors, and queries, of a bucket that one task compares at once.
 BLOCK = 8192
@@ -36,6 +39,10 @@ def directions_for(rows: int) -> int:
     return max(2, round(math.log2(max(rows, 2)) / 3))
 
 
+def probes_for(m: int) -> int:
+    return math.ceil(PROBES * SPREAD ** max(0, m - 4))
+
+
 def probe_sets(m: int, probes: int) -> list[tuple[int, ...]]:
     """The most promising sets of perturbations, as places in the sorted list of the 2m distances to cell borders.
 
@@ -60,12 +67,12 @@ def probe_sets(m: int, probes: int) -> list[tuple[int, ...]]:
 class Hashes:
     """The tables' directions and offsets; the same for a seed everywhere."""
 
-    def __init__(self, size: int, m: int, seed: int = SEED, tables: int = TABLES, probes: int = PROBES):
+    def __init__(self, size: int, m: int, seed: int = SEED, tables: int = TABLES, probes: int | None = None):
         rng = np.random.default_rng(seed)
         self.a = rng.normal(size=(tables, size + 1, m))
         self.b = rng.uniform(0.0, WIDTH, (tables, m))
         self.odd = rng.integers(1, 1 << 62, m) | 1
-        self.sets = probe_sets(m, probes)
+        self.sets = probe_sets(m, probes or probes_for(m))
         self.m = m
 
     def cells(self, table: int, points: np.ndarray) -> np.ndarray:
@@ -132,7 +139,7 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, probes: int = PROBES
+    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, probes: int | None = None
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): of every row whose key is divisible by ``every``, the ``k`` nearest other rows found.
 
@@ -146,7 +153,10 @@ def nearest(
     got = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.max(F.size("v")).alias("d")).first()
     longest, size = math.sqrt(got["top"] or 1.0), got["d"] or 0
     hashes = Hashes(size, directions_for(got["n"]), probes=probes)
-    tables = len(hashes.a)
+    tables, parts = len(hashes.a), math.ceil(2 * max(got["n"], 1) / BLOCK)
+
+    def part_of(spots: np.ndarray) -> np.ndarray:
+        return ((spots.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,8 +164,9 @@ def nearest(
                 v = _matrix(batch.column(0)) / longest
                 full = np.concatenate([v, np.sqrt(np.maximum(0.0, 1 - (v * v).sum(1)))[:, None]], 1)
                 for t in range(tables):
-                    spot = pa.array(hashes.key(np.floor(hashes.cells(t, full))))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), spot, batch.column(0), batch.column(1)], ["t", "bucket", "v", "ids"])
+                    spot = hashes.key(np.floor(hashes.cells(t, full)))
+                    columns = [pa.array(np.full(len(v), t, np.int32)), pa.array(part_of(spot)), pa.array(spot), batch.column(0), batch.column(1)]
+                    yield pa.RecordBatch.from_arrays(columns, ["t", "part", "bucket", "v", "ids"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,19 +176,25 @@ def nearest(
                 full = np.concatenate([v / np.sqrt((v * v).sum(1))[:, None], np.zeros((len(v), 1))], 1)
                 for t in range(tables):
                     spots = hashes.probes(t, full)
-                    who = pa.array(np.repeat(np.arange(len(v)), spots.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(spots.size, t, np.int32)), pa.array(spots.ravel()), part.column(0).take(who), part.column(1).take(who)], ["t", "bucket", "id", "v"])
-
-    filed = points.mapInArrow(index, "t int, bucket long, v array<double>, ids array<long>")
-    asked = rows.filter(F.col("id") % every == 0).mapInArrow(visit, "t int, bucket long, id long, v array<double>")
-    # Buckets over BLOCK vectors or visits are dealt into a grid of cells: each vector to one row of it, each visit to one column.
-    most = [stored(x.groupBy("t", "bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-sizes").agg(F.max("n")).first()[0] or 1 for x in (filed, asked)]
+                    who, to = np.repeat(np.arange(len(v)), spots.shape[1]), part_of(spots.ravel())
+                    order = np.lexsort((to, who))
+                    who, to, flat = who[order], to[order], spots.ravel()[order]
+                    first = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (to[1:] != to[:-1]))))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(flat)])).astype(np.int32)), pa.array(flat))
+                    at_row = pa.array(who[first])
+                    columns = [pa.array(np.full(len(first), t, np.int32)), pa.array(to[first]), lists, part.column(0).take(at_row), part.column(1).take(at_row)]
+                    yield pa.RecordBatch.from_arrays(columns, ["t", "part", "buckets", "id", "v"])
+
+    filed = points.mapInArrow(index, "t int, part int, bucket long, v array<double>, ids array<long>")
+    asked = rows.filter(F.col("id") % every == 0).mapInArrow(visit, "t int, part int, buckets array<long>, id long, v array<double>")
+    # Parts over BLOCK vectors or visits are dealt into a grid of cells: each vector to one row of it, each visit to one column.
+    most = [stored(x.groupBy("t", "part").agg(F.count(F.lit(1)).alias("n")), "part-sizes").agg(F.max("n")).first()[0] or 1 for x in (filed, asked)]
     across, down = (math.ceil(m / BLOCK) for m in most)
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
     every_cell = lambda n: F.explode(F.array(*map(F.lit, range(n))))
     data = filed.withColumn("x", deal("v", across)).withColumn("y", every_cell(down))
     visits = asked.withColumn("y", deal("id", down)).withColumn("x", every_cell(across))
-    cell = ["t", "bucket", "x", "y"]
+    cell = ["t", "part", "x", "y"]
 
     def compare(data: pa.Table, visits: pa.Table) -> pa.Table:
         found: list[tuple[int, list[int], list[float]]] = []
@@ -186,18 +203,36 @@ def nearest(
             ends = lists.offsets.to_numpy()
             ids = lists.values.to_numpy()
             q, names = _matrix(visits["v"]), visits["id"].to_numpy()
-            take = min(k + 1, len(v))
-            for at in range(0, len(q), 512):
-                near = q[at : at + 512] @ v.T
-                top = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                for i, spots in enumerate(top):
-                    exact = (v[spots] * q[at + i]).sum(1)
-                    sizes = ends[spots + 1] - ends[spots]
-                    who = np.concatenate([ids[ends[s] : ends[s + 1]] for s in spots])
-                    score = np.repeat(exact, sizes)
-                    order = np.lexsort((who, -score))
-                    order = order[who[order] != names[at + i]][:k]
-                    found.append((int(names[at + i]), who[order], score[order]))
+            spot = data["bucket"].to_numpy()
+            by_bucket = np.argsort(spot, kind="stable")
+            buckets, starts = np.unique(spot[by_bucket], return_index=True)
+            stops = np.append(starts[1:], len(spot))
+            asked = visits["buckets"].combine_chunks()
+            who = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy()))
+            which = np.searchsorted(buckets, flat := asked.flatten().to_numpy())
+            here = buckets[np.minimum(which, len(buckets) - 1)] == flat
+            order = np.argsort(which[here], kind="stable")
+            who, which = who[here][order], which[here][order]
+            # The best so far of every query, over the buckets it visits.
+            best, place = np.full((len(q), k + 1), -np.inf), np.full((len(q), k + 1), -1)
+            for b in np.unique(which):
+                inside = by_bucket[starts[b] : stops[b]]
+                visitors = np.unique(who[np.searchsorted(which, b) : np.searchsorted(which, b, "right")])
+                for at in range(0, len(visitors), 512):
+                    w = visitors[at : at + 512]
+                    near = np.concatenate([best[w], q[w] @ v[inside].T], 1)
+                    spots = np.concatenate([place[w], np.broadcast_to(inside, (len(w), len(inside)))], 1)
+                    top = np.argpartition(-near, k, axis=1)[:, : k + 1]
+                    best[w], place[w] = np.take_along_axis(near, top, 1), np.take_along_axis(spots, top, 1)
+            for i in np.unique(who):
+                spots = place[i][place[i] >= 0]
+                exact = (v[spots] * q[i]).sum(1)
+                sizes = ends[spots + 1] - ends[spots]
+                holders = np.concatenate([ids[ends[s] : ends[s + 1]] for s in spots])
+                score = np.repeat(exact, sizes)
+                order = np.lexsort((holders, -score))
+                order = order[holders[order] != names[i]][:k]
+                found.append((int(names[i]), holders[order], score[order]))
         return pa.table(
             [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.float64()))],
             ["query_id", "ids", "scores"],

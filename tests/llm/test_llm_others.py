@@ -107,6 +107,21 @@ def test_neighbours_against_all_pairs(spark):
     assert {(r.query_id, r.vec_id) for r in few} == {(0, 1), (0, 2)}
 
 
+def test_share_of_neighbours_found_does_not_fall_with_size():
+    rng = np.random.default_rng(6)
+    n, asked = 200_000, 8
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hashes = ann.Hashes(64, ann.directions_for(n))
+    full = np.concatenate([x, np.zeros((n, 1))], 1)
+    seen = np.zeros((asked, n), bool)
+    for t in range(len(hashes.a)):
+        keys = hashes.key(np.floor(hashes.cells(t, full)))
+        seen |= np.stack([np.isin(keys, p) for p in hashes.probes(t, full[:asked])])
+    near = np.argsort(-(x[:asked] @ x.T), 1)[:, 1:21]
+    assert np.take_along_axis(seen, near, 1).mean() >= 0.95
+
+
 def test_probe_sets_come_in_order_of_expected_distance():
     sets = ann.probe_sets(3, 18)
     assert sets[0] == () and len(set(sets)) == 18
