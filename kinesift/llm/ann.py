@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product: multiprobe hashing with p-stable (Gaussian) projections.
 
-Vectors are scaled by the largest norm and get one more coordinate that makes all norms 1; queries are scaled to
+Vectors are dealt into bands by norm, a factor of 2 each, so long ones don't squeeze the rest into a few buckets. A band has a
+scale and tables of its own, and a query visits all bands. Vectors are scaled by the band's largest norm and get one more coordinate that makes all norms 1; queries are scaled to
 norm 1 and get a zero there. Then the largest inner product is the smallest Euclidean distance. Each of
 ``TABLES`` tables hashes a vector by ``floor((a.v + b) / WIDTH)`` over a few Gaussian directions a. A query visits
 its own bucket and perturbed ones in the estimated order of success: the distances of its projections to
 the cell borders, sorted, take the place of their expected values, for which the best sets of
-perturbations are known beforehand. The candidates of all tables are ranked by the exact inner product.
+perturbations are known beforehand. The candidates of all tables are ranked by the exact inner product. Queries
+that find too few are compared with all vectors, block by block.
 
 The number of directions follows the logarithm of the number of vectors, so buckets grow much more slowly than the
 table, and the number of probes follows the directions, so the chance to visit a neighbour's bucket does not fall; both
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinesift.llm.text import stored
@@ -138,10 +140,16 @@ def distinct_vectors(rows: DataFrame, most: int) -> DataFrame:
     return merged.agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
 
 
+def log_norm(v: Column) -> Column:
+    most = F.array_max(F.transform(v, F.abs))
+    return F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
+
+
 def nearest(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, probes: int | None = None
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): of every row whose key is divisible by ``every``, the ``k`` nearest other rows found.
+    """(query_id, rank, vec_id, score): of every row whose key is divisible by ``every``, the ``k`` nearest other rows found,
+    or all others where there are fewer.
 
     Nearest first, ties to the smaller key. Rows whose vector is null, zero, of another length than most, or holds a
     null or non-finite component take no part, nor do rows without a key. Rows that repeat a key and vector count
@@ -149,23 +157,27 @@ def nearest(
     table gives an empty one.
     """
     rows = stored(usable(vectors, key, vector), "vectors")
-    points = stored(distinct_vectors(rows, k + 1), "distinct-vectors")
-    got = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.max(F.size("v")).alias("d")).first()
-    longest, size = math.sqrt(got["top"] or 1.0), got["d"] or 0
-    hashes = Hashes(size, directions_for(got["n"]), probes=probes)
-    tables, parts = len(hashes.a), math.ceil(2 * max(got["n"], 1) / BLOCK)
+    # Norms around a power of 2, such as 1, are in the middle of their band.
+    norm = log_norm(F.col("v"))
+    points = stored(distinct_vectors(rows, k + 1).select("v", "ids", norm.alias("norm"), F.floor(norm + 0.5).cast("int").alias("band")), "distinct-vectors")
+    got = points.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.max(F.size("v")).alias("d")).orderBy("band").collect()
+    bands = [(g["band"], 2.0 ** min(g["top"], 1023.0), Hashes(g["d"], directions_for(g["n"]), probes=probes), math.ceil(2 * g["n"] / BLOCK)) for g in got]
 
-    def part_of(spots: np.ndarray) -> np.ndarray:
+    def part_of(spots: np.ndarray, parts: int) -> np.ndarray:
         return ((spots.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            band_of = whole.column(2).to_numpy()
+            for place, (band, longest, hashes, parts) in enumerate(bands):
+                batch = whole.filter(pa.array(band_of == band))
+                if not batch.num_rows:
+                    continue
                 v = _matrix(batch.column(0)) / longest
                 full = np.concatenate([v, np.sqrt(np.maximum(0.0, 1 - (v * v).sum(1)))[:, None]], 1)
-                for t in range(tables):
+                for t in range(len(hashes.a)):
                     spot = hashes.key(np.floor(hashes.cells(t, full)))
-                    columns = [pa.array(np.full(len(v), t, np.int32)), pa.array(part_of(spot)), pa.array(spot), batch.column(0), batch.column(1)]
+                    columns = [pa.array(np.full(len(v), place * TABLES + t, np.int32)), pa.array(part_of(spot, parts)), pa.array(spot), batch.column(0), batch.column(1)]
                     yield pa.RecordBatch.from_arrays(columns, ["t", "part", "bucket", "v", "ids"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,27 +185,25 @@ def nearest(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 v = _matrix(part.column(1))
+                v = v / np.abs(v).max(1)[:, None]
                 full = np.concatenate([v / np.sqrt((v * v).sum(1))[:, None], np.zeros((len(v), 1))], 1)
-                for t in range(tables):
+                for place, t in ((place, t) for place in range(len(bands)) for t in range(TABLES)):
+                    _, _, hashes, parts = bands[place]
                     spots = hashes.probes(t, full)
-                    who, to = np.repeat(np.arange(len(v)), spots.shape[1]), part_of(spots.ravel())
+                    who, to = np.repeat(np.arange(len(v)), spots.shape[1]), part_of(spots.ravel(), parts)
                     order = np.lexsort((to, who))
                     who, to, flat = who[order], to[order], spots.ravel()[order]
                     first = np.flatnonzero(np.concatenate(([True], (who[1:] != who[:-1]) | (to[1:] != to[:-1]))))
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate((first, [len(flat)])).astype(np.int32)), pa.array(flat))
                     at_row = pa.array(who[first])
-                    columns = [pa.array(np.full(len(first), t, np.int32)), pa.array(to[first]), lists, part.column(0).take(at_row), part.column(1).take(at_row)]
+                    columns = [pa.array(np.full(len(first), place * TABLES + t, np.int32)), pa.array(to[first]), lists, part.column(0).take(at_row), part.column(1).take(at_row)]
                     yield pa.RecordBatch.from_arrays(columns, ["t", "part", "buckets", "id", "v"])
 
-    filed = points.mapInArrow(index, "t int, part int, bucket long, v array<double>, ids array<long>")
-    asked = rows.filter(F.col("id") % every == 0).mapInArrow(visit, "t int, part int, buckets array<long>, id long, v array<double>")
-    # Parts over BLOCK vectors or visits are dealt into a grid of cells: each vector to one row of it, each visit to one column.
-    most = [stored(x.groupBy("t", "part").agg(F.count(F.lit(1)).alias("n")), "part-sizes").agg(F.max("n")).first()[0] or 1 for x in (filed, asked)]
-    across, down = (math.ceil(m / BLOCK) for m in most)
+    queries = rows.filter(F.col("id") % every == 0)
+    filed = points.select("v", "ids", "band").mapInArrow(index, "t int, part int, bucket long, v array<double>, ids array<long>")
+    asked = queries.mapInArrow(visit, "t int, part int, buckets array<long>, id long, v array<double>")
     deal = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
     every_cell = lambda n: F.explode(F.array(*map(F.lit, range(n))))
-    data = filed.withColumn("x", deal("v", across)).withColumn("y", every_cell(down))
-    visits = asked.withColumn("y", deal("id", down)).withColumn("x", every_cell(across))
     cell = ["t", "part", "x", "y"]
 
     def compare(data: pa.Table, visits: pa.Table) -> pa.Table:
@@ -239,7 +249,15 @@ def nearest(
         )
 
     shape = "query_id long, ids array<long>, scores array<double>"
-    found = data.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInArrow(compare, shape)
+
+    def met(filed: DataFrame, asked: DataFrame) -> DataFrame:
+        """Parts over BLOCK vectors or visits are dealt into a grid of cells: each vector to one row of it, each visit to one column."""
+        most = [stored(x.groupBy("t", "part").agg(F.count(F.lit(1)).alias("n")), "part-sizes").agg(F.max("n")).first()[0] or 1 for x in (filed, asked)]
+        across, down = (math.ceil(m / BLOCK) for m in most)
+        data = filed.withColumn("x", deal("v", across)).withColumn("y", every_cell(down))
+        visits = asked.withColumn("y", deal("id", down)).withColumn("x", every_cell(across))
+        found = data.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInArrow(compare, shape)
+        return found.groupBy("query_id").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
     def merge(lists: pa.Table) -> pa.Table:
         lists = lists.combine_chunks()
@@ -250,4 +268,11 @@ def nearest(
         query = pa.array(np.full(len(order), lists["query_id"][0].as_py(), np.int64))
         return pa.table([query, pa.array(np.arange(1, len(order) + 1, dtype=np.int32)), pa.array(who[order]), pa.array(score[order])], ["query_id", "rank", "vec_id", "score"])
 
-    return found.groupBy("query_id").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    near = stored(met(filed, asked), "neighbours")
+    full = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    rest = stored(queries.join(full, "id", "left_anti"), "short-queries")
+    if rest.isEmpty():
+        return near
+    one = [F.lit(0).alias("t"), F.lit(0).alias("part")]
+    others = met(points.select(*one, F.lit(0).cast("long").alias("bucket"), "v", "ids"), rest.select(*one, F.array(F.lit(0).cast("long")).alias("buckets"), "id", "v"))
+    return near.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(others)

@@ -107,6 +107,23 @@ def test_neighbours_against_all_pairs(spark):
     assert {(r.query_id, r.vec_id) for r in few} == {(0, 1), (0, 2)}
 
 
+def test_a_long_vector_leaves_queries_their_neighbours(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 1e4
+    x[11:31] *= 1e-3
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(table).toPandas().groupby("query_id")["vec_id"].apply(list)
+    assert sorted(got.index) == list(range(0, 4000, 20)) and all(len(set(v)) == 20 for v in got)
+    exact = x[got.index] @ x.T
+    exact[np.arange(len(got)), got.index] = -np.inf
+    assert np.mean([len(set(e[:20]) & set(v)) / 20 for e, v in zip(np.argsort(-exact, 1), got)]) >= 0.95
+    # Probes that find next to nothing: every query is still complete.
+    few = ann.nearest(table.filter("vec_id < 400"), probes=1).groupBy("query_id").count().collect()
+    assert len(few) == 20 and {r["count"] for r in few} == {20}
+
+
 def test_share_of_neighbours_found_does_not_fall_with_size():
     rng = np.random.default_rng(6)
     n, asked = 200_000, 8
