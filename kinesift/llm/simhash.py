@@ -123,24 +123,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     take part and are never a component's id unless it has no other. An empty table gives an empty one.
     """
     marks = stored(with_fingerprints(docs, key, text, width), "fingerprints")
-    distinct = stored(marks.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
-    roots = stored(components(links(distinct, bits)), "roots")
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marks, bits)
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_mark = stored(rooted.join(ids, "root").select("fp", "component_id"), "components")
     return marks.join(by_mark, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
+def _rooted(marks: DataFrame, bits: int) -> DataFrame:
+    """(fp, least, root): every fingerprint, its smallest key, and the smallest fingerprint reachable over links."""
+    distinct = stored(marks.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
+    roots = stored(components(links(distinct, bits)), "roots")
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = LINK_BITS) -> DataFrame:
-    """The documents whose key is their component's id: one stays of each group, the others go.
+    """One row of each group, with all columns as they are: the one with the smallest key (null last), then text hash.
 
-    All columns stay as they are. Of rows that repeat the staying key, the one with the smallest text hash
-    stays. Rows without a key stay (one of them) only where their group has no key at all.
+    The group itself is what rows share, not a key, so rows without a key, or with the key of a row of another group, stay as any others.
     """
-    groups = near_duplicates(docs, key, text, bits=bits).filter(F.col(key).eqNullSafe(F.col("component_id")))
-    stay = stored(groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")), "staying")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_key"))
-    kept = rows.join(stay, F.col("_key").eqNullSafe(F.col("component_id")), "left_semi")
+    hashed = F.xxhash64(F.col(text).cast("string"))
+    rows = docs.select(F.struct(F.col(key).alias("key"), hashed.alias("hash")).alias("id"), F.col(text).alias("text"))
+    marks = stored(with_fingerprints(rows, "id", "text").select("key.key", "key.hash", "fp"), "fingerprints")
+    by_root = stored(_rooted(marks, bits).select("fp", "root"), "groups")
+    each = marks.join(by_root, "fp").groupBy("root", "key", "hash").agg(F.count(F.lit(1)).alias("n"))
+    heads = each.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash", "n")).alias("head"))
+    stay = stored(heads.select("root", "head.key", "head.hash", "head.n"), "staying").alias("h")
+    # Equal keys and text hashes are equal texts and so in one group: no row heads two groups.
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("_key"), hashed.alias("_hash")).alias("d")
+    same = F.col("d._key").eqNullSafe(F.col("h.key")) & (F.col("d._hash") == F.col("h.hash"))
+    kept = named.join(stay, same).select("d.row", "h.root", "d._hash")
     if not stay.filter("n > 1").isEmpty():
-        kept = kept.groupBy("_key").agg(F.min_by("row", F.xxhash64(f"row.{text}")).alias("row"))
+        kept = kept.groupBy("root").agg(F.min_by("row", "_hash").alias("row"))
     return kept.select("row.*")

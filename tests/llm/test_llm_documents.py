@@ -107,6 +107,16 @@ def test_simhash_with_null_keys(spark):
     assert sorted((r.doc_id is None, r.component_id) for r in got if r.component_id is not None) == [(False, 5), (True, 5)]
 
 
+def test_one_row_of_each_group_stays_whatever_the_keys(spark):
+    one, two, three = "p q r s t u", "other words are here now", "and a third text of seven words"
+    kept = lambda texts, ids: sorted(simhash.drop_near_duplicates(docs(spark, texts, ids=ids)).select("doc_id", "text").collect(), key=str)
+    assert {r.text for r in kept([one, two, three, one], [None, None, None, None])} == {one, two, three}
+    assert kept([one, two], [1, 1]) == [(1, two), (1, one)]
+    # Key 2 heads its own group and is a mere copy in that of key 1.
+    assert kept([one, one, two], [1, 2, 2]) == [(1, one), (2, two)]
+    assert len(kept([one, two, one, two], [1, 1, 1, 1])) == 2
+
+
 # --- quality ---------------------------------------------------------------------------------------------------
 
 
