@@ -20,13 +20,15 @@ SEED = 17
 CEILING = 3
 #: Seeded slices that a length of a source is dealt into, so no slice of a hot length is a task's burden.
 SLICES = 1024
-#: The knapsack program covers budgets up to this many words; an even share leaves less, but for texts longer than it.
+#: Rounding is made good length by length down to half of this many words, then by the knapsack program.
 PROGRAM_WORDS = 1 << 17
+#: Sums that the program tells apart; larger ones are counted in a coarser unit, and what its rounding leaves is fitted again.
+PROGRAM_SUMS = 1 << 24
 
 
-def fit_subset(budget: int, lengths: np.ndarray, spare: np.ndarray) -> np.ndarray:
+def fit_subset(budget: int, lengths: np.ndarray, spare: np.ndarray, above: bool = False) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to ``budget`` as they can
-    without passing it; bounded knapsack over binary-split counts.
+    without passing it, or (``above``) without staying below it; bounded knapsack over binary-split counts.
 
     ``first[s]`` is the item that first made the sum s reachable. Items with a smaller number made the rest
     of that sum, so following it down uses no item twice.
@@ -34,16 +36,21 @@ def fit_subset(budget: int, lengths: np.ndarray, spare: np.ndarray) -> np.ndarra
     taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not len(lengths):
         return taken
-    reached = np.zeros(budget + 1, bool)
+    # The smallest sum from ``budget`` on is passed by one document, so it is less than the longest above it.
+    top = budget + int(lengths[spare > 0].max(initial=1)) - 1 if above else budget
+    unit = 1 + top // PROGRAM_SUMS
+    if unit > 1:
+        budget, top, lengths = budget // unit, top // unit, -(-lengths // unit)
+    reached = np.zeros(top + 1, bool)
     reached[0] = True
-    first = np.full(budget + 1, -1, np.int64)
+    first = np.full(top + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for k, (size, most) in enumerate(zip(lengths.tolist(), spare.tolist(), strict=True)):
-        left, part = min(most, budget // size) if size else 0, 1
+        left, part = min(most, top // size) if size else 0, 1
         while left > 0 and not reached[budget]:
             part = min(part, left)
             step = size * part
-            new = reached[: budget + 1 - step] & ~reached[step:]
+            new = reached[: top + 1 - step] & ~reached[step:]
             at = np.flatnonzero(new) + step
             first[at] = len(items)
             reached[at] = True
@@ -52,7 +59,8 @@ def fit_subset(budget: int, lengths: np.ndarray, spare: np.ndarray) -> np.ndarra
             part *= 2
         if reached[budget]:
             break
-    s = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    s = int(sums[min(np.searchsorted(sums, budget), len(sums) - 1)] if above else sums[np.searchsorted(sums, budget, "right") - 1])
     while s:
         k, part = items[first[s]]
         taken[k] += part
@@ -60,11 +68,40 @@ def fit_subset(budget: int, lengths: np.ndarray, spare: np.ndarray) -> np.ndarra
     return taken
 
 
+def fitted(rest: int, lengths: np.ndarray, counts: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """``extra`` changed so that its words come near to ``rest``, from below or above.
+
+    Documents are added up to what is missing, or beyond it and then others taken out again.
+    """
+
+    def change(now: np.ndarray, above: bool) -> np.ndarray:
+        off = rest - int((lengths * now).sum())
+        spare, sign = (counts - now, 1) if off > 0 else (now, -1)
+        use = (lengths > 0) & (spare > 0)
+        new = now.copy()
+        new[use] += sign * fit_subset(abs(off), lengths[use], spare[use], above)
+        return new
+
+    def miss(now: np.ndarray) -> int:
+        return abs(rest - int((lengths * now).sum()))
+
+    while miss(extra):
+        options = [change(extra, False)]
+        if miss(options[0]):
+            options.append(change(extra, True))
+            options += [change(o, False) for o in options if miss(o)]
+        best = min(options, key=miss)
+        if miss(best) >= miss(extra):
+            break
+        extra = best
+    return extra
+
+
 def plan_lengths(target: float, lengths: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
     """(passes, extra): every document ``passes`` times, and of each length ``extra`` documents once more.
 
     An even share, rounded down, is taken of every length; then one more of the lengths that lost most by
-    rounding, while it fits; then the knapsack program meets the rest.
+    rounding (ties in a seeded order), while it fits; then the knapsack program meets the rest.
     """
     total = int((lengths * counts).sum())
     want = int(round(target))
@@ -76,21 +113,15 @@ def plan_lengths(target: float, lengths: np.ndarray, counts: np.ndarray) -> tupl
     extra = np.minimum(np.floor(share).astype(np.int64), counts)
     extra[lengths <= 0] = 0
     left = rest - int((lengths * extra).sum())
-    for k in np.lexsort((lengths, extra - share)):
+    mark = (lengths.astype(np.uint64) + np.uint64(SEED)) * np.uint64(0x9E3779B97F4A7C15)
+    mark = (mark ^ (mark >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    for k in np.lexsort((mark, extra - share)):
         if left <= PROGRAM_WORDS // 2:
             break
         if 0 < lengths[k] <= left and extra[k] < counts[k]:
             extra[k] += 1
             left -= int(lengths[k])
-    if left > PROGRAM_WORDS:  # only a few texts, all of them very long
-        for k in np.argsort(-lengths):
-            more = min(int(counts[k] - extra[k]), left // int(lengths[k])) if lengths[k] > 0 else 0
-            extra[k] += more
-            left -= more * int(lengths[k])
-    if 0 < left <= PROGRAM_WORDS:
-        use = (lengths > 0) & (lengths <= left) & (extra < counts)
-        extra[use] += fit_subset(left, lengths[use], (counts - extra)[use])
-    return passes, extra
+    return passes, fitted(rest, lengths, counts, extra)
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), ceiling: int = CEILING) -> DataFrame:

@@ -270,6 +270,21 @@ def test_subset_program_is_optimal():
         assert (got <= spare).all() and int(got @ lengths) == max(s for s in sums if s <= budget)
 
 
+def test_long_texts_come_near_the_target():
+    def taken(target, lengths, counts):
+        passes, extra = mixing.plan_lengths(target, np.array(lengths), np.array(counts))
+        assert (extra >= 0).all() and (extra <= counts).all()
+        return int(((passes * np.array(counts) + extra) * lengths).sum())
+
+    assert taken(279_000, [100, 300_000], [100, 1]) == 300_000
+    assert taken(650_000, [200_000, 300_000, 350_000], [1, 1, 1]) == 650_000
+    assert abs(taken(70_000_000, [30_000_000, 40_000_001, 55_000_000, 7], [1, 1, 1, 9]) - 70_000_000) <= 7
+    # Of equally frequent lengths, the longest are drawn as well as the shortest.
+    lengths = np.arange(1, 4001)
+    extra = mixing.plan_lengths(lengths.sum() / 2, lengths, np.ones(4000, np.int64))[1]
+    assert 0.3 < extra[2000:].mean() < 0.7 and int(extra @ lengths) == lengths.sum() // 2
+
+
 def test_drawn_documents(spark):
     table = docs(spark, ["a b c d", "e f", None, "g"], ["x", "y", "y", "x"]).withColumn("times", F.lit("t")).withColumn("row", F.lit(0))
     got = mixing.draw(table)
