@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinesift.llm import ann, chat, lines, mixing, pieces, pii, quality, simhash, toxicity, urls
+from kinesift.llm import ann, chat, lines, mixing, pieces, pii, quality, simhash, suffixes, toxicity, urls
 from kinesift.llm.text import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.formatted(rows, model)
     held = F.coalesce(chat.held_out(F.col("key.key")), F.lit(True)).alias("held_out")
     return found.select(F.col("key.key").alias("conv_id"), "key.piece", held, "roles", "states", "key.true_states", "chat")
+
+
+@query
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest_rows(table(spark, sf_dir, "documents"))
