@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinesift.llm import ann, chat, lines, mixing, pieces, pii, quality, simhash, suffixes, toxicity, urls
+from kinesift.llm import ann, chat, lines, mixing, periods, pieces, pii, quality, repair, simhash, suffixes, toxicity, urls
 from kinesift.llm.text import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,18 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key.key").alias("conv_id"), "key.piece", held, "roles", "states", "key.true_states", "chat")
 
 
+@query
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a rule of the row's key, and what repairs them."""
+    turns = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(turns), turns)
+
+
 @query
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest_rows(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digest_rows(table(spark, sf_dir, "documents"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinesift.llm.text import parts, stored
+from kinesift.llm.text import least_places, parts, stored
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 200
@@ -62,19 +62,7 @@ def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h * np.uint64(0x94D049BB133111EB)
 
 
-def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of every ``width`` values in a row."""
-    whole = np.full(-(-len(values) // width) * width, np.iinfo(np.uint64).max, np.uint64)
-    whole[: len(values)] = values
-    table = whole.reshape(-1, width)
-    up = np.minimum.accumulate(table, axis=1).ravel()
-    down = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(values) - width + 1
-    return np.minimum(down[:n], up[width - 1 : width - 1 + n])
-
-
-#: Low bits of a hash give way to the place; texts are hashed ``PIECE`` bytes at a time.
-PLACE_BITS = 24
+#: Texts are hashed so many bytes at a time.
 PIECE = 4 << 20
 
 
@@ -87,9 +75,7 @@ def blocks_of(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tup
     if len(data) < length:
         return none
     h = _gram_hashes(data, gram)
-    places = np.arange(len(h), dtype=np.uint64)
-    least = _sliding_least((h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | places, length - gram + 1)
-    anchor = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+    anchor = least_places(h, length - gram + 1)
     fits = np.zeros(len(anchor), bool)
     begins = np.concatenate([[0], ends[:-1]])
     for b, e in zip(begins.tolist(), ends.tolist(), strict=True):

@@ -75,3 +75,21 @@ def parts(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[pa.RecordBat
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
             yield batch.slice(at, end - at)
             at = end
+
+
+def least_places(hashes: np.ndarray, width: int, bits: int = 24) -> np.ndarray:
+    """For every ``width`` hashes in a row, the first place of the least one.
+
+    The low ``bits`` of a hash give way to its place, so there may be 2**bits hashes at most.
+    """
+    if len(hashes) < width:
+        return np.zeros(0, np.int64)
+    low = np.uint64(bits)
+    whole = np.full(-(-len(hashes) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    whole[: len(hashes)] = (hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64)
+    table = whole.reshape(-1, width)
+    up = np.minimum.accumulate(table, axis=1).ravel()
+    down = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(hashes) - width + 1
+    least = np.minimum(down[:n], up[width - 1 : width - 1 + n])
+    return (least & np.uint64((1 << bits) - 1)).astype(np.int64)
