@@ -557,18 +557,24 @@ cte(
 cte(
     "score_rows",
     f"""SELECT doc_id, concat('doc-', doc_id) AS window_id, i, {hexnum("concat(doc_id, ':s:', i)")} / 4294967296.0 * 6 AS s
-    FROM (SELECT doc_id, unnest([0, 1, 2, 3]) AS i FROM documents WHERE doc_id % 11 <> 0)""",
+    FROM (SELECT doc_id, unnest([0, 1, 2, 3]) AS i FROM documents)""",
 )
 cte(
     "scored",
     """SELECT doc_id, window_id, arg_min(i, (-s, i)) AS alt, max(s) - max(CASE WHEN rk = 2 THEN s END) AS margin FROM
     (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY s DESC, i) AS rk FROM score_rows) GROUP BY 1, 2""",
 )
+cte("partners", "SELECT * FROM scored WHERE doc_id IN (SELECT doc_id FROM labels)")
 cte("primaries", "SELECT window_id, dataset, pred, answer, doc_id FROM votes WHERE run = 0")
 cte(
     "sides",
     """SELECT p.*, s.alt, s.margin, CASE WHEN p.doc_id % 3 = 0 THEN (s.alt + p.doc_id) % 4 ELSE s.alt END AS alt_mapped
-    FROM primaries p LEFT JOIN scored s ON s.window_id = p.window_id""",
+    FROM primaries p LEFT JOIN partners s ON s.window_id = p.window_id""",
+)
+cte(
+    "whole_sides",
+    """SELECT p.*, s.alt, s.margin, CASE WHEN p.doc_id % 3 = 0 THEN (s.alt + p.doc_id) % 4 ELSE s.alt END AS alt_mapped
+    FROM primaries p JOIN scored s ON s.window_id = p.window_id""",
 )
 cte(
     "bin_rows",

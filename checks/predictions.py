@@ -37,7 +37,7 @@ def primaries(spark, d):
 
 def scored(spark, d, with_map=True):
     """Alternate predictions with four scores; every third document counts in a rotated subset order."""
-    docs = views.table(spark, d, "documents").filter("doc_id % 11 <> 0").select("doc_id", F.col("lang").alias("dataset"))
+    docs = views.table(spark, d, "documents").select("doc_id", F.col("lang").alias("dataset"))
     i = F.col("doc_id")
     values = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: hnum(i, F.lit(":s:"), k) / F.lit(4294967296.0) * 6)
     rotated = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: ((k + i) % 4).cast("int"))
@@ -52,6 +52,12 @@ def scored(spark, d, with_map=True):
     return rows.withColumn("caption_prediction", sc.first_argmax(F.col("caption_scores")))
 
 
+def partners(spark, d, with_map=True):
+    """Alternates of the documents that have labels: some primaries have none."""
+    labelled = views.table(spark, d, "labels").select("doc_id")
+    return scored(spark, d, with_map).join(labelled, "doc_id", "left_semi")
+
+
 def binary(spark, d):
     rows = views.table(spark, d, "labels")
     return rows.select("doc_id", F.col("quality").alias("truth"), (hnum(F.col("doc_id"), F.lit(":p")) / F.lit(4294967296.0)).alias("score"))
@@ -426,7 +432,7 @@ def classifier_rows(spark, d):
 
 @check(
     "mapped_predictions",
-    """SELECT window_id, CAST(alt_mapped AS INT) AS lenient, CAST(alt_mapped AS INT) AS strict FROM sides WHERE alt IS NOT NULL""",
+    """SELECT window_id, CAST(alt_mapped AS INT) AS lenient, CAST(alt_mapped AS INT) AS strict FROM whole_sides""",
 )
 def mapped_predictions(spark, d):
     s = scored(spark, d)
@@ -508,7 +514,7 @@ def gated_sql(t: float) -> str:
     f"SELECT window_id, CAST(pred AS INT) AS guess, CASE WHEN took THEN 'alternate' ELSE 'primary' END AS source, {q6('margin')} AS margin FROM ({gated_sql(2.0)})",
 )
 def gated_rows(spark, d):
-    g = combine.gate_rows(primaries(spark, d), scored(spark, d), 2.0)
+    g = combine.gate_rows(primaries(spark, d), partners(spark, d), 2.0)
     return tight(
         g.select("window_id", F.col("caption_prediction").alias("guess"), F.col("caption_gate_source").alias("source"), F.col("caption_gate_alternate_margin").alias("margin"))
     )
@@ -520,7 +526,7 @@ def gated_rows(spark, d):
     {q6('avg(CAST(took AS INT))')} AS coverage FROM ({gated_sql(2.0)})""",
 )
 def gated_summary(spark, d):
-    return tight(combine.gated_summary(combine.gate_rows(primaries(spark, d), scored(spark, d), 2.0)))
+    return tight(combine.gated_summary(combine.gate_rows(primaries(spark, d), partners(spark, d), 2.0)))
 
 
 SWEEP = " UNION ALL ".join(
@@ -536,12 +542,12 @@ SWEEP = " UNION ALL ".join(
     n AS n_eval_records FROM ({SWEEP})""",
 )
 def gate_sweep(spark, d):
-    return tight(combine.gate_sweep(primaries(spark, d), scored(spark, d)))
+    return tight(combine.gate_sweep(primaries(spark, d), partners(spark, d)))
 
 
 @check("chosen_gate", f"SELECT threshold, {q6('acc')} AS accuracy, taken FROM ({SWEEP}) ORDER BY round(acc, 12) DESC, taken, threshold LIMIT 1")
 def chosen_gate(spark, d):
-    b = combine.choose_gate(combine.gate_sweep(primaries(spark, d), scored(spark, d)))
+    b = combine.choose_gate(combine.gate_sweep(primaries(spark, d), partners(spark, d)))
     return tight(b.select("threshold", F.col("caption_selection_accuracy").alias("accuracy"), F.col("alternate_count").alias("taken")))
 
 
@@ -553,7 +559,7 @@ BUCKET = "CAST('0x' || substr(sha256(window_id), 1, 12) AS BIGINT) % 5"
     f"SELECT window_id, CASE WHEN {BUCKET} IN (0, 2) THEN 'dev' ELSE 'eval' END AS side FROM sides WHERE alt IS NOT NULL",
 )
 def dev_split(spark, d):
-    return combine.dev_split(primaries(spark, d), scored(spark, d), 5, [0, 2]).select("window_id", "side")
+    return combine.dev_split(primaries(spark, d), partners(spark, d), 5, [0, 2]).select("window_id", "side")
 
 
 DEV = " UNION ALL ".join(
@@ -570,7 +576,7 @@ DEV = " UNION ALL ".join(
     CAST(et AS BIGINT) AS eval_alternate_count, {q6('et / en')} AS eval_coverage, CAST(en AS BIGINT) AS n_eval FROM ({DEV}) ORDER BY dr DESC, dt, t LIMIT 1""",
 )
 def calibrated_gate(spark, d):
-    return tight(combine.calibrate_gate(primaries(spark, d), scored(spark, d), 5, [0, 2]))
+    return tight(combine.calibrate_gate(primaries(spark, d), partners(spark, d), 5, [0, 2]))
 
 
 _STEPS = [round(i * 0.05, 10) for i in range(21)]
@@ -655,16 +661,22 @@ def majority_label(spark, d):
     return metrics.majority_label(views.table(spark, d, "events"), "event_type")
 
 
-def _poisson(u: str) -> str:
-    arms = " ".join(f"WHEN {u} < {b!r} THEN {k}" for k, b in enumerate(metrics.POISSON_CDF))
-    return f"CASE {arms} ELSE {len(metrics.POISSON_CDF)} END"
-
-
 def _boot(rows: str, values: list[str]) -> str:
+    """Per replicate the sums over outcomes weighed by Poisson counts: the first k whose cumulative share is over the uniform number."""
+    label = "concat_ws(',', " + ", ".join(values) + ")"
     sums = ", ".join(f"CAST(sum(w * {v}) AS DOUBLE) AS {v}" for v in values)
-    inner = ", ".join(f"sum({v}) AS {v}" for v in values)
-    return f"""SELECT b, CAST(sum(w * n) AS DOUBLE) AS n, {sums} FROM (SELECT *, {_poisson(hexnum("concat('42:', g, ':', b)") + ' / 4294967296.0::DOUBLE')} AS w FROM
-    (SELECT *, unnest(range(0, 200)) AS b FROM (SELECT {hexnum("concat('g:', key)")} % 4096 AS g, count(*) AS n, {inner} FROM ({rows}) GROUP BY 1))) GROUP BY 1"""
+    listed = ", ".join(values)
+    return f"""SELECT b, CAST(sum(w) AS DOUBLE) AS n, {sums} FROM (SELECT o.*, d.b, (SELECT count(*) FROM shares s WHERE s.label = o.label AND s.c <= d.u) AS w
+    FROM outcomes o JOIN draws d ON d.label = o.label) GROUP BY 1""", f"""outcomes AS (SELECT {label} AS label, {listed}, count(*) AS n FROM ({rows}) GROUP BY ALL),
+    terms AS (SELECT label, k, exp(k * ln(n) - n - lgamma(k + 1.0)) AS p FROM (SELECT *, unnest(range(0, CAST(n + 12 * sqrt(n) + 40 AS BIGINT))) AS k FROM outcomes)),
+    shares AS (SELECT label, sum(p) OVER (PARTITION BY label ORDER BY k) AS c FROM terms),
+    draws AS (SELECT label, b, CAST('0x' || substr(md5(concat('42:', label, ':', b)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+    FROM (SELECT label, unnest(range(0, 200)) AS b FROM outcomes))"""
+
+
+def _with_boot(rows: str, values: list[str], query: str) -> str:
+    boot, before = _boot(rows, values)
+    return f"SELECT * FROM (WITH {before}, boot AS ({boot}) {query})"
 
 
 _SAMPLES = "SELECT window_id AS key, CAST(pred = answer AS INT) AS correct FROM primaries WHERE pred IS NOT NULL"
@@ -672,27 +684,35 @@ _SAMPLES = "SELECT window_id AS key, CAST(pred = answer AS INT) AS correct FROM
 
 @check(
     "bootstrap_interval",
-    f"""SELECT (SELECT {q6('avg(correct)')} FROM ({_SAMPLES})) AS point, {q6('quantile_cont(correct / n, 0.025)')} AS lower, {q6('quantile_cont(correct / n, 0.975)')} AS upper,
-    (SELECT count(*) FROM ({_SAMPLES})) AS n FROM ({_boot(_SAMPLES, ['correct'])})""",
+    _with_boot(
+        _SAMPLES,
+        ["correct"],
+        f"""SELECT (SELECT {q6('avg(correct)')} FROM ({_SAMPLES})) AS point, {q6('quantile_cont(correct / n, 0.025)')} AS lower,
+    {q6('quantile_cont(correct / n, 0.975)')} AS upper, (SELECT count(*) FROM ({_SAMPLES})) AS n FROM boot""",
+    ),
 )
 def bootstrap_interval(spark, d):
-    return tight(metrics.bootstrap_ci(metrics.caption_samples(primaries(spark, d)), "key", "correct", n_bootstrap=200))
+    return tight(metrics.bootstrap_ci(metrics.caption_samples(primaries(spark, d)), "correct", n_bootstrap=200))
 
 
-_PAIRS = """SELECT p.window_id AS key, CAST(p.pred = p.answer AS INT) AS a, CAST(s.alt = p.answer AS INT) AS b FROM primaries p JOIN scored s ON s.window_id = p.window_id
+_LR = """SELECT CAST(p.pred = p.answer AS INT) AS l, CAST(s.alt = p.answer AS INT) AS r FROM primaries p JOIN scored s ON s.window_id = p.window_id
     WHERE p.pred IS NOT NULL"""
 
 
 @check(
     "paired_bootstrap",
-    f"""SELECT point, lower, upper, CASE WHEN point >= 0 THEN low ELSE high END AS p_value, n FROM (SELECT (SELECT {q6('avg(l - r)')} FROM ({_PAIRS.replace('AS a', 'AS l').replace('AS b', 'AS r')})) AS point,
+    _with_boot(
+        _LR,
+        ["l", "r"],
+        f"""SELECT point, lower, upper, CASE WHEN point >= 0 THEN low ELSE high END AS p_value, n FROM (SELECT (SELECT {q6('avg(l - r)')} FROM ({_LR})) AS point,
     {q6('quantile_cont((l - r) / n, 0.025)')} AS lower, {q6('quantile_cont((l - r) / n, 0.975)')} AS upper, {q6('avg(CAST(l - r <= 0 AS INT))')} AS low,
-    {q6('avg(CAST(l - r >= 0 AS INT))')} AS high, (SELECT count(*) FROM ({_PAIRS})) AS n FROM ({_boot(_PAIRS.replace('AS a', 'AS l').replace('AS b', 'AS r'), ['l', 'r'])}))""",
+    {q6('avg(CAST(l - r >= 0 AS INT))')} AS high, (SELECT count(*) FROM ({_LR})) AS n FROM boot)""",
+    ),
 )
 def paired_bootstrap(spark, d):
     a = metrics.caption_samples(primaries(spark, d)).withColumnRenamed("correct", "l")
     b = metrics.caption_samples(scored(spark, d, with_map=False)).withColumnRenamed("correct", "r")
-    return tight(metrics.paired_bootstrap(a.join(b, "key"), "key", "l", "r", n_bootstrap=200))
+    return tight(metrics.paired_bootstrap(a.join(b, "key"), "l", "r", n_bootstrap=200))
 
 
 PAIR_COUNTS = """SELECT CAST(sum(CAST(alt IS NOT NULL AS INT)) AS BIGINT) AS n_pairs, CAST(sum(CAST(alt IS NULL AS INT)) AS BIGINT) AS missing_challenger,
@@ -707,7 +727,7 @@ PAIR_COUNTS = """SELECT CAST(sum(CAST(alt IS NOT NULL AS INT)) AS BIGINT) AS n_p
     {q6('(challenger_only_correct - primary_only_correct) / n_pairs')} AS delta, primary_only_correct + challenger_only_correct AS discordant_count FROM ({PAIR_COUNTS})""",
 )
 def paired_comparison(spark, d):
-    c = metrics.paired_comparison(primaries(spark, d), scored(spark, d, with_map=False))
+    c = metrics.paired_comparison(primaries(spark, d), partners(spark, d, with_map=False))
     return tight(c.drop("two_sided_p_value", "midp_value"))
 
 
@@ -721,7 +741,7 @@ _TAIL = """SELECT n, s, list_sum(list_transform(range(0, s + 1), lambda k: exp(l
     f"SELECT n AS discordant_count, {q6('least(1, 2 * tail)')} AS two_sided_p_value, {q6('least(1, 2 * (tail - last / 2))')} AS midp_value FROM ({_TAIL.format(src=PAIR_COUNTS)})",
 )
 def mcnemar(spark, d):
-    c = metrics.paired_comparison(primaries(spark, d), scored(spark, d, with_map=False))
+    c = metrics.paired_comparison(primaries(spark, d), partners(spark, d, with_map=False))
     return tight(c.select("discordant_count", "two_sided_p_value", "midp_value"))
 
 
@@ -764,7 +784,7 @@ def per_fact_accuracy(spark, d):
 
 
 _EDGES = [(None, 0.0), (0.0, 1.0), (1.0, 2.0), (2.0, 3.0), (3.0, 5.0), (5.0, 10.0), (10.0, None)]
-_M = """SELECT margin AS m, CAST(alt_mapped = CASE WHEN doc_id % 3 = 0 THEN (answer + doc_id) % 4 ELSE answer END AS INT) AS ok FROM sides WHERE alt IS NOT NULL"""
+_M = """SELECT margin AS m, CAST(alt_mapped = CASE WHEN doc_id % 3 = 0 THEN (answer + doc_id) % 4 ELSE answer END AS INT) AS ok FROM whole_sides"""
 
 
 @check(
@@ -833,7 +853,7 @@ _CONDITIONS = ["visible", "shuffled", "numeric-mask", "hidden"]
 def condition_metrics(spark, d):
     """Run r of the votes stands for condition r: kinds choice (own votes), gated and nogate."""
     v = votes(spark, d).filter("run < 4").drop("caption_scores")
-    alt = scored(spark, d).drop("dataset", "doc_id", "caption_answer_index")
+    alt = partners(spark, d).drop("dataset", "doc_id", "caption_answer_index")
     name = F.element_at(F.array(*[F.lit(c) for c in _CONDITIONS]), F.col("run") + 1)
     parts = []
     for kind, margin in (("gated", 2.0), ("nogate", -1.0)):
@@ -904,7 +924,7 @@ _TAIL_BY_SET = f"""SELECT n.*, list_sum(list_transform(range(0, s + 1), lambda k
     FROM ({_TAIL_BY_SET}) t) p ON p.dataset = t.dataset WHERE condition = 'visible'""",
 )
 def system_table(spark, d):
-    own, other = primaries(spark, d), scored(spark, d, with_map=False)
+    own, other = primaries(spark, d), partners(spark, d, with_map=False)
     paired = metrics.paired_comparison(own, other, by=["dataset"])
     t = reports.system_table(condition_metrics(spark, d).filter("condition = 'visible'"), paired)
     return tight(t)

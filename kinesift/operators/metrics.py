@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinesift.functions.arrays import first_argmax
-from kinesift.functions.hashing import hash_unit, hex_number, order_hash
 from kinesift.operators.scan import prefix_scan, unique_rows
 
 
@@ -208,31 +211,63 @@ def best_f1_threshold(rows: DataFrame, truth: str, score: str) -> DataFrame:
 
 # ---- Bootstrap ---------------------------------------------------------------------------------
 
-# P(X <= k) of a Poisson variable with mean 1.
-POISSON_CDF = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+#: Rows of one outcome that share one uniform number; more rows take several, so the table below stays small.
+LOT = 1 << 30
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) count for a uniform number."""
-    weight = F.when(u < POISSON_CDF[0], 0)
-    for k, bound in enumerate(POISSON_CDF[1:], start=1):
-        weight = weight.when(u < bound, k)
-    return weight.otherwise(len(POISSON_CDF))
+def poisson_counts(n: int, uniforms: np.ndarray) -> np.ndarray:
+    """Poisson(n) counts: the inverse of the distribution function at every uniform number.
 
-
-def _replicates(rows: DataFrame, key: str, values: list[str], n_bootstrap: int, seed: int, groups: int) -> DataFrame:
-    """Weighted sums per replicate. Rows meet in at most ``groups`` hash groups first, so cost past that one
-    aggregate does not grow with the table; up to that many rows a group is about one row. Replicate -1 is
-    the table itself."""
-    grouped = rows.groupBy(F.pmod(hex_number(order_hash("g", F.col(key)), 8), F.lit(groups)).alias("_g")).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(v).alias(v) for v in values]
-    )
-    drawn = grouped.select("*", F.explode(F.sequence(F.lit(-1), F.lit(n_bootstrap - 1))).alias("_b")).withColumn(
-        "_w", F.when(F.col("_b") < 0, 1).otherwise(poisson_weight(hash_unit(seed, F.col("_g"), F.col("_b"))))
-    )
-    return drawn.groupBy("_b").agg(
-        F.sum(F.col("_w") * F.col("_n")).alias("_n"), *[F.sum(F.col("_w") * F.col(v)).alias(v) for v in values]
-    )
+    The terms follow from the largest one by their ratios, 12 square roots of n to both sides; what lies beyond is
+    below double precision.
+    """
+    low, high = max(0, int(n - 12 * math.sqrt(n) - 20)), int(n + 12 * math.sqrt(n) + 40)
+    k = np.arange(low, high + 1, dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log1p((n - k[1:]) / k[1:]))])
+    terms = np.exp(logs - logs.max())
+    return low + np.searchsorted(np.cumsum(terms) / terms.sum(), uniforms, "right")
+
+
+def _uniform(text: str) -> float:
+    return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2.0**52
+
+
+def _drawn(n_bootstrap: int, seed: int):
+    """(label, n, values) of outcomes -> their weighted sums per replicate, added up within a batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[2:]]
+            sums = np.zeros((1 + len(values), n_bootstrap + 1))
+            for i, (label, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                weight = np.zeros(n_bootstrap + 1)
+                weight[0] = n
+                for lot in range(-(-n // LOT)):
+                    tail = f":{lot}" if lot else ""
+                    u = np.array([_uniform(f"{seed}:{label}:{b}{tail}") for b in range(n_bootstrap)])
+                    weight[1:] += poisson_counts(min(LOT, n - lot * LOT), u)
+                sums[0] += weight
+                for k, v in enumerate(values, start=1):
+                    sums[k] += weight * v[i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(-1, n_bootstrap)), *[pa.array(x) for x in sums]], names=["_b", "_n", *batch.schema.names[2:]]
+            )
+
+    return run
+
+
+def _replicates(rows: DataFrame, values: list[str], n_bootstrap: int, seed: int) -> DataFrame:
+    """Weighted sums per replicate; replicate -1 is the table itself.
+
+    Weighing every row by an own Poisson(1) count and adding up rows with equal values is a Poisson(n) count for
+    each of these outcomes. So rows are counted by outcome first, and a replicate costs one draw per outcome
+    (two for one right-or-wrong column), whatever the rows.
+    """
+    label = F.concat_ws(",", *[F.col(v).cast("string") for v in values])
+    outcomes = rows.select(*values).na.drop().groupBy(*values).agg(F.count(F.lit(1)).alias("_n"))
+    schema = ", ".join(["_b long", "_n double", *[f"`{v}` double" for v in values]])
+    sums = outcomes.select(label.alias("_label"), "_n", *values).mapInArrow(_drawn(n_bootstrap, seed), schema)
+    return sums.groupBy("_b").agg(*[F.sum(c).alias(c) for c in ["_n", *values]])
 
 
 def _interval(replicates: DataFrame, value: Column, alpha: float) -> DataFrame:
@@ -246,30 +281,21 @@ def _interval(replicates: DataFrame, value: Column, alpha: float) -> DataFrame:
         F.coalesce(F.get(q, F.lit(1)), F.lit(0.0)).alias("upper"),
         F.avg((drawn <= 0).cast("int")).alias("low_tail"),
         F.avg((drawn >= 0).cast("int")).alias("high_tail"),
-        F.coalesce(F.max(F.when(F.col("_b") < 0, F.col("_n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.max(F.when(F.col("_b") < 0, F.col("_n"))), F.lit(0)).cast("bigint").alias("n"),
     )
 
 
-def bootstrap_ci(
-    rows: DataFrame, key: str, correct: str, n_bootstrap: int = 500, seed: int = 42, alpha: float = 0.05, groups: int = 4096
-) -> DataFrame:
-    """Mean of ``correct`` with a percentile interval over Poisson-weighted replicates."""
-    boot = _replicates(rows, key, [correct], n_bootstrap, seed, groups)
+def bootstrap_ci(rows: DataFrame, correct: str, n_bootstrap: int = 500, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """Mean of ``correct`` with a percentile interval over Poisson-weighted replicates of the rows. Nulls are left out."""
+    boot = _replicates(rows, [correct], n_bootstrap, seed)
     return _interval(boot, F.col(correct) / F.col("_n"), alpha).select("point", "lower", "upper", "n")
 
 
 def paired_bootstrap(
-    pairs: DataFrame,
-    key: str,
-    left: str,
-    right: str,
-    n_bootstrap: int = 500,
-    seed: int = 42,
-    alpha: float = 0.05,
-    groups: int = 4096,
+    pairs: DataFrame, left: str, right: str, n_bootstrap: int = 500, seed: int = 42, alpha: float = 0.05
 ) -> DataFrame:
     """Difference of two means on the same rows: point, interval and one-sided tail share."""
-    boot = _replicates(pairs, key, [left, right], n_bootstrap, seed, groups)
+    boot = _replicates(pairs, [left, right], n_bootstrap, seed)
     spread = _interval(boot, (F.col(left) - F.col(right)) / F.col("_n"), alpha)
     tail = F.when(F.col("point") >= 0, F.col("low_tail")).otherwise(F.col("high_tail"))
     return spread.select("point", "lower", "upper", F.coalesce(tail, F.lit(1.0)).alias("p_value"), "n")

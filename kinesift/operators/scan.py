@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,54 +60,105 @@ def prefix_scan(
     )
 
 
-FEW_VALUES = 1_000_000
+#: Bits of a value that the passes of :func:`exact_quantiles` tell apart, 64 in all.
+DIGITS = (16, 12, 12, 12, 12)
+
+
+def _sort_keys(values: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; all NaNs are one value above the others."""
+    clean = np.where(np.isnan(values), np.nan, values + 0.0)
+    bits = clean.view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
+
+
+def _from_sort_key(key: int) -> float:
+    bits = key & ~(1 << 63) if key >> 63 else ~key & (1 << 64) - 1
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _histograms(wanted: list[tuple[int, int]], digit: int, shift: int):
+    """Counts, least and greatest key by the next digit of values whose leading digits are wanted.
+
+    ``wanted``: (column, leading digits); ``shift``: the bits behind the next digit. One small table per task.
+    """
+    ahead = shift + digit
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int, int], list[int]] = {}
+        for batch in batches:
+            for c in sorted({c for c, _ in wanted}):
+                keys = np.sort(_sort_keys(batch.column(c).drop_null().to_numpy(zero_copy_only=False)))
+                for _, lead in (w for w in wanted if w[0] == c):
+                    low, high = lead << ahead, (lead + 1 << ahead) - 1
+                    own = keys[np.searchsorted(keys, np.uint64(low)) : np.searchsorted(keys, np.uint64(high), "right")]
+                    if not len(own):
+                        continue
+                    digits = own >> np.uint64(shift) & np.uint64((1 << digit) - 1)
+                    first = np.flatnonzero(np.diff(digits, prepend=np.uint64(1 << digit)))
+                    for at, end in zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True):
+                        seen = found.setdefault((c, lead, int(digits[at])), [0, 1 << 64, 0])
+                        seen[0] += end - at
+                        seen[1], seen[2] = min(seen[1], int(own[at])), max(seen[2], int(own[end - 1]))
+        if found:
+            names, rows = zip(*found.items(), strict=True)
+            columns = [[n[0] for n in names], [str(n[1]) for n in names], [n[2] for n in names]]
+            columns += [[r[0] for r in rows], *[[f"{r[i]:020d}" for r in rows] for i in (1, 2)]]
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["c", "lead", "digit", "n", "low", "high"])
+
+    return run
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
-    """Linear-interpolated quantiles of several columns, exact at any size.
+    """Linear-interpolated quantiles of several columns, exact at any size, without moving a value.
 
-    Values are counted first. Up to a million distinct values fit one aggregate; beyond that they are
-    ranked by :func:`prefix_scan` and at most two values per quantile and column come back.
+    Radix selection: doubles are read as numbers in the same order; a pass counts the next digit of those
+    values that may still be the ones looked for, per task first, and keeps the bin that holds the rank. After five
+    passes at most (fewer where a bin holds one value) the value at a rank is known. A pass moves one row per task
+    and bin, so neither rows nor distinct values bound it. Nulls do not count; NaN is above every number.
     """
-    stacked = df.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns]))
-    ).filter(F.col("value").isNotNull())
-    counted = durable(stacked.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")))
-    if counted.count() <= FEW_VALUES:
-        rows = counted.groupBy("metric").agg(F.percentile("value", probabilities, F.col("n")).alias("q")).collect()
-        found = {r["metric"]: list(r["q"]) for r in rows}
-    else:
-        found = _ranked_quantiles(counted, probabilities)
-    missing = [c for c in columns if c not in found]
-    if missing:
-        raise ValueError(f"no values to take quantiles of: {missing}")
-    return found
-
-
-def _ranked_quantiles(counted: DataFrame, probabilities: list[float]) -> dict[str, list[float]]:
-    """Quantiles of (metric, value, n) rows from running counts over all of them."""
-    ranked = prefix_scan(counted, ["metric", "value"], {"through": F.col("n")})
-    sizes = {r["metric"]: r["n"] for r in ranked.groupBy("metric").agg(F.sum("n").alias("n")).collect()}
-    wanted, offset = {}, 0
-    for metric in sorted(sizes):
-        for p in probabilities:
-            place = p * (sizes[metric] - 1)
-            low = math.floor(place)
-            wanted[metric, p] = (offset + low, offset + min(low + 1, sizes[metric] - 1), place - low)
-        offset += sizes[metric]
-    ranks = sorted({r for low, high, _ in wanted.values() for r in (low, high)})
-    held = F.lit(False)
-    for r in ranks:
-        held = held | ((F.col("through") - F.col("n") <= r) & (F.col("through") > r))
-    hits = ranked.filter(held).select("value", "n", "through").collect()
-    at = {r: next(h["value"] for h in hits if h["through"] - h["n"] <= r < h["through"]) for r in ranks}
-    return {
-        metric: [
-            at[low] if at[low] == at[high] else at[low] + (at[high] - at[low]) * part
-            for low, high, part in (wanted[metric, p] for p in probabilities)
-        ]
-        for metric in sizes
-    }
+    # Passes read the written columns; what they are computed from runs once.
+    held = durable(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    known: dict[tuple[int, int], int] = {}  # (column, rank) -> key
+    ranks: dict[tuple[int, int], tuple[int, int]] = {}  # (column, rank) -> leading digits, rank among their values
+    sizes: dict[int, int] = {}
+    wanted, shift = [(c, 0) for c in range(len(columns))], 64
+    for digit in DIGITS:
+        shift -= digit
+        bins = held.mapInArrow(_histograms(wanted, digit, shift), "c int, lead string, digit int, n long, low string, high string")
+        summed = bins.groupBy("c", "lead", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        table: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+        for r in summed.collect():
+            table.setdefault((r["c"], int(r["lead"])), []).append((r["digit"], r["n"], int(r["low"]), int(r["high"])))
+        if not sizes:
+            sizes = {c: sum(n for _, n, _, _ in table.get((c, 0), [])) for c in range(len(columns))}
+            missing = [columns[c] for c, n in sizes.items() if not n]
+            if missing:
+                raise ValueError(f"no values to take quantiles of: {missing}")
+            lows = {(c, math.floor(p * (n - 1))) for c, n in sizes.items() for p in probabilities}
+            ranks = {(c, r): (0, r) for c, low in lows for r in (low, min(low + 1, sizes[c] - 1))}
+        left_open = {}
+        for (c, rank), (lead, left) in ranks.items():
+            for value, n, low, high in sorted(table[c, lead]):
+                if left < n:
+                    break
+                left -= n
+            if low == high:
+                known[c, rank] = low
+            else:
+                left_open[c, rank] = (lead << digit | value, left)
+        ranks = left_open
+        wanted = sorted({(c, lead) for (c, _), (lead, _) in ranks.items()})
+        if not wanted:
+            break
+
+    def quantile(c: int, p: float) -> float:
+        place = p * (sizes[c] - 1)
+        low = math.floor(place)
+        a, b = (_from_sort_key(known[c, r]) for r in (low, min(low + 1, sizes[c] - 1)))
+        return a if a == b or place == low else a + (b - a) * (place - low)
+
+    return {name: [quantile(c, p) for p in probabilities] for c, name in enumerate(columns)}
 
 
 def cyclic_successor(df: DataFrame, key: str, hashed: Column, carry: list[str], prefix: str = "next_") -> DataFrame:

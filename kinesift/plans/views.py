@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinesift.operators.benchmark import build_benchmark, build_hard_benchmark
 from kinesift.operators.cards import evidence_cards
-from kinesift.operators.segments import balanced_slot, segment_runs, sliding_windows, subject_split
+from kinesift.operators.segments import segment_runs, sliding_windows, subject_split
 
 DAY_US = 24 * 3600 * 1_000_000
 EVENT_CHANNELS = ["acc_x", "acc_y", "acc_z"]
@@ -35,9 +35,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str, activity: str | None = None, max_gap: int | None = DAY_US) -> DataFrame:
-    log = samples(spark, sf_dir)
-    slot = balanced_slot(log, time="us")
-    return segment_runs(log, order=["us", "event_id"], slot=slot, activity=activity, time="us", max_gap=max_gap)
+    return segment_runs(samples(spark, sf_dir), order=["us", "event_id"], activity=activity, time="us", max_gap=max_gap)
 
 
 def event_windows(spark: SparkSession, sf_dir: str, size: int = 8, stride: int = 4) -> DataFrame:

@@ -104,18 +104,18 @@ def rejected_lines(lines: DataFrame, parsed: Column) -> DataFrame:
 def log3_runs(samples: DataFrame, max_gap: int | None = 250_000_000) -> DataFrame:
     """Runs of the 3-channel log in file order: a run ends with the user, the activity or the time.
 
-    The log is cut at its file splits, so tasks share it evenly whoever wrote most of it.
+    The log is cut into ranges of lines, so tasks share it evenly whoever wrote most of it.
     """
     tagged = samples.select("*", F.lit("log").alias("_log"), F.concat_ws("\u0001", "subject_id", "activity").alias("_who"))
     runs = segment_runs(
-        tagged, order=["ord"], slot=F.struct("src", "block"), subject="_log", activity="_who", time="ts_ns", max_gap=max_gap
+        tagged, order=["src", "block", "ord"], subject="_log", activity="_who", time="ts_ns", max_gap=max_gap
     )
     return runs.drop("_log", "_who")
 
 
 def log21_runs(samples: DataFrame) -> DataFrame:
     """Runs of the 21-channel logs: per file, a run ends with the activity. Dropped lines do not end it."""
-    return segment_runs(samples, order=["ord"], slot=F.col("block"), subject="src", activity="activity")
+    return segment_runs(samples, order=["block", "ord"], subject="src", activity="activity")
 
 
 def number_lines(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from kinesift.operators.cards import CardBounds
 from kinesift.operators.centroids import Centroids
+from kinesift.sources.delimited import read_csv  # noqa: F401  (the counterpart of write_csv)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -21,11 +22,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; quotes are doubled so that any text comes back whole."""
-    df.write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
-
-
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).options(header=True, escape='"', multiLine=True).csv(path)
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', emptyValue="", **kept).csv(path)
 
 
 def write_windows(windows: DataFrame, path: str) -> DataFrame:

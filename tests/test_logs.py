@@ -128,26 +128,103 @@ def test_csv_keeps_any_text(spark, tmp_path):
     assert sorted(map(tuple, tables.read_csv(spark, str(tmp_path / "c"), df.schema).collect())) == rows
 
 
-def test_slots_do_not_change_runs(spark):
+@pytest.mark.parametrize("split_bytes", ["37b", "200b", "10m"])
+def test_csv_records_across_splits(spark, tmp_path, split_bytes):
+    """One file in many splits: breaks, quotes and separators inside fields, records longer than a split."""
+    rng = random.Random(5)
+    stock = [None, " spaced ", "plain", 'a "b" c', "x,y", "one\ntwo", '"\n"', "\n\n", "long " * 60 + "\n" + "more " * 30, '""', "é\n"]
+    rows = [(i, rng.choice(stock), i / 2, rng.choice(stock)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, text string, v double, more string")
+    tables.write_csv(df.coalesce(1), str(tmp_path / "c"))
+    tables.write_csv(df.filter("id < 3").coalesce(1), str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = tables.read_csv(spark, [str(tmp_path / "c"), str(tmp_path / "d")], df.schema)
+        got = sorted(map(tuple, read.collect()))
+        if split_bytes == "37b":
+            lines = spark.read.text(str(tmp_path / "c"))
+            assert lines.rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 153 and [r for r in got if r[0] >= 3] == [r for r in rows if r[0] >= 3]
+    assert [r for r in got if r[0] < 3] == sorted(rows[:3] * 2, key=lambda r: r[0])
+
+
+def plain_runs(rows, max_gap):
+    """seq_no and pos by one loop over (subject, activity, i, t)."""
+    out, last, seq, pos = [], {}, {}, {}
+    for s, a, i, t in sorted(rows, key=lambda r: r[2]):
+        before = last.get(s)
+        if before is None or before[0] != a or t < before[1] or t - before[1] > max_gap:
+            seq[s], pos[s] = seq.get(s, 0) + 1, -1
+        pos[s] += 1
+        last[s] = (a, t)
+        out.append((i, seq[s], pos[s]))
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_partitions_do_not_change_runs(spark, parts):
+    """A bursty subject holds most rows, nearly all of them in one moment, and spreads over the partitions all the same."""
     rng = random.Random(2)
-    rows = [("hot" if rng.random() < 0.7 else f"s{rng.randrange(4)}", f"a{i // 40}", i, i * rng.choice([1, 1, 3])) for i in range(1500)]
-    df = spark.createDataFrame(rows, "subject_id string, activity string, i long, t long")
-    results = []
-    for width in (1, 7, 100, 100000):
-        out = sg.segment_runs(df, order=["i"], slot=F.floor(F.col("i") / width), time="t", max_gap=500)
-        results.append(sorted((r["i"], r["seq_no"], r["pos"]) for r in out.collect()))
-    out = sg.segment_runs(df, order=["i"], slot=sg.balanced_slot(df, time="i", rows=50), time="t", max_gap=500)
-    results.append(sorted((r["i"], r["seq_no"], r["pos"]) for r in out.collect()))
-    assert results[0] == results[1] == results[2] == results[3] == results[4]
-    hot = df.withColumn("s", sg.balanced_slot(df, time="i", rows=50)).groupBy("subject_id", "s").count().agg(F.max("count")).first()[0]
-    assert hot <= 65
+    rows = []
+    for i in range(1500):
+        hot = rng.random() < 0.7
+        t = i if hot and not 200 < i < 1400 else 200_000 + i % 3 if hot else i * rng.choice([1, 1, 3])
+        rows.append(("hot" if hot else f"s{rng.randrange(4)}", None if i % 400 < 20 else f"a{i // 40}", i, t))
+    df = spark.createDataFrame(rows, "subject_id string, activity string, i long, t long").repartition(6)
+    out = sg.segment_runs(df, order=["i"], time="t", max_gap=500, partitions=parts)
+    assert sorted((r["i"], r["seq_no"], r["pos"]) for r in out.collect()) == plain_runs(rows, 500)
+    by_range = df.repartitionByRange(parts, "subject_id", "i").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert by_range <= 3 * len(rows) / parts
+
+
+def test_runs_take_one_shuffle_of_samples(spark, tmp_path):
+    spark.range(4000).selectExpr("string(id % 3) subject_id", "id t").write.parquet(str(tmp_path / "s"))
+    df = spark.read.parquet(str(tmp_path / "s"))
+    out = sg.segment_runs(df, order=["t"], activity=None, time="t", max_gap=10, partitions=4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Shuffled once before the written copy; after it the corrections are broadcast.
+    assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+    assert out.filter("seq_no = 1 and pos >= 0").count() == 4000
 
 
 def test_interleaved_subjects_break_with_dense_lines(spark):
     rows = [("a", 0), ("a", 1), ("b", 2), ("a", 3), ("a", 4)]
     df = spark.createDataFrame(rows, "subject_id string, line long")
-    out = sg.segment_runs(df, order=["line"], slot=F.lit(0), activity=None, line_no="line")
-    assert sorted((r["line"], r["seq_no"], r["pos"]) for r in out.collect()) == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 2, 0), (4, 2, 1)]
+    for parts in (1, 4):
+        out = sg.segment_runs(df, order=["line"], activity=None, line_no="line", partitions=parts)
+        assert sorted((r["line"], r["seq_no"], r["pos"]) for r in out.collect()) == [(0, 1, 0), (1, 1, 1), (2, 1, 0), (3, 2, 0), (4, 2, 1)]
+
+
+@pytest.mark.parametrize("size,stride", [(1, 1), (5, 1), (8, 4), (8, 8), (3, 5), (4, 3)])
+def test_windows_equal_slices_of_runs(spark, size, stride):
+    """Runs below, at and far over a block; rows in any order; few samples are copied."""
+    lengths = {1: 400, 2: size, 3: size - 1, 4: 9 * size + 1, 5: 8 * size * stride}
+    rows = [("s", n, p, [float(n), float(p)], p * 10) for n, m in lengths.items() for p in range(m)]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(rows, "subject_id string, seq_no int, pos long, values array<double>, t long").repartition(3)
+    cut = sg.sliding_windows(df, size=size, stride=stride, first_of=["t"])
+    got = sorted((r["seq_no"], r["win_no"], r["t"], tuple(map(tuple, r["sensor"]))) for r in cut.collect())
+    want = []
+    for n, m in lengths.items():
+        for w, p in enumerate(range(0, m - size + 1, stride)):
+            want.append((n, w, p * 10, tuple((float(n), float(q)) for q in range(p, p + size))))
+    assert got == sorted(want)
+
+
+def test_window_numbers_of_one_run_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sg, "OFFSET_WINDOWS", 16)
+    rows = [("hot", 1, w, "train", 0) for w in range(300)] + [(f"s{i}", 1, w, "train" if i % 2 else "test", i + 1) for i in range(6) for w in range(i + 1)]
+    df = spark.createDataFrame(rows, "subject_id string, seq_no int, win_no long, split string, at long")
+    got = {(r["split"], r["window_no"]): (r["subject_id"], r["win_no"]) for r in sg.number_windows(df, keys=["subject_id", "seq_no"], start=["at"], dataset_id="d").collect()}
+    want = {}
+    for split in ("train", "test"):
+        ordered = sorted((r for r in rows if r[3] == split), key=lambda r: (r[4], r[2]))
+        want |= {(split, n): (r[0], r[2]) for n, r in enumerate(ordered)}
+    assert got == want
 
 
 @pytest.mark.parametrize("n,ratio,want", [(1, 0.2, 0), (2, 0.2, 1), (10, 0.25, 2), (10, 0.35, 4), (3, 1.0, 2)])

@@ -86,16 +86,44 @@ def test_mcnemar_stays_finite_at_scale(spark):
 
 def test_bootstrap_interval_covers_the_mean(spark):
     df = spark.range(4000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 4 == 0).cast("int").alias("correct"))
-    point, low, high, n = metrics.bootstrap_ci(df, "key", "correct", n_bootstrap=300).first()
+    point, low, high, n = metrics.bootstrap_ci(df, "correct", n_bootstrap=300).first()
     half = 1.96 * math.sqrt(0.25 * 0.75 / 4000)
     assert point == 0.25 and n == 4000 and abs((high - low) / 2 - half) < 0.35 * half and low < 0.25 < high
 
 
+@pytest.mark.parametrize("n", [1000, 1_000_000])
+def test_bootstrap_equals_resampled_rows(spark, n):
+    """Quantiles of the replicate means against plain resampling of rows, within Monte Carlo error at any size."""
+    df = spark.range(n).select(((F.col("id") * 7919) % 10 < 3).cast("int").alias("correct"))
+    _, low, high, rows = metrics.bootstrap_ci(df, "correct", n_bootstrap=2000).first()
+    rng = np.random.default_rng(1)
+    ones = rng.binomial(n, 0.3, 20000) / n  # a resampled row is right with the share of right rows
+    want = np.quantile(ones, [0.025, 0.975])
+    error = 4 * math.sqrt(0.3 * 0.7 / n) / math.sqrt(2000 * 0.025 * 0.975) * 1.5
+    assert rows == n and abs(low - want[0]) < error and abs(high - want[1]) < error
+
+
+def test_poisson_counts_are_the_inverse():
+    for n in (1, 3, 40, 5000, 1 << 30):
+        u = (np.arange(20000) + 0.5) / 20000
+        k = metrics.poisson_counts(n, u)
+        assert (np.diff(k) >= 0).all() and abs(k.mean() - n) < 0.02 * math.sqrt(n) and abs(k.var() / n - 1) < 0.02
+    assert metrics.poisson_counts(1, np.array([0.0, 0.367, 0.368, 0.735, 0.736])).tolist() == [0, 0, 1, 1, 2]
+
+
+def test_many_lots_of_one_outcome(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 2).cast("double").alias("v"))
+    whole = metrics.bootstrap_ci(df, "v", n_bootstrap=400).first()
+    monkeypatch.setattr(metrics, "LOT", 100)
+    cut = metrics.bootstrap_ci(df, "v", n_bootstrap=400).first()
+    assert whole.point == cut.point == 0.5 and abs((whole.upper - whole.lower) / (cut.upper - cut.lower) - 1) < 0.25
+
+
 def test_paired_bootstrap_signs(spark):
     df = spark.range(1000).select(
         F.col("id").cast("string").alias("key"), F.lit(1).alias("a"), (F.col("id") % 10 > 0).cast("int").alias("b")
     )
-    point, low, high, p, n = metrics.paired_bootstrap(df, "key", "a", "b", n_bootstrap=200).first()
+    point, low, high, p, n = metrics.paired_bootstrap(df, "a", "b", n_bootstrap=200).first()
     assert math.isclose(point, 0.1) and low > 0 and high < 0.2 and p == 0.0 and n == 1000
 
 

@@ -8,7 +8,7 @@ from kinesift.operators import cards as cd
 from kinesift.operators import centroids as cn
 from kinesift.operators import segments as sg
 from kinesift.operators import signals as si
-from kinesift.operators.scan import _ranked_quantiles, exact_quantiles, prefix_scan
+from kinesift.operators.scan import exact_quantiles, prefix_scan
 
 RATE = 20.0
 
@@ -111,14 +111,30 @@ def test_pad_crop_and_shape(spark):
     assert got[0]["s"] == [[1.0, 1.0, 0.0]] * 3 + [[0.0, 0.0, 0.0]] and got[1]["s"] == [[1.0] * 3] * 4
 
 
-def test_quantiles_both_ways(spark):
+def test_quantiles_of_odd_values(spark):
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=997), rng.integers(0, 5, 997).astype(float)
-    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    probs = [0.0, 0.33, 0.67, 1.0]
-    counted = df.selectExpr("inline(array(struct('a' as metric, a as value), struct('b' as metric, b as value)))").groupBy("metric", "value").agg(F.count("*").alias("n"))
-    for got in (exact_quantiles(df, ["a", "b"], probs), _ranked_quantiles(counted, probs)):
-        assert np.allclose(got["a"], np.quantile(a, probs)) and np.allclose(got["b"], np.quantile(b, probs))
+    c = np.concatenate([[-np.inf, np.inf, -0.0, 0.0, 5e-324, -1e308], rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400), np.full(591, 1 / 3)])
+    rows = [(float(x), float(y), float(z), None if i else 7.5) for i, (x, y, z) in enumerate(zip(a, b, c))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    probs = [0.0, 0.01, 0.33, 0.5, 0.67, 1.0]
+    got = exact_quantiles(df, ["a", "b", "c", "d"], probs)
+    assert got["a"] == pytest.approx(np.quantile(a, probs).tolist(), rel=1e-15) and got["b"] == np.quantile(b, probs).tolist()
+    ordered = np.sort(c)
+    for p, v in zip(probs, got["c"]):
+        low = int(p * 996)
+        assert ordered[low] <= v <= ordered[min(low + 1, 996)]
+    assert got["c"][0] == -np.inf and got["d"] == [7.5] * 6
+    with pytest.raises(ValueError):
+        exact_quantiles(df.select(F.lit(None).cast("double").alias("e")), ["e"], [0.5])
+
+
+def test_quantiles_move_no_value(spark):
+    """One pass moves a row per task and bin, not per value; neighbours in the last bit stay apart."""
+    start = 1.0
+    values = [start + i * 2.0**-52 for i in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    assert exact_quantiles(df, ["v"], [0.25, 0.5]) == {"v": [pytest.approx(np.quantile(values, 0.25), abs=3e-16), pytest.approx(np.quantile(values, 0.5), abs=3e-16)]}
 
 
 @pytest.mark.parametrize("parts", [1, 7])
