@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import ctes as cx
@@ -14,6 +18,7 @@ from kinesift.functions.hashing import hex_number
 from kinesift.functions.scores import card_vector, statement_vector
 from kinesift.operators import audit, benchmark as bm, controls, evaluate, prompts, subsets
 from kinesift.plans import views
+from kinesift.session import stored
 
 
 def hnum(*parts):
@@ -220,14 +225,29 @@ def _prompt_sql(template: str, **slots: str) -> str:
     return "concat(" + ", ".join([*out, "'" + rest.replace("'", "''") + "'"]) + ")"
 
 
-@check(
+def _styled(name: str, styles: dict, sql: Callable[[str], str], make: Callable) -> None:
+    """One query over all styles of a prompt; the records are written once."""
+
+    def run(spark, d):
+        records = stored(hard(spark, d), name)
+        parts = [make(records, style).withColumn("style", F.lit(style)) for style in styles]
+        return reduce(DataFrame.unionByName, parts)
+
+    check(name, " UNION ALL ".join(f"SELECT *, '{style}' AS style FROM ({sql(text)})" for style, text in styles.items()))(run)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_styled(
     "caption_prompts",
-    "SELECT t.window_id, "
-    + _prompt_sql(prompts.CAPTION_PROMPT, evidence="evidence_text", options="options", instruction="'" + prompts.CAPTION_STYLES["terse"] + "'")
+    prompts.CAPTION_STYLES,
+    lambda text: "SELECT t.window_id, "
+    + _prompt_sql(prompts.CAPTION_PROMPT, evidence="evidence_text", options="options", instruction=_quoted(text))
     + f" AS prompt FROM hard_v3_text t JOIN {OPTIONS} o ON o.window_id = t.window_id",
+    lambda records, style: prompts.caption_prompts(records, style),
 )
-def caption_prompts(spark, d):
-    return prompts.caption_prompts(hard(spark, d), "terse")
 
 
 @check(
@@ -240,16 +260,16 @@ def choice_prompts(spark, d):
     return prompts.choice_prompts(hard(spark, d))
 
 
-@check(
+_styled(
     "support_prompts",
-    "SELECT t.window_id, "
-    + _prompt_sql(prompts.SUPPORT_PROMPT, evidence="evidence_text", options="options", instruction="'" + prompts.SUPPORT_STYLES["strict_json"] + "'")
+    prompts.SUPPORT_STYLES,
+    lambda text: "SELECT t.window_id, "
+    + _prompt_sql(prompts.SUPPORT_PROMPT, evidence="evidence_text", options="options", instruction=_quoted(text))
     + """ AS prompt FROM hard_v3_text t JOIN (SELECT window_id, string_agg(concat('S', rk, ': ', text), chr(10) ORDER BY rk) AS options FROM
     (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY md5(concat('42:', window_id, ':support:', i))) - 1 AS rk FROM hard_v3_items) GROUP BY 1) o
     ON o.window_id = t.window_id""",
+    lambda records, style: prompts.support_prompts(records, style),
 )
-def support_prompts(spark, d):
-    return prompts.support_prompts(hard(spark, d))
 
 
 @check(
@@ -274,16 +294,14 @@ _SCHEMA = (
 _LEGEND = "\n".join(f"- {a}: {ph.AXIS_WORDS[a]}" for a in ("acc_x", "acc_y", "acc_z", "uncertain"))
 
 
-@check(
+_styled(
     "field_prompts",
-    "SELECT window_id, "
-    + _prompt_sql(
-        prompts.FIELD_PROMPT, instruction="'" + prompts.FIELD_STYLES["strict_json"] + "'", schema=f"'{_SCHEMA}'", options=f"'{_LEGEND}'", evidence="evidence_text"
-    )
+    prompts.FIELD_STYLES,
+    lambda text: "SELECT window_id, "
+    + _prompt_sql(prompts.FIELD_PROMPT, instruction=_quoted(text), schema=f"'{_SCHEMA}'", options=f"'{_LEGEND}'", evidence="evidence_text")
     + " AS prompt FROM hard_v3_text",
+    lambda records, style: prompts.field_prompts(records, style),
 )
-def field_prompts(spark, d):
-    return prompts.field_prompts(hard(spark, d))
 
 
 # ---- controls -----------------------------------------------------------------------------------

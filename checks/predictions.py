@@ -418,6 +418,31 @@ def answer_summary(spark, d):
     return tight(reports.grounding_summary(evaluate.answer_rows(records, answers)))
 
 
+_TOLD = hexnum("concat(c.window_id, ':told')") + " % 3"
+_OTHER = "CASE burstiness WHEN 'bursty' THEN 'smooth' ELSE 'bursty' END"
+_ANSWERED = f"""SELECT c.window_id, {", ".join(
+    f"CASE {_TOLD} WHEN 0 THEN {f} WHEN 1 THEN {_OTHER if f == 'burstiness' else 'NULL' if f == 'intensity' else f} END AS f_{f}" for f in ph.FIELDS
+)} FROM ev_cards c"""
+_CLAIMED = " + ".join(f"CAST(c_{f} IS NOT NULL AS INT)" for f in ph.FIELDS)
+_AGREED = " AND ".join(f"(c_{f} IS NULL OR coalesce(c_{f} = f_{f}, false))" for f in ph.FIELDS)
+
+
+@check(
+    "answered_statements",
+    f"""SELECT c.window_id, CAST(i AS INT) AS i, (({_CLAIMED}) > 0 AND {_AGREED}) AS held FROM v3_claims c JOIN ({_ANSWERED}) f ON f.window_id = c.window_id""",
+)
+def answered_statements(spark, d):
+    """Statements held against the fields of model answers: whole ones, ones with a wrong and a missing field, and none."""
+    records = hard(spark, d)
+    e, h = F.col("evidence"), hnum(F.col("window_id"), F.lit(":told")) % 3
+    whole = F.to_json(F.struct(*[e[f].alias(f) for f in ph.FIELDS]))
+    other = F.when(e["burstiness"] == "bursty", "smooth").otherwise("bursty")
+    part = F.to_json(F.struct(*[(other if f == "burstiness" else e[f]).alias(f) for f in ph.FIELDS if f != "intensity"]))
+    said = F.when(h == 0, F.concat(F.lit("Fields: "), whole)).when(h == 1, part).otherwise("no idea")
+    rows = evaluate.structured_rows_from_answers(records, records.select("window_id", said.alias("response")))
+    return rows.select("window_id", F.posexplode_outer("support_predictions").alias("i", "held"))
+
+
 @check("classifier_rows")
 def classifier_rows(spark, d):
     """Logistic regression over statement vectors; trained on the train split, applied to the test split."""

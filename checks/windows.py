@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.ctes import case, r6 as q6
 from checks.registry import check, r6, tight
-from kinesift.functions.phrases import ACTIVITY_LABELS_12
+from kinesift.functions.phrases import ACTIVITY_LABELS_6, ACTIVITY_LABELS_12
 from kinesift.operators import cards as cd
 from kinesift.operators import centroids as cn
 from kinesift.operators import segments as sg
@@ -53,35 +53,126 @@ def log3_rejects(spark, d):
     return logs.rejected_lines(lines, logs.parse_log3(F.col("value"))).select("rejected")
 
 
+def _lines21(spark, d):
+    """Lines of 23 values and a label: 23 in a row from a place that follows the id, so all 64 take part."""
+    e = views.table(spark, d, "embeddings")
+    start = (F.col("vec_id") % 42 + 1).cast("int")
+    numbers = F.transform(F.slice("embedding", start, F.lit(23)), lambda x: x.cast("double").cast("string"))
+    label = F.when(F.col("vec_id") % 15 == 13, "NaN").when(F.col("vec_id") % 15 == 14, "99999999999").otherwise((F.col("vec_id") % 15).cast("string"))
+    return e.select("vec_id", F.concat(F.lit("\t"), F.array_join(numbers, "\t"), F.lit("\t"), label, F.lit(" \t")).alias("value"))
+
+
+_GOOD21 = "vec_id % 15 BETWEEN 1 AND 12"
+
+
 @check(
     "log21_parse",
-    f"""SELECT vec_id, {case('vec_id % 15', ACTIVITY_LABELS_12, 'NULL')} AS activity,
-    {q6('CAST(embedding[1] AS DOUBLE)')} AS first_value, {q6('CAST(embedding[6] AS DOUBLE)')} AS fourth_value,
-    {q6('CAST(embedding[23] AS DOUBLE)')} AS last_value, 21 AS n_values FROM embeddings WHERE vec_id % 15 BETWEEN 1 AND 12""",
+    f"""SELECT vec_id, {case('vec_id % 15', ACTIVITY_LABELS_12, 'NULL')} AS activity, CAST(i AS INT) AS i,
+    {q6('CAST(embedding[vec_id % 42 + 1 + CASE WHEN i < 3 THEN i ELSE i + 2 END] AS DOUBLE)')} AS v
+    FROM (SELECT *, unnest(range(0, 21)) AS i FROM embeddings WHERE {_GOOD21})""",
 )
 def log21_parse(spark, d):
+    p = _lines21(spark, d).select("vec_id", logs.parse_log21(F.col("value")).alias("p")).filter("p is not null")
+    return p.select("vec_id", "p.activity", F.posexplode("p.values").alias("i", "v")).withColumn("v", r6("v"))
+
+
+_RUNS_OF = """SELECT {keep}, row_number() OVER (PARTITION BY {by}, seq_no ORDER BY {order}) - 1 AS pos, CAST(seq_no AS BIGINT) AS seq_no FROM
+    (SELECT *, sum(CASE WHEN {same} THEN 0 ELSE 1 END) OVER (PARTITION BY {by} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS seq_no FROM
+    (SELECT *, {lags} FROM ({rows})))"""
+
+
+@check(
+    "log3_file_runs",
+    _RUNS_OF.format(
+        keep="subject_id, activity, ts_ns, x",
+        by="one",
+        order="ts_ns",
+        same="ls = subject_id AND la = activity AND ts_ns - lt <= 3",
+        lags="lag(subject_id) OVER w AS ls, lag(activity) OVER w AS la, lag(ts_ns) OVER w AS lt",
+        rows=f"""SELECT 1 AS one, CAST(user_id AS VARCHAR) AS subject_id, lower(event_type) || '_up' AS activity, event_id AS ts_ns, {q6('value')} AS x
+    FROM events WHERE event_id % 97 <> 0 AND event_id % 89 <> 0""",
+    ).replace("WHERE event_id % 97 <> 0 AND event_id % 89 <> 0)", "WHERE event_id % 97 <> 0 AND event_id % 89 <> 0) WINDOW w AS (ORDER BY ts_ns)"),
+)
+def log3_file_runs(spark, d):
+    """The log as text files in line order, read from there: broken lines are left out, runs end with user, activity or time."""
+    path = stage_path(spark, "log3")
+    lines = _lines3(spark, d).repartitionByRange("event_id").sortWithinPartitions("event_id")
+    lines.select("value").write.text(path)
+    runs = logs.log3_runs(logs.read_log3(spark, path), max_gap=3)
+    return runs.select("subject_id", "activity", "ts_ns", r6(F.col("values")[0]).alias("x"), "pos", "seq_no")
+
+
+@check(
+    "log21_file_runs",
+    _RUNS_OF.format(
+        keep="vec_id, activity",
+        by="part",
+        order="vec_id",
+        same="la = activity",
+        lags="lag(activity) OVER (PARTITION BY part ORDER BY vec_id) AS la",
+        rows=f"SELECT vec_id, vec_id % 4 AS part, {case('vec_id // 9 % 15', ACTIVITY_LABELS_12, 'NULL')} AS activity FROM embeddings WHERE vec_id // 9 % 15 BETWEEN 1 AND 12",
+    ),
+)
+def log21_file_runs(spark, d):
+    """A file per recording, no times: runs end with the activity, lines without one are left out and end none."""
+    path = stage_path(spark, "log21")
     e = views.table(spark, d, "embeddings")
-    numbers = F.transform(F.slice("embedding", 1, 23), lambda x: x.cast("double").cast("string"))
-    label = F.when(F.col("vec_id") % 15 == 13, "NaN").when(F.col("vec_id") % 15 == 14, "99999999999").otherwise((F.col("vec_id") % 15).cast("string"))
-    line = F.concat(F.lit("\t"), F.array_join(numbers, "\t"), F.lit("\t"), label, F.lit(" \t"))
-    p = e.select("vec_id", logs.parse_log21(line).alias("p")).filter("p is not null")
-    v = F.col("p.values")
-    return p.select(
-        "vec_id", "p.activity", r6(v[0]).alias("first_value"), r6(v[3]).alias("fourth_value"), r6(v[20]).alias("last_value"),
-        F.size(v).alias("n_values"),
-    )
+    numbers = F.concat(F.array(F.col("vec_id").cast("string")), F.transform(F.slice("embedding", 1, 22), lambda x: x.cast("double").cast("string")))
+    value = F.concat_ws("\t", F.array_join(numbers, "\t"), F.floor(F.col("vec_id") / 9) % 15)
+    rows = e.select("vec_id", (F.col("vec_id") % 4).alias("part"), value.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "vec_id").select("part", "value").write.partitionBy("part").text(path)
+    runs = logs.log21_runs(logs.read_log21(spark, path))
+    return runs.select(F.col("values")[0].cast("bigint").alias("vec_id"), "activity", "pos", "seq_no")
+
+
+@check(
+    "matrices",
+    f"""SELECT printf('ucihar_train_%06d', line_no) AS window_id, {case('label % 7', ACTIVITY_LABELS_6, "CAST(label % 7 AS VARCHAR)")} AS label,
+    CAST(vec_id % 12 AS VARCHAR) AS subject_id, CAST(t AS INT) AS t, CAST(ch AS INT) AS ch, {q6('CAST(embedding[ch * 10 + t + 1] AS DOUBLE)')} AS v
+    FROM (SELECT *, unnest(range(0, 10)) AS t FROM (SELECT *, unnest(range(0, 6)) AS ch FROM
+    (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS line_no FROM embeddings)))""",
+)
+def matrices(spark, d):
+    """One file set per channel, written and read as directories of parts, aligned by line."""
+    base = stage_path(spark, "matrices")
+    e = views.table(spark, d, "embeddings").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
+    for c, stem in enumerate(logs.MATRIX_FILES.values()):
+        values = F.transform(F.slice("embedding", 10 * c + 1, 10), lambda x: x.cast("double").cast("string"))
+        e.select(F.concat(F.lit("  "), F.array_join(values, "  ")).alias("value")).write.text(f"{base}/train/Inertial Signals/{stem}_train.txt")
+    e.select((F.col("label") % 7).cast("string").alias("value")).write.text(f"{base}/train/y_train.txt")
+    e.select((F.col("vec_id") % 12).cast("string").alias("value")).write.text(f"{base}/train/subject_train.txt")
+    m = logs.read_matrices(spark, base, "train").select("window_id", "label", "subject_id", F.posexplode("sensor").alias("t", "row"))
+    return m.select("window_id", "label", "subject_id", "t", F.posexplode("row").alias("ch", "v")).withColumn("v", r6("v"))
+
+
+@check(
+    "interleaved_runs",
+    _RUNS_OF.format(
+        keep="event_id, line",
+        by="subject_id",
+        order="line",
+        same="line - ll = 1",
+        lags="lag(line) OVER (PARTITION BY subject_id ORDER BY line) AS ll",
+        rows="SELECT CAST(user_id AS VARCHAR) AS subject_id, event_id, row_number() OVER (ORDER BY event_type, ts, event_id) - 1 AS line FROM events",
+    ),
+)
+def interleaved_runs(spark, d):
+    """Lines in an order of types: a run ends where another subject's line lies between."""
+    e = views.table(spark, d, "events").select(F.col("user_id").cast("string").alias("subject_id"), "event_type", "ts", "event_id")
+    numbered = prefix_scan(e, ["event_type", "ts", "event_id"], index="line")
+    return sg.segment_runs(numbered, order=["line"], activity=None, line_no="line").select("event_id", "line", "seq_no", "pos")
 
 
 @check(
     "line_numbers",
-    "SELECT event_id, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) - 1 AS line_no FROM events",
+    "SELECT event_id, row_number() OVER (PARTITION BY event_id // 1000 ORDER BY event_id) - 1 AS line_no FROM events",
 )
 def line_numbers(spark, d):
-    """Lines written in event order, into a file per remainder, come back with that order as line numbers of their file."""
+    """Lines written in event order, a file per thousand ids, come back with that order as line numbers of their file."""
     path = stage_path(spark, "lines")
     event = F.col("event_id").cast("bigint")
-    rows = views.table(spark, d, "events").select(F.col("event_id").cast("string").alias("value"), (event % 8).alias("part"))
-    rows.repartition(8, "part").sortWithinPartitions("part", F.col("value").cast("bigint")).write.partitionBy("part").text(path)
+    rows = views.table(spark, d, "events").select(F.col("event_id").cast("string").alias("value"), F.floor(event / 1000).alias("part"))
+    rows.repartition("part").sortWithinPartitions("part", F.col("value").cast("bigint")).write.partitionBy("part").text(path)
     lines = logs.number_lines(logs.read_lines(spark, path))
     return lines.select(F.col("value").cast("bigint").alias("event_id"), "line_no")
 
@@ -138,16 +229,13 @@ def gapless_runs(spark, d):
 
 @check(
     "sliding_windows",
-    f"""SELECT subject_id, seq_no, win_no, {q6('sum(c0)')} AS s0, {q6('max(CASE WHEN p = 0 THEN c1 END)')} AS head1,
-    {q6('max(CASE WHEN p = 7 THEN c2 END)')} AS tail2 FROM win_rows GROUP BY 1, 2, 3""",
+    f"""SELECT subject_id, seq_no, win_no, CAST(p AS INT) AS p, {q6('c0')} AS c0, {q6('c1')} AS c1, {q6('c2')} AS c2 FROM win_rows""",
 )
 def sliding_windows(spark, d):
+    """Every sample of every window."""
     w = sg.sliding_windows(views.runs(spark, d), size=8, stride=4)
-    s = F.col("sensor")
-    return w.select(
-        "subject_id", "seq_no", "win_no", r6(F.aggregate(s, F.lit(0.0), lambda a, r: a + r[0])).alias("s0"),
-        r6(s[0][1]).alias("head1"), r6(s[7][2]).alias("tail2"),
-    )
+    opened = w.select("subject_id", "seq_no", "win_no", F.posexplode("sensor").alias("p", "v"))
+    return opened.select("subject_id", "seq_no", "win_no", "p", *[r6(F.col("v")[i]).alias(f"c{i}") for i in range(3)])
 
 
 @check(
@@ -351,7 +439,12 @@ def window_features(spark, d):
     return tight(f.select("window_id", F.posexplode_outer("features").alias("pos", "x")))
 
 
-@check("feature_zscores", f"SELECT window_id, CAST(pos AS INT) AS pos, {q6('z')} AS z FROM gr_z")
+@check(
+    "feature_zscores",
+    f"""SELECT window_id, CAST(place AS INT) AS pos, {q6('(x - m) / CASE WHEN s < 1e-6 THEN 1 ELSE s END')} AS z FROM (SELECT f.window_id, f.pos AS place, f.x,
+    avg(f.x) FILTER (WHERE g.split = 'train') OVER (PARTITION BY f.pos) AS m, stddev_pop(f.x) FILTER (WHERE g.split = 'train') OVER (PARTITION BY f.pos) AS s
+    FROM gr_feat f JOIN grid g ON g.window_id = f.window_id)""",
+)
 def feature_zscores(spark, d):
     f = si.window_features(views.grid_windows(spark, d), channels=4)
     z = cn.fit_zscore(f.filter("split = 'train'"))

@@ -11,14 +11,18 @@ from kinesift.functions.phrases import HIDDEN_CONTROL_TEXT, HIDDEN_STRESS_TEXT,
 from kinesift.functions.textfields import mask_all_numbers, mask_numbers
 from kinesift.operators.benchmark import shown_evidence
 from kinesift.operators.scan import cyclic_successor
+from kinesift.session import stored
 
 CONTROL_MODES = ["visible", "shuffled", "numeric-mask", "numeric-swap", "axis-permutation", "trend-flip", "hidden"]
 STRESS_VARIANTS = ["numeric_mask", "shuffled_evidence", "hidden_evidence"]
 
 
 def _borrowed(records: DataFrame, seed: int, carry: dict[str, Column]) -> DataFrame:
-    """Every record with ``src_*`` columns of another record: the next one in hash order."""
-    named = records.select("*", *[c.alias(f"_c_{name}") for name, c in carry.items()])
+    """Every record with ``src_*`` columns of another record: the next one in hash order.
+
+    The records are written once: the ring reads their keys, the pairs then their texts.
+    """
+    named = stored(records.select("*", *[c.alias(f"_c_{name}") for name, c in carry.items()]), "lent")
     paired = cyclic_successor(
         named, "window_id", order_hash(seed, F.col("window_id")), [f"_c_{name}" for name in carry], prefix="src"
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,7 @@ from kinesift.functions.textfields import (
     supports,
 )
 from kinesift.operators.benchmark import shown_evidence, support_items
+from kinesift.operators.logistic import Logistic, fit_logistic
 from kinesift.operators.scan import unique_rows
 
 
@@ -292,27 +293,22 @@ def field_match_rows(records: DataFrame) -> DataFrame:
 def fit_statement_classifier(
     statements: DataFrame, model_type: str = "logistic_regression", feature_mode: str = "oracle_fields", seed: int = 42
 ):
-    """A Spark ML model on labelled statements with balanced class weights n / (2 * n_class)."""
-    rows = statement_vectors(statements, feature_mode).select(
-        array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label")
-    )
+    """A model on labelled statements with balanced class weights n / (2 * n_class): :class:`Logistic` or a Spark ML forest."""
+    rows = statement_vectors(statements, feature_mode).select("features", F.col("label").cast("double").alias("label"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n = sum(counts.values())
     weight = F.lit(0.0)
     for label, count in counts.items():
         weight = F.when(F.col("label") == label, n / (len(counts) * count)).otherwise(weight)
     weighted = rows.withColumn("weight", weight)
+    if model_type == "logistic_regression":
+        return fit_logistic(weighted)
     if model_type == "random_forest":
         trainer = RandomForestClassifier(
             numTrees=300, maxDepth=20, seed=seed, weightCol="weight", featuresCol="features", labelCol="label"
         )
-    elif model_type == "logistic_regression":
-        trainer = LogisticRegression(
-            maxIter=1000, regParam=1.0 / n, standardization=False, weightCol="weight", tol=1e-6
-        )
-    else:
-        raise ValueError(f"unknown model_type: {model_type}")
-    return trainer.fit(weighted)
+        return trainer.fit(weighted.withColumn("features", array_to_vector("features")))
+    raise ValueError(f"unknown model_type: {model_type}")
 
 
 def classifier_rows(records: DataFrame, model, feature_mode: str = "oracle_fields") -> DataFrame:
@@ -340,9 +336,12 @@ def classifier_rows(records: DataFrame, model, feature_mode: str = "oracle_field
             )
         ),
     )
-    scored = model.transform(
-        statement_vectors(texts, feature_mode).withColumn("features", array_to_vector("features"))
-    ).select("window_id", "part", "pos", item(vector_to_array("probability"), F.lit(1)).alias("p"))
+    vectors = statement_vectors(texts, feature_mode)
+    if isinstance(model, Logistic):
+        scored = vectors.select("window_id", "part", "pos", model.probability(F.col("features")).alias("p"))
+    else:
+        judged = model.transform(vectors.withColumn("features", array_to_vector("features")))
+        scored = judged.select("window_id", "part", "pos", item(vector_to_array("probability"), F.lit(1)).alias("p"))
 
     def gathered(part: str) -> Column:
         own = F.collect_list(F.when(F.col("part") == part, F.struct("pos", "p")))

@@ -140,14 +140,22 @@ def brier(rows: DataFrame, truth: str, score: str) -> DataFrame:
     return rows.agg(F.coalesce(F.avg(gap * gap), F.lit(0.0)).alias("brier"))
 
 
+def bin_edges(n_bins: int = 10) -> list[float]:
+    """The doubles of an evenly spaced grid, so a score on an edge falls as it does there."""
+    return [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
+
+
+def in_bin(score: Column, i: int, n_bins: int = 10) -> Column:
+    """Whether a score is in bin ``i``; the last one is closed on the right."""
+    low, high = bin_edges(n_bins)[i : i + 2]
+    return (score >= low) & ((score <= high) if i == n_bins - 1 else (score < high))
+
+
 def calibration_bins(rows: DataFrame, truth: str, score: str, n_bins: int = 10) -> DataFrame:
-    """Count, accuracy and confidence per bin; ``n_all`` counts scores outside [0, 1] too."""
-    # The edges are the doubles of an evenly spaced grid, so a score on an edge falls as it does there.
-    edges = [i * (1.0 / n_bins) for i in range(n_bins)] + [1.0]
-    s = F.col(score)
-    place = F.when((s < 0) | (s > 1), F.lit(None).cast("int"))
+    """Count, accuracy and confidence per bin; scores outside [0, 1] are in the null bin."""
+    place = F.lit(None).cast("int")
     for i in range(n_bins):
-        place = place.when((s <= edges[i + 1]) if i == n_bins - 1 else (s < edges[i + 1]), i)
+        place = F.when(in_bin(F.col(score), i, n_bins), i).otherwise(place)
     return rows.groupBy(place.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(truth).alias("accuracy"), F.avg(score).alias("confidence")
     )
@@ -160,26 +168,33 @@ def expected_calibration_error(rows: DataFrame, truth: str, score: str, n_bins:
     return bins.agg(F.coalesce(F.sum(gap) / F.sum("n"), F.lit(0.0)).alias("ece"))
 
 
-def risk_coverage(rows: DataFrame, truth: str, score: str, key: str) -> DataFrame:
-    """One minus the area under risk over coverage, rows in order of confidence (ties by ``key``).
+def risk_curves(rows: DataFrame, curve: str, truth: str, score: str, key: str) -> DataFrame:
+    """(``curve``, risk_coverage_auc): one minus the area under risk over coverage for every value of ``curve``, rows in
+    order of confidence (ties by ``key``).
 
     Risk at a rank needs only the running count of right rows, and the trapezoid at a rank only that rank's
-    row, so nothing is gathered: the order comes from :func:`prefix_scan`.
+    row, so nothing is gathered: the order of all curves comes from one :func:`prefix_scan`.
     """
     s = F.col(score)
     ranked = rows.select(
+        curve,
         key,
         F.greatest(s, 1 - s).alias("_conf"),
         (F.when(s >= 0.5, 1).otherwise(0) == F.col(truth)).cast("bigint").alias("_right"),
     )
-    run = prefix_scan(ranked, ["-_conf", key], {"_cum": F.col("_right")}, index="_i")
+    run = prefix_scan(ranked, ["-_conf", key], {"_cum": F.col("_right")}, index="_i", within=curve)
     i = F.col("_i")
     risk = 1.0 - F.col("_cum") / (i + 1)
     before = F.when(i > 0, 1.0 - (F.col("_cum") - F.col("_right")) / i)
     area = F.sum(F.coalesce((risk + before) / 2.0, F.lit(0.0))) / F.count(F.lit(1))
-    return run.agg(
-        F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - area)), F.lit(0.0)).alias("risk_coverage_auc")
-    )
+    auc = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - area)), F.lit(0.0))
+    return run.groupBy(curve).agg(auc.alias("risk_coverage_auc"))
+
+
+def risk_coverage(rows: DataFrame, truth: str, score: str, key: str) -> DataFrame:
+    """The area of :func:`risk_curves` over all rows; 0 for an empty table."""
+    curves = risk_curves(rows.withColumn("_curve", F.lit(0)), "_curve", truth, score, key)
+    return curves.agg(F.coalesce(F.max("risk_coverage_auc"), F.lit(0.0)).alias("risk_coverage_auc"))
 
 
 def majority_label(rows: DataFrame, label: str) -> DataFrame:

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinesift.functions.arrays import first_argmax, item, top_margin
 from kinesift.operators.combine import bad_map, mapped
-from kinesift.operators.metrics import (
-    brier,
-    cells,
-    expected_calibration_error,
-    macro_f1,
-    rejection_columns,
-    risk_coverage,
-    support_rows,
-)
+from kinesift.operators.metrics import bin_edges, cells, f1_of, in_bin, rejection_columns, risk_curves
 from kinesift.operators.scan import unique_rows
-from kinesift.session import durable
+from kinesift.session import stored
 
 # Edges of the margin buckets.
 MARGIN_EDGES = [0.0, 1.0, 2.0, 3.0, 5.0, 10.0]
@@ -287,77 +282,149 @@ def system_table(metrics: DataFrame, paired: DataFrame) -> DataFrame:
     )
 
 
-def _one(tables: list[DataFrame]) -> DataFrame:
-    """One-row tables side by side as (metric, value) rows."""
-    long = None
-    for t in tables:
-        rows = t.select(
-            F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in t.columns]))
-        )
-        long = rows if long is None else long.unionByName(rows)
-    return long
+def _listed(row: DataFrame) -> DataFrame:
+    """A one-row table as (metric, value) rows."""
+    return row.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in row.columns]))
+    )
 
 
-def _confidence(rows: DataFrame, prefix: str, truth: str, score: str, key: str) -> list[DataFrame]:
-    return [
-        brier(rows, truth, score).withColumnRenamed("brier", f"{prefix}_brier"),
-        expected_calibration_error(rows, truth, score).withColumnRenamed("ece", f"{prefix}_ece"),
-        risk_coverage(rows, truth, score, key).withColumnRenamed("risk_coverage_auc", f"{prefix}_risk_coverage_auc"),
+def _report(rows: DataFrame, counted: dict[str, Column], judged: Column, sets: list[str], results: dict[str, Column]) -> DataFrame:
+    """(metric, value) rows from two aggregates and one ranking over one written table.
+
+    ``judged`` is the row's array of (set, key, truth, score, label, guess); ``counted`` are sums over the rows of
+    ``rows`` and ``results`` what is told of these and of the per-set sums. All sums - squared gaps, calibration
+    bins, cells, label counts - come from one conditional aggregate by (set, label, guess); all risk-coverage
+    curves from one ranking in which a curve is a segment.
+    """
+    own = F.struct(*[c.alias(name) for name, c in counted.items()])
+    items = stored(rows.select(own.alias("_own"), F.posexplode_outer(judged).alias("_i", "_j")), "judged").select(
+        F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_own")).alias("_own"), "_j.*"
+    )
+    gap = F.col("score") - F.col("truth")
+    n_bins = len(bin_edges()) - 1
+    bins = [
+        F.sum(F.when(in_bin(F.col("score"), i), F.col(c))).cast("double").alias(f"{c}{i}") for i in range(n_bins) for c in ("truth", "score")
     ]
+    held = cells(F.col("truth"), F.col("guess") == 1)
+    cell = items.groupBy("set", "label", "guess").agg(
+        F.count("set").cast("double").alias("n"),
+        F.count(gap).cast("double").alias("known"),
+        F.sum(gap * gap).alias("squared"),
+        *bins,
+        *[c.cast("double").alias(k) for k, c in held.items()],
+        *[F.sum(F.col("_own")[name]).cast("double").alias(f"own_{name}") for name in counted],
+    )
+    by_set = []
+    for name in sets:
 
+        def total(c: str, here: Column = F.col("set") == name) -> Column:
+            return F.coalesce(F.sum(F.when(here, F.col(c))), F.lit(0.0))
 
-def _captions(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "window_id",
-        "caption_answer_index",
-        F.coalesce("caption_prediction", F.lit(0)).alias("guess"),
-        (F.coalesce("caption_prediction", F.lit(0)) == F.col("caption_answer_index")).cast("int").alias("right"),
-        F.coalesce(F.array_max("caption_scores"), F.lit(0.0)).alias("confidence"),
+        gaps = [F.abs(total(f"truth{i}") - total(f"score{i}")) for i in range(n_bins)]
+        by_set += [
+            (total("squared") / F.greatest(F.lit(1.0), total("known"))).alias(f"{name}_brier"),
+            (reduce(add, gaps) / F.greatest(F.lit(1.0), total("n"))).alias(f"{name}_ece"),
+            *[total(k).alias(f"{name}_{k}") for k in held],
+        ]
+    labels = F.collect_list(F.when((F.col("set") == sets[0]) & (F.col("n") > 0), F.struct("label", "guess", "n")))
+    told = cell.agg(*by_set, *[F.coalesce(F.sum(f"own_{c}"), F.lit(0.0)).alias(c) for c in counted], labels.alias("_labels"))
+    curves = risk_curves(items.filter(F.col("set").isNotNull()).select("set", "key", "truth", "score"), "set", "truth", "score", "key")
+    auc = curves.groupBy().agg(
+        *[F.coalesce(F.max(F.when(F.col("set") == name, F.col("risk_coverage_auc"))), F.lit(0.0)).alias(f"{name}_risk_coverage_auc") for name in sets]
     )
+    kept = [F.col(f"{name}_{m}") for name in sets for m in ("brier", "ece")]
+    # Both sides are single rows.
+    return _listed(told.select(*[c.alias(k) for k, c in results.items()], *kept)).unionByName(_listed(auc))
 
 
-def probability_report(rows: DataFrame, support_threshold: float = 0.5) -> DataFrame:
-    """(metric, value) rows for probability predictions: captions, support, rejection, field accuracy.
+def macro_f1_of(labels: Column) -> Column:
+    """Mean F1 over all labels seen as truth or guess, from (label, guess, n) counts."""
+    seen = F.array_union(F.transform(labels, lambda x: x["label"]), F.transform(labels, lambda x: x["guess"]))
 
-    The predictions are written once; every measure reads that copy.
-    """
-    rows = durable(rows)
-    captions = _captions(rows)
-    support = support_rows(rows, support_threshold).withColumn(
-        "key", F.concat_ws(":", F.col("window_id"), F.format_string("%06d", F.col("pos")))
+    def count(keep) -> Column:
+        return F.aggregate(F.filter(labels, keep), F.lit(0.0), lambda acc, x: acc + x["n"])
+
+    def f1(label: Column) -> Column:
+        return f1_of(
+            count(lambda x: (x["label"] == label) & (x["guess"] == label)),
+            count(lambda x: (x["label"] != label) & (x["guess"] == label)),
+            count(lambda x: (x["label"] == label) & (x["guess"] != label)),
+        )
+
+    each = F.transform(seen, f1)
+    return F.when(F.size(seen) > 0, F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / F.size(seen)).otherwise(0.0)
+
+
+def _caption_item() -> Column:
+    guess = F.coalesce("caption_prediction", F.lit(0))
+    return _item(
+        "caption",
+        F.col("window_id"),
+        (guess == F.col("caption_answer_index")).cast("int"),
+        F.coalesce(F.array_max("caption_scores"), F.lit(0.0)),
+        F.col("caption_answer_index"),
+        guess,
     )
-    rejected = support.filter(F.col("truth") == 0).select("key", F.lit(1).alias("truth"), (1.0 - F.col("score")).alias("score"))
-    counted = support.agg(
-        *[v.alias(k) for k, v in cells(F.col("truth"), F.col("score") >= support_threshold).items()]
-    ).select(*rejection_columns({k: F.col(k) for k in ("tp", "fp", "fn", "tn")}, "cf_reject_"))
-    return _one(
-        [
-            captions.agg(F.coalesce(F.avg("right"), F.lit(0.0)).alias("caption_selection_accuracy"), F.count(F.lit(1)).alias("n_eval_records")),
-            macro_f1(captions, "caption_answer_index", "guess").select(F.col("macro_f1").alias("caption_macro_f1")),
-            *_confidence(captions, "caption", "right", "confidence", "window_id"),
-            counted,
-            *_confidence(support, "support", "truth", "score", "key"),
-            *_confidence(rejected, "cf_reject", "truth", "score", "key"),
-            _field_accuracy(rows),
-        ]
+
+
+def _item(name: str, key: Column, truth: Column, score: Column, label: Column, guess: Column) -> Column:
+    return F.struct(
+        F.lit(name).alias("set"),
+        key.alias("key"),
+        truth.cast("int").alias("truth"),
+        score.cast("double").alias("score"),
+        label.cast("int").alias("label"),
+        guess.cast("int").alias("guess"),
+    )
+
+
+def _counted(rows: DataFrame) -> dict[str, Column]:
+    right = (F.coalesce("caption_prediction", F.lit(0)) == F.col("caption_answer_index")).cast("int")
+    return {"_rows": F.lit(1), "_right": F.coalesce(right, F.lit(0)), "_correct": F.col("fields_correct"), "_total": F.col("fields_total")}
+
+
+def _caption_results() -> dict[str, Column]:
+    return {
+        "caption_selection_accuracy": F.col("_right") / F.greatest(F.lit(1.0), F.col("_rows")),
+        "n_eval_records": F.col("_rows"),
+    }
+
+
+def _field_result() -> dict[str, Column]:
+    return {"evidence_field_accuracy": F.col("_correct") / F.greatest(F.lit(1.0), F.col("_total"))}
+
+
+def probability_report(rows: DataFrame, support_threshold: float = 0.5) -> DataFrame:
+    """(metric, value) rows for probability predictions: captions, support, rejection, field accuracy."""
+    scores = (
+        F.col("support_probabilities")
+        if "support_probabilities" in rows.columns
+        else F.transform("support_predictions", lambda p: p.cast("double"))
     )
+    pairs = F.arrays_zip(F.transform("support_items", lambda x: x["supported"].cast("int")).alias("t"), scores.alias("v"))
 
+    def statement(i: Column, truth: Column, score: Column) -> Column:
+        key = F.concat_ws(":", F.col("window_id"), F.format_string("%06d", i))
+        held = (score >= support_threshold).cast("int")
+        own = _item("support", key, truth, score, F.lit(None), held)
+        turned = _item("cf_reject", key, F.lit(1), 1.0 - score, F.lit(None), held)
+        return F.filter(F.array(own, F.when(truth == 0, turned)), lambda x: x.isNotNull())
 
-def _field_accuracy(rows: DataFrame) -> DataFrame:
-    return rows.agg((F.sum("fields_correct") / F.greatest(F.lit(1), F.sum("fields_total"))).alias("evidence_field_accuracy"))
+    statements = F.flatten(F.transform(pairs, lambda x, i: statement(i, x["t"], x["v"])))
+    judged = F.concat(F.array(_caption_item()), F.coalesce(statements, F.array().cast(_ITEMS)))
+    rejection = rejection_columns({k: F.col(f"support_{k}") for k in ("tp", "fp", "fn", "tn")}, "cf_reject_")
+    results = _caption_results() | {"caption_macro_f1": macro_f1_of(F.col("_labels"))}
+    results |= {f"cf_reject_{n}": c for n, c in zip(("accuracy", "precision", "recall", "f1"), rejection, strict=True)} | _field_result()
+    return _report(rows, _counted(rows), judged, ["caption", "support", "cf_reject"], results)
+
+
+_ITEMS = "array<struct<set: string, key: string, truth: int, score: double, label: int, guess: int>>"
 
 
 def field_probability_report(rows: DataFrame) -> DataFrame:
     """(metric, value) rows: caption accuracy, pooled field accuracy, calibration of the top score."""
-    rows = durable(rows)
-    captions = _captions(rows)
-    return _one(
-        [
-            captions.agg(F.coalesce(F.avg("right"), F.lit(0.0)).alias("caption_selection_accuracy"), F.count(F.lit(1)).alias("n_eval_records")),
-            _field_accuracy(rows),
-            *_confidence(captions, "caption", "right", "confidence", "window_id"),
-        ]
-    )
+    return _report(rows, _counted(rows), F.array(_caption_item()), ["caption"], _caption_results() | _field_result())
 
 
 def grounding_summary(rows: DataFrame, threshold: float = 0.5) -> DataFrame:

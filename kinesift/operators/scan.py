@@ -17,46 +17,90 @@ def _sort_columns(order: list[str]) -> list[Column]:
     return [F.col(name[1:]).desc() if name.startswith("-") else F.col(name).asc() for name in order]
 
 
+#: Binary digits that a running sum of doubles keeps below the largest value; with up to 2**40 rows it fits a decimal.
+SUM_BITS = 86
+
+
+def _fixed_point(value: Column, top: int) -> Column:
+    """A double below 2**top as a whole number of 2**(top - SUM_BITS) units; what is smaller is cut off."""
+    high, low = 40, SUM_BITS - 40
+    first = F.floor(value * F.lit(2.0 ** (high - top)))
+    rest = value - first.cast("double") * F.lit(2.0 ** (top - high))
+    second = F.floor(rest * F.lit(2.0 ** (SUM_BITS - top)))
+    return (first.cast("decimal(14,0)") * F.lit(1 << low).cast("decimal(15,0)") + second.cast("decimal(15,0)")).cast("decimal(27,0)")
+
+
+def _finite(value: Column) -> Column:
+    return ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+
+
 def prefix_scan(
     df: DataFrame,
     order: list[str],
     sums: dict[str, Column] | None = None,
     index: str = "row_index",
     partitions: int | None = None,
+    within: str | None = None,
 ) -> DataFrame:
-    """Add ``index`` (0-based, dense) and inclusive running ``sums`` in ``order`` over all rows.
+    """Add ``index`` (0-based, dense) and inclusive running ``sums`` in ``order`` over all rows, or over those with the
+    same value of ``within``.
 
     ``order`` must end in a unique key; a leading ``-`` means descending. Rows are split by range, so
     even a key that holds a third of the table spreads over tasks. The split is written before use:
     its sampled bounds could differ if a lost task computed it again. Only one row per range
-    partition takes part in the cross-partition sum.
+    partition (and per value of ``within`` in it) takes part in the cross-partition sum.
+
+    Sums of doubles are the same to the last bit however the rows are split: every value is read as a whole number of
+    units, ``SUM_BITS`` binary digits below the largest one, and whole numbers add up alike in any order.
     """
     sums = sums or {}
-    columns = _sort_columns(order)
+    groups = [within] if within else []
+    columns = _sort_columns([*groups, *order])
     measured = df.select("*", *[expr.alias(f"_m_{name}") for name, expr in sums.items()])
     ranged = (
         measured.repartitionByRange(partitions, *columns) if partitions else measured.repartitionByRange(*columns)
     )
     held = durable(ranged.withColumn("_range", F.spark_partition_id()))
-    totals = held.groupBy("_range").agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_m_{name}").alias(f"_t_{name}") for name in sums]
-    )
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    doubles = [name for name in sums if dict(held.dtypes)[f"_m_{name}"] in ("double", "float")]
+    units: dict[str, float] = {}
+    if doubles:
+        value = {name: F.col(f"_m_{name}").cast("double") for name in doubles}
+        tops = held.agg(*[F.max(F.when(_finite(v), F.abs(v))).alias(name) for name, v in value.items()]).first()
+        for name, v in value.items():
+            # Far from the ends of the doubles, where a unit would leave their range.
+            top = min(1000, max(-900, math.frexp(tops[name] or 0.0)[1]))
+            units[name] = 2.0 ** (top - SUM_BITS)
+            held = held.withColumn(f"_o_{name}", F.when(_finite(v), 0.0).otherwise(v))
+            held = held.withColumn(f"_m_{name}", F.when(_finite(v), _fixed_point(v, top)))
+    parts = [f"_m_{name}" for name in sums] + [f"_o_{name}" for name in doubles]
+    totals = held.groupBy("_range", *groups).agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_t{c}") for c in parts])
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_range",
+        *[F.col(c).alias(f"_g_{c}") for c in groups],
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
-        *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums],
+        *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in parts],
     )
-    within = Window.partitionBy("_range").orderBy(*columns)
-    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = held.join(F.broadcast(offsets), "_range")
+    inside = Window.partitionBy("_range", *groups).orderBy(*_sort_columns(order))
+    running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.lit(True)
+    for c in groups:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    right = offsets.withColumnRenamed("_range", "_r")
+    joined = held.join(F.broadcast(right) if not groups else right, (F.col("_range") == F.col("_r")) & same)
+
+    def total(c: str) -> Column:
+        return F.col(f"_b{c}") + F.coalesce(F.sum(c).over(running), F.lit(0))
+
+    def result(name: str) -> Column:
+        if name not in units:
+            return total(f"_m_{name}")
+        return total(f"_m_{name}").cast("double") * F.lit(units[name]) + total(f"_o_{name}")
+
     return joined.select(
         *df.columns,
-        (F.col("_rows_before") + F.row_number().over(within) - 1).alias(index),
-        *[
-            (F.col(f"_b_{name}") + F.coalesce(F.sum(f"_m_{name}").over(running), F.lit(0))).alias(name)
-            for name in sums
-        ],
+        (F.col("_rows_before") + F.row_number().over(inside) - 1).alias(index),
+        *[result(name).alias(name) for name in sums],
     )
 
 
@@ -164,25 +208,28 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
 def cyclic_successor(df: DataFrame, key: str, hashed: Column, carry: list[str], prefix: str = "next_") -> DataFrame:
     """Add ``carry`` columns of the row that follows in hash order; the last row gets the first.
 
-    With two rows or more no row is its own successor. Rows are spread over 65,536 hash prefixes (even by
-    nature); the wrap between prefixes goes through one row per prefix, joined on the key that the rows
-    are already spread by.
+    With two rows or more no row is its own successor; keys are unique. Only keys and hashes go round the ring: rows
+    follow each other inside 65,536 hash prefixes (even by nature), the heads of these inside 256 shorter ones, and of
+    those one list of 256 heads closes the ring. ``carry`` is joined to the pairs of keys afterwards.
     """
-    rows = df.select("*", hashed.alias("_h")).withColumn("_slot", F.substring("_h", 1, 4))
-    taken = F.struct(*[F.col(c) for c in carry])
-    inside = Window.partitionBy("_slot").orderBy("_h", key)
-    heads = rows.groupBy("_slot").agg(F.min_by(taken, F.struct("_h", key)).alias("_head"))
-    by_slot = Window.orderBy("_slot")
-    ring = heads.select(
-        "_slot",
-        F.coalesce(
-            F.lead("_head").over(by_slot),
-            F.first("_head").over(by_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        ).alias("_following"),
+    ring = df.select(F.col(key).alias("_key"), hashed.alias("_h")).withColumn("_slot", F.substring("_h", 1, 4))
+    heads = ring.groupBy("_slot").agg(F.min(F.struct("_h", "_key"))["_key"].alias("_head"))
+    heads = heads.withColumn("_range", F.substring("_slot", 1, 2))
+    firsts = heads.groupBy("_range").agg(F.min(F.struct("_slot", "_head"))["_head"].alias("_first"))
+    listed = firsts.agg(F.array_sort(F.collect_list(F.struct("_range", "_first"))).alias("_all"))
+    turned = listed.select(F.posexplode("_all").alias("_i", "_at"), "_all").select(
+        "_at._range", F.get("_all", (F.col("_i") + 1) % F.size("_all"))["_first"].alias("_turn")
+    )
+    in_range = Window.partitionBy("_range").orderBy("_slot")
+    following = heads.withColumn("_lead", F.lead("_head").over(in_range)).join(F.broadcast(turned), "_range").select(
+        "_slot", F.coalesce("_lead", "_turn").alias("_following")
+    )
+    in_slot = Window.partitionBy("_slot").orderBy("_h", "_key")
+    pairs = ring.withColumn("_inner", F.lead("_key").over(in_slot)).join(following, "_slot").select(
+        "_key", F.coalesce("_inner", "_following").alias("_next")
     )
-    followed = rows.withColumn("_inner", F.lead(taken).over(inside)).join(ring, "_slot")
-    chosen = F.coalesce("_inner", "_following")
-    return followed.select(*df.columns, *[chosen[c].alias(prefix + c) for c in carry])
+    lent = df.select(F.col(key).alias("_next"), *[F.col(c).alias(prefix + c) for c in carry])
+    return df.join(pairs, F.col(key) == F.col("_key")).join(lent, "_next").select(*df.columns, *[prefix + c for c in carry])
 
 
 def unique_rows(df: DataFrame, key: str, on_duplicate: str = "error", order: str | None = None) -> DataFrame:

@@ -57,3 +57,10 @@ def durable(df: DataFrame) -> DataFrame:
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a stage table under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and go on from the written copy, of which columns can be read alone."""
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

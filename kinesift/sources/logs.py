@@ -118,17 +118,18 @@ def log21_runs(samples: DataFrame) -> DataFrame:
     return segment_runs(samples, order=["block", "ord"], subject="src", activity="activity")
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
-    """Adds ``line_no`` (0-based, dense per file) over the rows given.
+def number_lines(lines: DataFrame, of: str = "src") -> DataFrame:
+    """Adds ``line_no`` (0-based, dense per value of ``of``) over the rows given, in order of ``src`` and place.
 
     Counts per split are added up over the splits of a file; only those counts are ordered across splits.
     """
-    counts = lines.groupBy("src", "block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("src", "block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("src", "block").orderBy("ord")
+    keys = list(dict.fromkeys([of, "src", "block"]))
+    counts = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(of).orderBy("src", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys).orderBy("ord")
     placed = lines.withColumn("_i", F.row_number().over(inside) - 1)
-    return placed.join(offsets, ["src", "block"]).withColumn("line_no", F.col("_offset") + F.col("_i")).drop("_offset", "_i")
+    return placed.join(offsets, keys).withColumn("line_no", F.col("_offset") + F.col("_i")).drop("_offset", "_i")
 
 
 def read_matrices(
@@ -136,18 +137,21 @@ def read_matrices(
 ) -> DataFrame:
     """Windows of the pre-windowed set: one file per channel, labels and subjects, all aligned by line.
 
-    The files are read together and meet in one grouping by line number.
+    The files are read together and meet in one grouping by line number. A file may be a directory of parts that follow
+    each other by name, as Spark writes them.
     """
     names = {f"{stem}_{split}.txt": channel for channel, stem in MATRIX_FILES.items()}
     paths = [f"{base}/{split}/Inertial Signals/{name}" for name in names]
     paths += [f"{base}/{split}/y_{split}.txt", f"{base}/{split}/subject_{split}.txt"]
-    lines = number_lines(read_lines(spark, paths).filter(F.col("value").rlike(r"\S")))
+    plain = F.replace(F.col("src"), F.lit("%20"), F.lit(" "))
+    stem = F.regexp_extract(plain, rf"([^/]+_{split}\.txt)(/[^/]*)?$", 1)
+    named = read_lines(spark, paths).filter(F.col("value").rlike(r"\S")).withColumn("_file", stem)
+    lines = number_lines(named, "_file")
     if max_windows is not None and max_windows >= 0:
         lines = lines.filter(F.col("line_no") < max_windows)
-    name = F.replace(F.col("file_name"), F.lit("%20"), F.lit(" "))
 
     def line_of(file: str) -> Column:
-        return F.max(F.when(name == file, stripped(F.col("value"))))
+        return F.max(F.when(F.col("_file") == file, stripped(F.col("value"))))
 
     rows = lines.groupBy("line_no").agg(
         *[line_of(file).alias(channel) for file, channel in names.items()],

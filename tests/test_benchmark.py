@@ -255,3 +255,19 @@ def test_audit_counts(hard):
     assert sum(r["n"] for r in audit.answer_positions(hard).collect()) == 40
     facts = {r["fact"]: r["n"] for r in audit.changed_fact_counts(hard).collect()}
     assert facts == {"intensity": 80, "dominant_frequency": 80, "periodicity": 80, "burstiness": 80, "dominant_axis": 40}
+
+
+def test_audit_finds_phrases_and_shared_subjects(spark, hard):
+    """Rows that are not zero: a phrase that every other record holds, a subject on both sides of one dataset only."""
+    marked = hard.withColumn("evidence_text", F.when(F.crc32("window_id") % 2 == 0, F.concat("evidence_text", F.lit(" AS EXPECTED"))).otherwise(F.col("evidence_text")))
+    half = hard.filter(F.crc32("window_id") % 2 == 0).count()
+    rows = [("d1", "train", "a"), ("d1", "test", "a"), ("d1", "test", "b"), ("d1", "train", None), ("d2", "train", "b"), ("d2", None, "c")]
+    windows = spark.createDataFrame(rows, "dataset_id string, split string, subject_id string")
+    got = {(r["dataset_id"], r["check"], r["item"]): r["n"] for r in audit.audit_report(marked, windows, ["as expected", "never there"]).collect()}
+    own = hard.first()["dataset_id"]
+    assert got[own, "shortcut_phrase", "as expected"] == half > 0 and got[own, "shortcut_phrase", "never there"] == 0
+    assert got["d1", "subject_overlap", "subjects"] == 1 and got["d2", "subject_overlap", "subjects"] == 0
+    assert got["d1", "windows", "test"] == 2 and got["d1", "windows", "train"] == 2 and got["d2", "windows", None] == 1
+    assert got[own, "records", "all"] == hard.count() and sum(n for (d, c, _), n in got.items() if c == "answer_position") == 40
+    found = {r["phrase"]: r["records"] for r in audit.shortcut_hits(marked, ["as expected", "never there"]).collect()}
+    assert found == {"as expected": half, "never there": 0}

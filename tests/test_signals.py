@@ -1,14 +1,19 @@
 """Window statistics against NumPy, and cards with known answers."""
 
+import hashlib
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinesift.functions.hashing import order_hash
 from kinesift.operators import cards as cd
 from kinesift.operators import centroids as cn
 from kinesift.operators import segments as sg
 from kinesift.operators import signals as si
-from kinesift.operators.scan import exact_quantiles, prefix_scan
+from kinesift.operators.logistic import fit_logistic
+from kinesift.operators.scan import cyclic_successor, exact_quantiles, prefix_scan
 
 RATE = 20.0
 
@@ -146,3 +151,81 @@ def test_prefix_scan_is_the_same_in_any_partitioning(spark, parts):
     for i, want in enumerate(sorted(rows, key=lambda r: (-r[1], r[0]))):
         total += want[2]
         assert (got[i]["id"], got[i]["row_index"], got[i]["run"]) == (want[0], i, total)
+
+
+def test_running_sums_of_doubles_do_not_depend_on_partitions(spark):
+    """The same to the last bit for any split, close to the exact sum; infinities come through."""
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=600) * 10.0 ** rng.integers(-12, 12, 600)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "id int, v double").repartition(5)
+    runs = []
+    for parts in (1, 7, 40):
+        got = prefix_scan(df, ["id"], {"run": F.col("v")}, partitions=parts).orderBy("id").collect()
+        runs.append([r["run"] for r in got])
+    assert runs[0] == runs[1] == runs[2]
+    exact = [math.fsum(values[: i + 1]) for i in range(600)]
+    assert np.allclose(runs[0], exact, rtol=1e-15, atol=600 * 2.0**-86 * np.abs(values).max() * 2)
+    odd = spark.createDataFrame([(0, 1.5), (1, None), (2, float("inf")), (3, 2.0)], "id int, v double")
+    got = [r["run"] for r in prefix_scan(odd, ["id"], {"run": F.col("v")}, partitions=2).orderBy("id").collect()]
+    assert got == [1.5, 1.5, math.inf, math.inf]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_segments_of_a_scan(spark, parts):
+    rows = [(k, i, i % 5) for k in ("a", "b", None) for i in range(60 if k else 7)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(3)
+    got = prefix_scan(df, ["-i"], {"run": F.col("v")}, partitions=parts, within="k")
+    for k in ("a", "b", None):
+        own = sorted((r for r in got.collect() if r["k"] == k), key=lambda r: -r["i"])
+        assert [r["row_index"] for r in own] == list(range(len(own)))
+        assert [r["run"] for r in own] == np.cumsum([r["v"] for r in own]).tolist()
+
+
+@pytest.mark.parametrize("n", [1, 2, 40, 700])
+def test_ring_of_keys(spark, n):
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(n)], "key string, v int")
+    got = {r["key"]: (r["next_key"], r["next_v"]) for r in cyclic_successor(df, "key", order_hash(7, F.col("key")), ["key", "v"]).collect()}
+    order = sorted((hashlib.md5(f"7:k{i}".encode()).hexdigest(), i) for i in range(n))
+    want = {f"k{i}": (f"k{order[(p + 1) % n][1]}", order[(p + 1) % n][1]) for p, (_, i) in enumerate(order)}
+    assert got == want
+
+
+def test_nearest_of_many_centers(spark, monkeypatch):
+    """Ten thousand labels in several rounds: the nearest by plain distances, the first label on ties, nothing in the plan."""
+    rng = np.random.default_rng(5)
+    centers = np.round(rng.normal(size=(10_000, 5)) * rng.gamma(1.0, 2.0, (10_000, 1)), 1)
+    labels = [f"c{i:05d}" for i in range(10_000)]
+    model = cn.Centroids(cn.ZScore([0.5] * 5, [2.0] * 5), dict(zip(labels, centers.tolist())))
+    points = np.concatenate([np.round(rng.normal(size=(300, 5)) * 4, 1), centers[:40] * 2.0 + 0.5])
+    rows = [(i, p.tolist()) for i, p in enumerate(points)] + [(900, None), (901, [1.0])]
+    df = spark.createDataFrame(rows, "id int, features array<double>").repartition(3)
+    z = (points - 0.5) / 2.0
+    d = np.zeros((len(z), 10_000))
+    for j in range(5):
+        d += (z[:, j : j + 1] - centers[:, j][None, :]) ** 2
+    want = {i: labels[k] for i, k in enumerate(d.argmin(axis=1))} | {900: None, 901: None}
+    for size in (cn.CENTER_BYTES, 8 * 5 * 3000):
+        monkeypatch.setattr(cn, "CENTER_BYTES", size)
+        out = model.predict(df)
+        assert {r["id"]: r["predicted"] for r in out.collect()} == want
+    assert "c00007" not in out._jdf.queryExecution().toString()
+
+
+def test_logistic_weights_equal_plain_newton_steps(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 4))
+    x[:, 3] = x[:, 0] > 0
+    y = (x @ [1.0, -2.0, 0.5, 1.0] + rng.logistic(size=400) > 0.3).astype(float)
+    w = np.where(y == 1, 1.5, 0.7)
+    df = spark.createDataFrame([(a.tolist(), float(b), float(c)) for a, b, c in zip(x, y, w)], "features array<double>, label double, weight double").repartition(5)
+    full, beta, ridge = np.column_stack([x, np.ones(400)]), np.zeros(5), np.diag([1.0] * 4 + [0.0])
+    for n in (3, 25):
+        got = fit_logistic(df, steps=n)
+        beta = np.zeros(5)
+        for _ in range(n):
+            p = 1 / (1 + np.exp(-full @ beta))
+            beta = beta + np.linalg.solve(full.T @ (full * (w * p * (1 - p))[:, None]) + ridge, full.T @ (w * (y - p)) - ridge @ beta)
+        assert np.allclose([*got.weights, got.intercept], beta, atol=1e-9)
+    p = 1 / (1 + np.exp(-full @ beta))
+    told = df.select(got.probability(F.col("features")).alias("p"), "features").collect()
+    assert np.allclose(sorted(r["p"] for r in told), sorted(p))
