@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinesift.session import durable
+
 
 def order_hash(seed: int | str, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
@@ -54,7 +56,8 @@ def hash_cutoff(df: DataFrame, hashed: Column, wanted: int | Callable[[int], int
     numbers reach the driver), then again inside the one prefix that holds the n-th hash until few
     rows share it; only those are sorted. Hashes must be distinct.
     """
-    hashes = df.select(hashed.alias("h"))
+    # Only the hashes are kept: every further pass reads them, not what the rows are computed from.
+    hashes = durable(df.select(hashed.alias("h")))
     prefix, left, digits = "", None, 4
     while True:
         counts = hashes.groupBy(F.substring("h", 1, digits).alias("p")).count().collect()

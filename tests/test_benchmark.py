@@ -201,7 +201,7 @@ def test_vectors_and_field_match(spark, hard):
 
 def test_classifier_learns_the_match(hard):
     train, test = hard.filter("split = 'train'"), hard.filter("split = 'test'")
-    for kind in ("logistic_regression",):
+    for kind in ("logistic_regression", "random_forest"):
         model = evaluate.fit_statement_classifier(bm.statements(train), kind)
         rows = evaluate.classifier_rows(test, model).collect()
         right = sum(r["caption_prediction"] == r["caption_answer_index"] for r in rows)
