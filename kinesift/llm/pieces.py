@@ -23,7 +23,6 @@ from array import array
 from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +49,12 @@ class Vocabulary:
     scores: dict[str, float]
     byte_ids: list[int]
     merges: bool = True
-    #: The pieces by their characters from the last to the first: nested tables, "" holds the piece that ends there.
+    #: The pieces by their characters from the last to the first: by character the table of the next ones, and of the
+    #: piece that ends there, if one does, its text and a table of the pieces in front of it that were tested already:
+    #: whether merging leaves the two apart.
     endings: dict = field(init=False)
+    #: The ids of pieces as bytes; characters without a piece are added when met.
+    packed: dict[str, bytes] = field(init=False)
     #: Score of a character without a piece: below every piece.
     unknown: float = field(init=False)
     right_edge: dict[str, list] = field(init=False)
@@ -64,8 +67,10 @@ class Vocabulary:
         for piece in made:
             node = self.endings
             for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = piece
+                hit = node.setdefault(c, [{}, None])
+                node = hit[0]
+            hit[1] = (piece, {})
+        self.packed = {piece: array("i", [number]).tobytes() for piece, number in self.ids.items()}
 
 
 def load(path: str = MODEL, merges: bool = True) -> Vocabulary:
@@ -162,45 +167,48 @@ def _apart(ends: list, starts: list, scores: dict[str, float]) -> bool:
 
 
 class Encoder:
-    """Encodes words and remembers them and the neighbour tests. As a broadcast value it stays with a worker over tasks."""
+    """Encodes words and remembers them and the neighbour tests. Kept in a broadcast value, it stays with a worker over tasks."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.tested: list[dict[str, bool]] = []
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _neighbours(self, left: str, right: str) -> bool:
-        """Whether merging the joint text of two pieces gives these two."""
-        if len(self.fits) >= REMEMBERED:
-            self.fits.clear()
+    def _neighbours(self, left: str, right: str, fits: dict[str, bool]) -> bool:
+        """Whether merging the joint text of two pieces gives these two; ``fits`` remembers it for ``right``."""
+        if len(self.tested) >= REMEMBERED:
+            for table in self.tested:
+                table.clear()
+            self.tested.clear()
         ends, starts = self.v.right_edge.get(left), self.v.left_edge.get(right)
         if ends is None or starts is None:
             got = merged(left + right, self.v.scores) == [left, right]
         else:
             got = _apart(ends, starts, self.v.scores)
-        self.fits[left, right] = got
+        fits[left] = got
+        self.tested.append(fits)
         return got
 
     def _extend_merged(self, word: str, last: list[str]) -> None:
         """Append to ``last`` the last piece of the one allowed path to each further position of ``word``."""
-        endings, fits = self.v.endings, self.fits
+        endings, neighbours = self.v.endings, self._neighbours
         for end in range(len(last), len(word) + 1):
             node, at, chosen = endings, end, word[end - 1]
             while at:
                 at -= 1
-                node = node.get(word[at])
-                if node is None:
+                hit = node.get(word[at])
+                if hit is None:
                     break
-                piece = node.get("")
-                if piece is not None:
+                node, found = hit
+                if found is not None:
                     if not at:
-                        chosen = piece
+                        chosen = found[0]
                         break
                     before = last[at]
-                    fit = fits.get((before, piece))
-                    if fit or (fit is None and self._neighbours(before, piece)):
-                        chosen = piece
+                    fit = found[1].get(before)
+                    if fit or (fit is None and neighbours(before, *found)):
+                        chosen = found[0]
                         break
             last.append(chosen)
 
@@ -212,29 +220,28 @@ class Encoder:
             top, chosen = best[end - 1] + self.v.unknown, word[end - 1]
             while at:
                 at -= 1
-                node = node.get(word[at])
-                if node is None:
+                hit = node.get(word[at])
+                if hit is None:
                     break
-                piece = node.get("")
-                if piece is not None and best[at] + scores[piece] > top:
-                    top, chosen = best[at] + scores[piece], piece
+                node, found = hit
+                if found is not None and best[at] + scores[found[0]] > top:
+                    top, chosen = best[at] + scores[found[0]], found[0]
             last.append(chosen)
             best.append(top)
 
     def _ids(self, last: list[str]) -> bytes:
-        out: list[int] = []
-        at, ids = len(last) - 1, self.v.ids
+        out: list[bytes] = []
+        at, packed = len(last) - 1, self.v.packed
         while at > 0:
             piece = last[at]
-            number = ids.get(piece)
-            if number is None:
+            known = packed.get(piece)
+            if known is None:
                 raw = MARK if piece == _OWN else piece
-                out.extend(self.v.byte_ids[b] for b in reversed(raw.encode()))
-            else:
-                out.append(number)
+                known = packed[piece] = array("i", [self.v.byte_ids[b] for b in raw.encode()]).tobytes()
+            out.append(known)
             at -= len(piece)
         out.reverse()
-        return array("i", out).tobytes()
+        return b"".join(out)
 
     def learn(self, words: Collection[str]) -> None:
         """Encode the words that are new: in sorted order, forward states of shared prefixes are kept. A word without a
@@ -252,7 +259,11 @@ class Encoder:
         marked = sorted((w if w.startswith(MARK) else MARK + w, w) for w in new)
         last, best, before = [""], [0.0], ""
         for word, name in marked:
-            shared = len(commonprefix((before, word)))
+            shared = 0
+            for a, b in zip(before, word):
+                if a != b:
+                    break
+                shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             if self.v.merges:
                 self._extend_merged(word, last)
@@ -300,13 +311,18 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     """(key, ids): piece ids of every text; null for a null text, empty for an empty one. Repeated rows repeat.
 
     Works row by row in batches of bounded bytes, without a shuffle. The vocabulary is read by the driver and
-    is broadcast: it has the size of the model file.
+    is broadcast as plain tables: it has the size of the model file. A worker puts its encoder beside them and keeps it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Encoder(load(model, merges)))
+    shared = docs.sparkSession.sparkContext.broadcast({"vocabulary": vars(load(model, merges))})
     shape = docs.select(F.col(key).alias("key")).schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared.value
+        held = shared.value
+        if "encoder" not in held:
+            vocabulary = object.__new__(Vocabulary)
+            vars(vocabulary).update(held["vocabulary"])
+            held["encoder"] = Encoder(vocabulary)
+        encoder = held["encoder"]
         for part in parts(batches, 1):
             texts = part.column(1).to_pylist()
             ids = encode_batch(texts, encoder)
