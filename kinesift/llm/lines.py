@@ -6,9 +6,12 @@ documents and lines) is 0.8 or more, none is kept. Equal sets meet by a hash of
 1. words are counted, and a line's words are ordered by rarity (ties by hash, so the order is the same everywhere);
 2. similar lines share a word among their first n - ceil(0.8 n) + 1, so only these prefixes meet, and of
    them only words that occur in more than one line;
-3. where they meet, lengths, positions and the parity of words over 64 bits bound the possible overlap;
+3. where they meet, lengths, positions and the parity of words over 128 bits bound the possible overlap; of the
+   smaller of two sets the first n - ceil(8/9 n) + 1 words will do;
 4. the pairs left over are verified on their words.
 
+Sets are numbered in the order of their first lines, so two of them tell by their numbers which one is earlier.
+
 Word counts are kept for hashed words in a table of fixed size: sharing a counter can make a word seem less
 rare than it is, which costs candidates, never results. Words are compared by 44 bits of a 64-bit hash.
 Groups of many similar lines are met in two steps, see ``similar_to_earlier``.
@@ -31,8 +34,6 @@ WORD_BITS, COUNTER_BITS = 44, 22
 SLICE = 1 << 16
 #: Bytes of text whose words are found at once.
 CHUNK = 1 << 21
-#: Lines of so many words also carry the parity of words over WIDE times 64 bits: 64 bits tell too little of them.
-LONG, WIDE = 48, 4
 #: Shares that the sets of a word are dealt into for the first step, and how many sets before it each meets there.
 SALTS = 16
 NEIGHBOURS = 4
@@ -167,12 +168,12 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return table
 
 
-LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, bits long, wide array<long>, prefix array<int>"
+LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, p0 long, p1 long, prefix array<int>"
 
 
 def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
-    """Every line with a word: its place, the hash of its word set, their number, their parity over 64 bits (for long lines, also over ``WIDE`` times as many), and the
-    prefix words that other lines may share, rarest first."""
+    """Every line with a word: its place, the hash of its word set, their number, their parity over 128 bits, and
+    the prefix words that other lines may share, rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shape = LINE_SHAPE.format(key=docs.schema[key].dataType.simpleString())
 
@@ -197,18 +198,14 @@ def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> D
             use = (np.arange(len(word)) - start[place] < prefix[place]) & (often > 1)
             kept = np.bincount(place[use], minlength=len(n))
             single = np.uint64(1) << (word & np.uint64(63))
-            bits = np.bitwise_xor.reduceat(single, start)
-            part = (word >> np.uint64(6)) & np.uint64(WIDE - 1)
-            wide = np.stack([np.bitwise_xor.reduceat(np.where(part == k, single, np.uint64(0)), start) for k in range(WIDE)], 1)
-            long = n >= LONG
-            wide_ends = np.concatenate(([0], np.cumsum(np.where(long, WIDE, 0)))).astype(np.int32)
-            wide = pa.ListArray.from_arrays(pa.array(wide_ends), pa.array(wide[long].ravel().view(np.int64)))
+            half = (word >> np.uint64(6)) & np.uint64(1)
+            parity = [pa.array(np.bitwise_xor.reduceat(np.where(half == k, single, np.uint64(0)), start).view(np.int64)) for k in (0, 1)]
             ends = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((order[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             at = pa.array(found["doc"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), pa.array(bits.view(np.int64)), wide, lists],
-                ["doc", "mark", "line", "set", "n", "bits", "wide", "prefix"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), *parity, lists],
+                ["doc", "mark", "line", "set", "n", "p0", "p1", "prefix"],
             )
 
     return _keyed(docs, key, text).mapInArrow(emit, shape)
@@ -220,7 +217,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def words_of_sets(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
-    """(set, words) of the asked sets. A bit table of fixed size, made from the asked hashes, lets through the lines
+    """(at, words) of the asked sets (set, at). A bit table of fixed size, made from the asked hashes, lets through the lines
     of these and few others before the join."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(asked.select("set")))
 
@@ -239,18 +236,21 @@ def words_of_sets(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), lists], ["set", "words"])
 
     lines = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "set long, words array<long>")
-    return lines.join(asked, "set", "left_semi").groupBy("set").agg(F.first("words").alias("words"))
+    return lines.join(asked, "set").groupBy("at").agg(F.first("words").alias("words"))
+
+
+def _apart(a: str, b: str) -> Column:
+    """In how many parity bits two sets differ: no more than the words that only one of them has."""
+    return sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p0", "p1")), F.lit(0))
 
 
 def _possible(a: str, b: str) -> Column:
     """Length, position and parity filters for Jaccard 0.8: overlap at least 4/9 of both sizes together."""
     n1, n2, p1, p2 = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
-    apart = sum((F.bit_count(F.get(f"{a}.wide", F.lit(k)).bitwiseXOR(F.get(f"{b}.wide", F.lit(k)))) for k in range(WIDE)), F.lit(0))
     return (
         (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2))
         & (9 * F.least(n1 - p1, n2 - p2) >= 4 * (n1 + n2))
-        & (9 * F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= n1 + n2)
-        & F.coalesce(9 * apart <= n1 + n2, F.lit(True))
+        & (9 * _apart(a, b) <= n1 + n2)
     )
 
 
@@ -259,80 +259,82 @@ def _skipped() -> Column:
     return (F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1 - F.size("prefix")).cast("int")
 
 
-def _entries(sets: DataFrame) -> DataFrame:
+def _entries(sets: DataFrame, *more: str) -> DataFrame:
     """A row for each shareable prefix word of each set; ``pos`` is its place in the set's order."""
-    every = sets.select("set", "n", "bits", "wide", "open", _skipped().alias("_s"), F.posexplode("prefix").alias("_p", "word"))
-    return every.select("word", "set", "n", "bits", "wide", "open", (F.col("_p") + F.col("_s")).alias("pos"))
+    every = sets.select("at", "n", "p0", "p1", *more, _skipped().alias("_s"), F.posexplode("prefix").alias("_p", "word"))
+    return every.select("word", "at", "n", "p0", "p1", *more, (F.col("_p") + F.col("_s")).alias("pos"))
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): sets that may be similar, at least b of them open. Both sides are the same rows, shuffled once: the one
-    condition on either side must not be moved below the exchange."""
+    """(b, a, apart): open sets with the earlier ones that they may be similar to. Both sides are the same rows, shuffled
+    once: the conditions on either side must not be moved below the exchange."""
     l, r = entries.alias("l"), entries.alias("r")
-    once = (
-        F.when(F.col("l.set") < F.col("r.set"), F.col("r.open"))
-        .when(F.col("l.set") > F.col("r.set"), F.col("r.open") & ~F.col("l.open"))
-        .otherwise(False)
-    )
-    return l.join(r, (F.col("l.word") == F.col("r.word")) & once & _possible("l", "r")).select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
+    smaller = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.at") < F.col("r.at")))
+    short = F.col("l.pos") < F.col("l.n") - F.ceil(F.col("l.n") * 8 / 9) + 1
+    first = F.col("l.at") < F.col("r.at")
+    waits = F.when(first, F.col("r.open")).otherwise(F.col("l.open"))
+    found = l.join(r, (F.col("l.word") == F.col("r.word")) & smaller & short & waits & _possible("l", "r"))
+    return found.select(
+        F.greatest("l.at", "r.at").alias("b"), F.least("l.at", "r.at").alias("a"), _apart("l", "r").cast("int").alias("apart")
+    ).distinct()
 
 
 def _neighbours(sets: DataFrame) -> DataFrame:
-    """(a, b): each set against the few that occur last before it, among a salted share of those with its last prefix word.
-    Where all are similar, only the first of each share is left unsettled."""
-    entries = sets.filter(F.size("prefix") > 0).select(F.element_at("prefix", -1).alias("word"), "set", "n", "bits", "wide", "first", (_skipped() + F.size("prefix") - 1).alias("pos"))
-    w = Window.partitionBy("word", F.pmod("set", F.lit(SALTS))).orderBy("first", "set")
-    row = F.struct("set", "n", "bits", "wide", "pos")
-    near = entries.select("word", row.alias("r"), *[F.lag(row, k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
-    each = near.select("r", F.explode(F.array(*[f"l{k}" for k in range(1, NEIGHBOURS + 1)])).alias("l")).filter("l is not null")
-    return each.filter(_possible("l", "r")).select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct()
-
-
-def _verified(docs: DataFrame, text: str, pairs: DataFrame) -> DataFrame:
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "asked-lines")
+    """(b, a, apart): each set against a few earlier ones with its last prefix word: those that occur last before it,
+    among a salted share, and the one that most lines have. Where all are similar to each other, or all to a common
+    line of which they are variants, only the first of each share is left unsettled."""
+    mine = sets.filter(F.size("prefix") > 0).select(
+        F.element_at("prefix", -1).alias("word"), "at", "n", "p0", "p1", (_skipped() + F.size("prefix") - 1).alias("pos")
+    )
+    row = F.struct("at", "n", "p0", "p1", "pos")
+    common = _entries(sets.filter("copies > 1"), "copies").groupBy("word").agg(F.max_by(row, F.struct("copies", "at")).alias("hub"))
+    hubs = common.select("word", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "hub")
+    dealt = mine.select("word", F.pmod("at", F.lit(SALTS)).cast("int").alias("salt"), row.alias("r"), F.lit(None).cast(hubs.schema["hub"].dataType).alias("hub"))
+    both = dealt.unionByName(hubs.select("word", "salt", F.lit(None).cast(hubs.schema["hub"].dataType).alias("r"), "hub"))
+    # Nulls first: the hub's row stands before the sets.
+    w = Window.partitionBy("word", "salt").orderBy("r.at")
+    near = both.select("r", F.first("hub").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("l0"), *[F.lag("r", k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
+    each = near.filter("r is not null").select("r", F.explode(F.array(*[f"l{k}" for k in range(NEIGHBOURS + 1)])).alias("l")).filter("l.at < r.at")
+    return each.filter(_possible("l", "r")).select(F.col("r.at").alias("b"), F.col("l.at").alias("a"), _apart("l", "r").cast("int").alias("apart")).distinct()
+
+
+def _verified(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (b, a) whose words are alike."""
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().join(sets.select("at", "set"), "at"), "asked-lines")
     words = stored(words_of_sets(docs, text, asked), "words-of-lines")
-    both = pairs.join(words.select(F.col("set").alias("a"), F.col("words").alias("wa")), "a").join(
-        words.select(F.col("set").alias("b"), F.col("words").alias("wb")), "b"
+    both = pairs.join(words.select(F.col("at").alias("a"), F.col("words").alias("wa")), "a").join(
+        words.select(F.col("at").alias("b"), F.col("words").alias("wb")), "b"
     )
     overlap = F.size(F.array_intersect("wa", "wb"))
     return both.filter(9 * overlap >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
 
 
-def _directed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(later, earlier, apart): the pairs by where their sets first occur, and in how many parity bits they differ."""
-    side = lambda x: sets.select(F.col("set").alias(x), F.struct("first", "bits").alias(f"_{x}"))
-    placed = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.bit_count(F.col("_a.bits").bitwiseXOR(F.col("_b.bits")))
-    swap = F.col("_a.first") < F.col("_b.first")
-    return placed.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("a"), apart.alias("apart"))
-
-
-def _settled(docs: DataFrame, text: str, directed: DataFrame) -> DataFrame:
-    """(set): the later sets ``b`` whose most promising earlier partner ``a`` is verified."""
-    best = directed.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    return stored(_verified(docs, text, stored(best, "best-partners")).select(F.col("b").alias("set")).distinct(), "settled-lines")
+def _settled(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(at): the later sets ``b`` whose most promising earlier partner ``a`` is verified."""
+    best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
+    return stored(_verified(docs, text, stored(best, "best-partners"), sets).select(F.col("b").alias("at")).distinct(), "settled-lines")
 
 
 def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
-    """(set): sets that are similar to another one which first occurs earlier.
+    """(at): sets that are similar to another one which first occurs earlier.
 
     Of a group of many similar lines each needs one earlier partner, not all pairs. So each set first
-    meets a few that share its last prefix word; those found later than a verified neighbour are settled, and only the others
+    meets a few that share its last prefix word; those with a verified one are settled, and only the others
     meet all sets with which they share a prefix word. Of the partners found, each set is verified against the
     most promising one, and against all the others only if that one fails.
     """
     sets = sets.withColumn("open", F.lit(True))
     found = []
-    near = stored(_directed(_neighbours(sets), sets), "near-lines")
+    near = stored(_neighbours(sets), "near-lines")
     if not near.isEmpty():
-        found.append(_settled(docs, text, near))
+        found.append(_settled(docs, text, near, sets))
         done = found[0].withColumn("done", F.lit(True))
-        sets = sets.join(done, "set", "left").withColumn("open", F.col("done").isNull()).drop("done")
-    directed = stored(_directed(_pairs(_entries(sets)), sets), "line-pairs")
-    found.append(_settled(docs, text, directed))
-    rest = stored(directed.join(reduce(DataFrame.union, found).withColumnRenamed("set", "b"), "b", "left_anti"), "open-pairs")
+        sets = sets.join(done, "at", "left").withColumn("open", F.col("done").isNull()).drop("done")
+    pairs = stored(_pairs(_entries(sets, "open")), "line-pairs")
+    found.append(_settled(docs, text, pairs, sets))
+    rest = stored(pairs.join(reduce(DataFrame.union, found).withColumnRenamed("at", "b"), "b", "left_anti"), "open-pairs")
     if not rest.isEmpty():
-        found.append(_verified(docs, text, rest).select(F.col("b").alias("set")))
+        found.append(_verified(docs, text, rest.select("b", "a"), sets).select(F.col("b").alias("at")))
     return reduce(DataFrame.union, found).distinct()
 
 
@@ -346,11 +348,15 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lines = stored(with_prefixes(docs, key, text, word_counts(docs, text)), "lines")
     place = F.struct("doc", "mark", "line")
     grouped = lines.groupBy("set").agg(
-        F.min(place).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")
+        F.min(place).alias("first"),
+        F.count(F.lit(1)).alias("copies"),
+        *[F.first(c).alias(c) for c in ("n", "p0", "p1", "prefix")],
     )
-    sets = stored(grouped, "line-sets")
-    gone = similar_to_earlier(docs, sets, text).select("set", F.lit(True).alias("gone"))
-    verdict = sets.select("set", "first").join(gone, "set", "left")
+    # Numbered by range and place in it: in the order of the first lines.
+    ordered = grouped.repartitionByRange("first").sortWithinPartitions("first").withColumn("at", F.monotonically_increasing_id())
+    sets = stored(ordered, "line-sets")
+    gone = similar_to_earlier(docs, sets, text).withColumn("gone", F.lit(True))
+    verdict = sets.select("at", "set", "first").join(gone, "at", "left").drop("at")
     marked = lines.select("doc", "mark", "line", "set").join(verdict, "set")
     repeat = F.coalesce("gone", F.lit(False)) | (F.col("first") < place)
     return marked.groupBy("doc", "mark").agg(
