@@ -14,9 +14,15 @@ from kinesift.llm.text import stored, words_of
 
 WINDOW = 8
 LEAST_WORDS = 20
-KEEP_AT = 0.5
-
-RULES = ["v_length", "v_word_size", "v_symbols", "v_repeats", "v_shouting", "v_letters"]
+#: Chance of being good text from which a document stays. In doubt it does.
+KEEP_AT = 0.3
+
+RULES = ["v_length", "v_word_size", "v_symbols", "v_repeats", "v_shouting", "v_letters", "v_sentences", "v_variety", "v_lines"]
+#: Chances of a vote "for" on good and on bad text before any data are seen. One rule is thought better than the others, so
+#: that it is clear which class is the good one; how far each can be trusted is learnt, and a rule that good texts often
+#: break is outvoted.
+FIRST = {rule: (0.9, 0.5) for rule in RULES} | {"v_symbols": (0.99, 0.1)}
+YES, NO, ANCHOR = (0.5, 0.9995), (0.0005, 0.995), 0.02
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -52,6 +58,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count("_t", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         (F.char_length("_t") - _without(F.col("_t"), "!?")).cast("long").alias("n_marks"),
+        (F.char_length("_t") - _without(F.col("_t"), ".,;:!?")).cast("long").alias("n_stops"),
         F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"),
     )
     hashed = one.select(
@@ -99,7 +106,8 @@ def with_votes(rows: DataFrame) -> DataFrame:
     n = F.greatest(c("n_words"), F.lit(1))
     chars = F.greatest(c("word_chars"), F.lit(1))
     letters = F.greatest(c("n_letters"), F.lit(1))
-    size = c("word_chars") / n
+    size, stops, lines = c("word_chars") / n, c("n_stops") / n, n / F.greatest(c("n_lines"), F.lit(1))
+    variety = c("n_distinct") / F.sqrt(n)
     return rows.withColumns(
         {
             "v_length": _vote((n >= 50) & (n <= 100_000), c("n_words") < LEAST_WORDS),
@@ -114,7 +122,10 @@ def with_votes(rows: DataFrame) -> DataFrame:
             "v_shouting": _vote(
                 (c("n_upper") <= 0.15 * letters) & (c("n_marks") <= 0.05 * n), (c("n_upper") > 0.4 * letters) | (c("n_marks") > 0.25 * n)
             ),
-            "v_letters": _vote(c("n_letters") >= 0.8 * chars, c("n_letters") < 0.6 * chars),
+            "v_letters": _vote(c("n_letters") >= 0.9 * chars, c("n_letters") < 0.9 * chars),
+            "v_sentences": _vote((stops >= 0.08) & (stops <= 0.3), (stops < 0.06) | (stops > 0.35)),
+            "v_variety": _vote(variety >= 6, variety < 5),
+            "v_lines": _vote((lines >= 8) & (lines <= 120), (lines < 6) | (lines > 160)),
         }
     )
 
@@ -136,7 +147,7 @@ def judged(docs: DataFrame, columns: list[str] | None = None, text: str = "text"
     if text not in wanted:
         rows = rows.withColumn("row", F.struct(*[F.col(f"row.{c}").alias(c) for c in wanted]))
     votes = stored(with_votes(rows), "quality-votes")
-    model = weak.fit(weak.pattern_counts(votes, RULES), RULES)
+    model = weak.fit(weak.pattern_counts(votes, RULES), RULES, FIRST, YES, NO, anchor=ANCHOR)
     out = votes.withColumn("posterior", model.posterior()).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep_at))
 

@@ -59,18 +59,20 @@ def pattern_counts(rows: DataFrame, labelers: list[str], *more: str) -> DataFram
 def fit(
     patterns: DataFrame,
     labelers: list[str],
-    first: tuple[float, float] = START,
+    first: tuple[float, float] | dict[str, tuple[float, float]] = START,
     yes_bounds: tuple[float, float] = YES,
     no_bounds: tuple[float, float] = NO,
     rounds: int = ROUNDS,
+    anchor: float = ANCHOR,
 ) -> LabelModel:
     """Expectation-maximisation. An empty table gives the model it starts from.
 
-    ``first`` holds every labeler's rates before any data are seen; it enters each round with the weight of
-    ``ANCHOR`` times all rows, so labelers whose faults never occur together still describe one class. The
+    ``first`` holds the rates before any data are seen, of each labeler or the same for all; it enters each round with
+    the weight of ``anchor`` times all rows, so labelers whose faults never occur together still describe one class. The
     bounds keep "for" from ever counting as evidence against.
     """
-    start = LabelModel(0.5, {name: first for name in labelers})
+    begin = {name: first[name] if isinstance(first, dict) else first for name in labelers}
+    start = LabelModel(0.5, begin)
     model = start
     for _ in range(rounds):
         p = F.col("n") * F.col("_p")
@@ -85,9 +87,9 @@ def fit(
             return start
         rates = {}
         for i, name in enumerate(labelers):
-            held = ANCHOR * (got["p"] + got["q"])
-            yes = (got[f"p{i}_for"] + held * first[0]) / (got[f"p{i}_cast"] + held)
-            no = (got[f"q{i}_for"] + held * first[1]) / (got[f"q{i}_cast"] + held)
+            held = anchor * (got["p"] + got["q"])
+            yes = (got[f"p{i}_for"] + held * begin[name][0]) / (got[f"p{i}_cast"] + held)
+            no = (got[f"q{i}_for"] + held * begin[name][1]) / (got[f"q{i}_cast"] + held)
             rates[name] = (_within(yes, yes_bounds), _within(no, no_bounds))
         prior = min(max(got["p"] / (got["p"] + got["q"]), 0.02), 0.98)
         moved = max([abs(prior - model.prior), *(abs(a - b) for k in labelers for a, b in zip(rates[k], model.rates[k], strict=True))])

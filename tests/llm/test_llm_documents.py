@@ -156,6 +156,47 @@ def test_quality_keeps_prose_and_drops_faults(spark):
     assert quality.keep_good(table.limit(0)).count() == 0
 
 
+def plain_posteriors(votes):
+    """Expectation-maximisation row by row, without patterns."""
+    first = np.array([quality.FIRST[r] for r in quality.RULES])
+    rates, prior, n = first.copy(), 0.5, len(votes)
+    for step in range(weak.ROUNDS):
+        odds = np.full(n, np.log(prior / (1 - prior)))
+        for i, (yes, no) in enumerate(rates):
+            odds += np.where(votes[:, i] == 1, np.log(yes / no), np.where(votes[:, i] == -1, np.log((1 - yes) / (1 - no)), 0.0))
+        good = 1 / (1 + np.exp(-odds))
+        moved = np.empty_like(rates)
+        for i in range(len(rates)):
+            for k, (w, bounds) in enumerate(((good, quality.YES), (1 - good, quality.NO))):
+                held = quality.ANCHOR * n
+                rate = (w[votes[:, i] == 1].sum() + held * first[i, k]) / (w[votes[:, i] != 0].sum() + held)
+                moved[i, k] = min(max(rate, bounds[0]), bounds[1])
+        new = min(max(good.mean(), 0.02), 0.98)
+        change = max(abs(new - prior), np.abs(moved - rates).max())
+        rates, prior = moved, new
+        if change < weak.SETTLED:
+            break
+    odds = np.full(n, np.log(prior / (1 - prior)))
+    for i, (yes, no) in enumerate(rates):
+        odds += np.where(votes[:, i] == 1, np.log(yes / no), np.where(votes[:, i] == -1, np.log((1 - yes) / (1 - no)), 0.0))
+    return 1 / (1 + np.exp(-odds)), rates
+
+
+def test_quality_verdict_equals_plain_estimation(spark):
+    """On the given documents: the same posteriors, rates inside their bounds, rules outvoted on some that stay."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = quality.judged(table, ["doc_id"]).orderBy("row.doc_id").collect()
+    votes = np.array([[r[x] for x in quality.RULES] for r in rows])
+    want, rates = plain_posteriors(votes)
+    assert np.allclose([r.posterior for r in rows], want, atol=1e-6)
+    assert sum(0.5 < yes < 0.9995 for yes, _ in rates) >= 6 and all(0.0005 < no < 0.995 for _, no in rates)
+    against = [(r.kept, -1 in v.tolist()) for r, v in zip(rows, votes, strict=True) if not r.base_failed]
+    assert sum(kept and no for kept, no in against) >= 3 and sum(not kept for kept, _ in against) >= 10
+    marks = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    judged = [(marks[r.row.doc_id], r.kept) for r in rows if r.row.doc_id in marks and not r.base_failed]
+    assert np.mean([kept for q, kept in judged if q == 1]) > 0.99 and np.mean([kept for q, kept in judged if q == 0]) < 0.05
+
+
 def test_label_model_recovers_reliabilities(spark):
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.8
