@@ -893,12 +893,12 @@ def subset_accuracy(spark, d):
     return tight(reports.subset_accuracy(v, v.filter("doc_id % 4 = 1").select("window_id")))
 
 
-_CONDITIONS = ["visible", "shuffled", "numeric-mask", "hidden"]
+_CONDITIONS = ["visible", "shuffled", "numeric-mask", "hidden", "trend-flip"]
 
 
 def condition_metrics(spark, d):
     """Run r of the votes stands for condition r: kinds choice (own votes), gated and nogate."""
-    v = votes(spark, d).filter("run < 4").drop("caption_scores")
+    v = votes(spark, d).drop("caption_scores")
     alt = partners(spark, d).drop("dataset", "doc_id", "caption_answer_index")
     name = F.element_at(F.array(*[F.lit(c) for c in _CONDITIONS]), F.col("run") + 1)
     parts = []
@@ -920,7 +920,7 @@ def condition_metrics(spark, d):
 
 _COND = "CASE v.run " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CONDITIONS)) + " END"
 _COND_ROWS = f"""SELECT v.dataset, {_COND} AS condition, v.answer, v.pred, CASE WHEN s.alt IS NOT NULL AND margin > 2 THEN s.alt_mapped ELSE v.pred END AS g,
-    coalesce(s.alt IS NOT NULL AND margin > 2, false) AS took, coalesce(s.alt_mapped, v.pred) AS ng FROM votes v JOIN sides s ON s.window_id = v.window_id WHERE v.run < 4"""
+    coalesce(s.alt IS NOT NULL AND margin > 2, false) AS took, coalesce(s.alt_mapped, v.pred) AS ng FROM votes v JOIN sides s ON s.window_id = v.window_id"""
 _COND_TABLE = f"""SELECT dataset, condition, avg(CAST(coalesce(pred, 0) = answer AS INT)) AS ca, avg(CAST(coalesce(g, 0) = answer AS INT)) AS ga,
     avg(CAST(coalesce(ng, 0) = answer AS INT)) AS na, count(*) AS n, sum(CAST(took AS INT)) AS k FROM ({_COND_ROWS}) GROUP BY 1, 2"""
 

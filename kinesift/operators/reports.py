@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinesift.functions.arrays import first_argmax, item, top_margin
 from kinesift.operators.combine import bad_map, mapped
-from kinesift.operators.metrics import bin_edges, cells, f1_of, in_bin, rejection_columns, risk_curves
+from kinesift.operators.metrics import bin_edges, cells, f1_of, in_bin, rejection_columns, risk_curves, support_rows
 from kinesift.operators.scan import unique_rows
 from kinesift.session import stored
 
