@@ -26,25 +26,23 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: comparable ids): root is the smallest node it reaches.
 
     Each round replaces the links by those of a large star and a small star; the number of links never
     grows, and a fixed point has every node linked to its root only. The rounds needed follow the
-    logarithm of a component's width, not its size. Nulls and self-links are ignored; an empty table
+    logarithm of a component's width, not its size, and go on until no link changes. Nulls and self-links are ignored; an empty table
     gives an empty one.
     """
     links = stored(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "links"
     )
     mark = None
-    for _ in range(rounds):
+    while True:
         links = stored(_small_star(_large_star(links)), "links")
         seen = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError("components did not settle")
     nodes = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
