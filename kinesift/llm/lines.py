@@ -280,13 +280,15 @@ def _pairs(entries: DataFrame) -> DataFrame:
 
 
 def _neighbours(sets: DataFrame) -> DataFrame:
-    """(b, a, apart): each set against a few earlier ones with its last prefix word: those that occur last before it,
-    among a salted share, and the one that most lines have. Where all are similar to each other, or all to a common
-    line of which they are variants, only the first of each share is left unsettled."""
-    mine = sets.filter(F.size("prefix") > 0).select(
-        F.element_at("prefix", -1).alias("word"), "at", "n", "p0", "p1", (_skipped() + F.size("prefix") - 1).alias("pos")
-    )
-    row = F.struct("at", "n", "p0", "p1", "pos")
+    """(b, a, apart): each set against a few earlier ones with its last prefix word, and with its middle one: those that
+    occur last before it, among a salted share, and the one that most lines have. Where all are similar to each other, or
+    all to a common line of which they are variants, the first of each share is left unsettled, and the few that differ
+    in both words."""
+    last = F.size("prefix") - 1
+    two = F.array_distinct(F.array(F.get("prefix", last), F.get("prefix", F.floor(last / 2).cast("int"))))
+    mine = sets.filter(last >= 0).select(F.explode(two).alias("word"), "at", "n", "p0", "p1")
+    # The word they meet at may not be the first that two sets share, so its place bounds nothing.
+    row = F.struct("at", "n", "p0", "p1", F.lit(0).alias("pos"))
     common = _entries(sets.filter("copies > 1"), "copies").groupBy("word").agg(F.max_by(row, F.struct("copies", "at")).alias("hub"))
     hubs = common.select("word", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "hub")
     dealt = mine.select("word", F.pmod("at", F.lit(SALTS)).cast("int").alias("salt"), row.alias("r"), F.lit(None).cast(hubs.schema["hub"].dataType).alias("hub"))
@@ -319,7 +321,7 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame
     """(at): sets that are similar to another one which first occurs earlier.
 
     Of a group of many similar lines each needs one earlier partner, not all pairs. So each set first
-    meets a few that share its last prefix word; those with a verified one are settled, and only the others
+    meets a few that share its last or its middle prefix word; those with a verified one are settled, and only the others
     meet all sets with which they share a prefix word. Of the partners found, each set is verified against the
     most promising one, and against all the others only if that one fails.
     """

@@ -407,3 +407,52 @@ def test_toxicity_without_both_classes(spark):
     assert {r.score for r in toxicity.scored(table, only.limit(0)).collect()} == {0.5}
 
 
+
+
+def test_groups_of_alike_lines_grow_in_proportion(spark):
+    """Of many variants of one long line, and of a common short line, nearly all are settled by a few neighbours: the full
+    join sees pairs in proportion to the lines. Lines from a template that are not alike are told apart by parity."""
+
+    def pairs(n):
+        rng = random.Random(n)
+        stock = [f"base{i}" for i in range(60)]
+        lines_ = []
+        for k in range(n):
+            long = list(stock)
+            for i in rng.sample(range(60), 2):
+                long[i] = f"v{k}x{i}"
+            lines_.append(" ".join(long))
+            short = [f"s{i}" for i in range(10)]
+            if k % 3:
+                short[rng.randrange(10)] = f"u{k}"
+            lines_.append(" ".join(short))
+            mixed = [f"t{i}" for i in range(30)]
+            for i in rng.sample(range(30), 8):
+                mixed[i] = f"m{k}x{i}"
+            lines_.append(" ".join(mixed))
+        rng.shuffle(lines_)
+        table = docs(spark, lines_)
+        made = {}
+        old = lines.stored
+
+        def counted(df, name):
+            out = old(df, name)
+            made[name] = out.count()
+            return out
+
+        lines.stored = counted
+        try:
+            gone = {r.doc: r.removed for r in lines.repeated_lines(table).collect()}
+        finally:
+            lines.stored = old
+        want = {i for i, bad in enumerate(plain_removed(lines_)) if bad}
+        assert {i for i, r in gone.items() if r} == want
+        return made["line-pairs"]
+
+    small, large = pairs(150), pairs(600)
+    assert large < 8 * max(small, 300)
+
+
+def plain_removed(texts):
+    sets = [frozenset(t.split()) for t in texts]
+    return [any(9 * len(a & b) >= 4 * (len(a) + len(b)) for a in sets[:i]) for i, b in enumerate(sets)]
