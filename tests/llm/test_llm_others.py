@@ -253,7 +253,7 @@ def test_registered_queries(spark):
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert DOCS.startswith("doc_id")
     con = duckdb.connect()
     for t in ("documents", "pages"):
