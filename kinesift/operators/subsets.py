@@ -37,7 +37,7 @@ def constrained_subset(
     cs = F.col("caption_selection")
     indexed = F.transform("caption_scores", lambda s, i: F.when(s >= 0.5, i))
     claims = joined.withColumn("_positive", F.filter(indexed, lambda i: i.isNotNull())).withColumn(
-        "_claims", F.transform(cs["candidates"], lambda c: caption_claims(F.lower(c["text"])))
+        "_claims", caption_claims(F.transform(cs["candidates"], lambda c: F.lower(c["text"])), each=True)
     )
     ambiguous = ~F.col("_told") | (F.size("_positive") != 1)
     kept = claims.filter(ambiguous) if ambiguous_only else claims
