@@ -333,8 +333,9 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.lower)
 
 
-def token_set(text: Column) -> Column:
-    return F.array_distinct(tokens(text))
+def token_set(lower: Column) -> Column:
+    """Different word tokens of a lower-case text."""
+    return F.array_distinct(F.regexp_extract_all(lower, F.lit(f"({TOKEN})"), F.lit(1)))
 
 
 def mask_numbers(text: Column) -> Column:

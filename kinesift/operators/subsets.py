@@ -12,6 +12,7 @@ from kinesift.functions.textfields import caption_claims, token_set
 from kinesift.operators.benchmark import shown_evidence
 from kinesift.operators.combine import mapped
 from kinesift.operators.scan import prefix_scan, unique_rows
+from kinesift.session import stored
 
 
 def soft_score(claims: Column, fields: Column) -> Column:
@@ -175,8 +176,10 @@ def balanced_subset(
         kept = kept.filter(F.col("length_range") <= max_length_range)
     if max_overlap_range is not None:
         kept = kept.filter(F.col("evidence_overlap_range") <= max_overlap_range)
+    # Written once: a split by range reads its rows twice, once for the bounds.
+    kept = stored(kept, "balance")
     ranked = prefix_scan(kept, ["balance_score", "length_range", "evidence_overlap_range", "window_id"], index="_rank")
-    n = ranked.count()
+    n = kept.count()
     return ranked.filter(F.col("_rank") < max(1, round(n * target_fraction))).drop("_rank")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kinesift.functions import phrases as ph
 from kinesift.functions import textfields as tf
+from kinesift.operators import subsets
 
 
 def test_arrays_of_texts_are_read_like_single_texts(spark):
@@ -34,3 +35,18 @@ def test_claims_are_searched_once_per_batch_and_not_in_row_expressions(spark):
     df = spark.createDataFrame([(["a"],)], "ts array<string>").select(tf.caption_claims(F.col("ts"), each=True).alias("c"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "contains" not in plan.lower()
+
+
+def test_balance_is_measured_once_per_record(spark):
+    """Ranking by range reads its rows twice; what they are computed from must run once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(k: str) -> str:
+        seen.add(1)
+        return k
+
+    ranges = [F.col("id").cast("double").alias(c) for c in ("length_range", "evidence_overlap_range", "balance_score")]
+    features = spark.range(40).select(F.udf(mark)(F.col("id").cast("string")).alias("window_id"), *ranges)
+    kept = subsets.balanced_subset(features, 0.5, max_length_range=29.0)
+    assert sorted(int(r["window_id"]) for r in kept.collect()) == list(range(15))
+    assert seen.value == 30
