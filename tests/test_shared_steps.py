@@ -1,8 +1,10 @@
 """Steps that several queries share compute an expression once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinesift.operators import signals
+from kinesift.operators.logistic import fit_logistic
 
 
 def plan_of(df) -> str:
@@ -17,3 +19,20 @@ def test_signal_measures_are_not_repeated_inside_lambdas(spark):
     assert (p["i"], p["j"]) == (0, 1) and abs(p["r"] - 1.0) < 1e-12
     trend = df.select(signals.trend_segments(F.col("c")[0], F.sqrt(F.col("c")[0][0])).alias("t"))
     assert plan_of(trend).count("sqrt") == 1 and len(trend.first()["t"]) == 3
+
+
+def test_features_are_computed_once_and_null_rows_left_out(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def features(i: int) -> list[float] | None:
+        seen.add(1)
+        return None if i == 7 else [float(i % 5), float(i % 3)]
+
+    rows = spark.range(40).select(F.udf(features, "array<double>")("id").alias("features"), (F.col("id") % 2).alias("label"), F.lit(1.0).alias("weight"))
+    got = fit_logistic(rows)
+    assert seen.value == 40
+    plain = spark.createDataFrame([([float(i % 5), float(i % 3)], i % 2, 1.0) for i in range(40) if i != 7], "features array<double>, label int, weight double")
+    want = fit_logistic(plain.coalesce(1))
+    assert max(abs(a - b) for a, b in zip([*got.weights, got.intercept], [*want.weights, want.intercept], strict=True)) < 1e-9
+    with pytest.raises(ValueError):
+        fit_logistic(plain.filter(F.lit(False)))
