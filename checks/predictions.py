@@ -10,6 +10,7 @@ from checks.ctes import hexnum, r6 as q6
 from checks.registry import check, tight
 from kinesift.functions import phrases as ph
 from kinesift.functions import scores as sc
+from kinesift.functions.arrays import once, total
 from kinesift.operators import audit, combine, evaluate, metrics, reports
 from kinesift.operators import benchmark as bm
 from kinesift.plans import views
@@ -251,7 +252,7 @@ def with_probabilities(records):
     weighed = records.withColumn("field_weights", F.create_map(*entries))
     return weighed.withColumn(
         "field_probabilities",
-        F.transform_values("field_weights", lambda _, u: F.transform(u, lambda x: x / F.aggregate(u, F.lit(0.0), lambda a, y: a + y))),
+        F.transform_values("field_weights", lambda _, u: once(total(u), lambda s: F.transform(u, lambda x: x / s))),
     ).drop("field_weights")
 
 
@@ -979,14 +980,15 @@ def system_table(spark, d):
 @check("score_invariance", f"SELECT 'same' AS outcome, count(*) AS rows FROM v3_prob HAVING count(*) > 0")
 def score_invariance(spark, d):
     """Probability scores before and after the cards are altered; changed rows would show as their own group."""
-    records = with_probabilities(hard(spark, d))
+    read = ("window_id", "dataset_id", "evidence", "caption_selection", "positive", "counterfactuals", "field_probabilities")
+    records = stored(with_probabilities(hard(spark, d)).select(*read), "weighed")
     altered = records.withColumn("evidence", F.col("evidence").withField("intensity", F.lit("high")).withField("dominant_axis", F.lit("uncertain")))
 
     def scores_of(r):
         rows = evaluate.probability_rows(r)
         return rows.select("window_id", F.posexplode_outer("support_probabilities").alias("pos", "score"))
 
-    before = scores_of(records)
+    before = stored(scores_of(records), "scores")
     changed = audit.changed_rows(before, scores_of(altered)).select(F.col("side").alias("outcome"))
     same = before.select(F.lit("same").alias("outcome"))
     return same.unionByName(changed).groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinesift.functions.arrays import dot, first_argmax, one_hot, sum_squares, total
+from kinesift.functions.arrays import dot, first_argmax, once, one_hot, sum_squares, total
 from kinesift.functions.captions import Card
 from kinesift.functions.phrases import FIELDS, VOCABULARY
 
@@ -82,9 +82,9 @@ def probability_score(
     values = []
     for f, words in vocabulary.items():
         place = F.array_position(F.array(*[F.lit(w) for w in words]), claims[f]).cast("int")
-        values.append(F.when(place > 0, F.get(F.try_element_at(probabilities, F.lit(f)), place - 1)))
+        values.append(F.get(F.try_element_at(probabilities, F.lit(f)), place - 1))
     known = F.filter(F.array(*values), lambda p: p.isNotNull())
-    return total(known) / F.greatest(F.size(known), F.lit(1))
+    return once(known, lambda k: total(k) / F.greatest(F.size(k), F.lit(1)))
 
 
 def predicted_fields(probabilities: Column, vocabulary: dict[str, list[str]] = VOCABULARY) -> Column:

@@ -124,9 +124,12 @@ def audit_report(records: DataFrame, windows: DataFrame, phrases: list[str] = SH
 
 
 def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that two runs do not share, with the side they are on; empty when altering the input had no effect."""
-    return (
-        before.exceptAll(after)
-        .withColumn("side", F.lit("before"))
-        .unionByName(after.exceptAll(before).withColumn("side", F.lit("after")))
-    )
+    """Rows that two runs do not share, with the side they are on; empty when altering the input had no effect.
+
+    Both runs are read once: copies on the one side less copies on the other.
+    """
+    names = before.columns
+    both = before.withColumn("_sign", F.lit(1)).union(after.withColumn("_sign", F.lit(-1)))
+    left = both.groupBy(*names).agg(F.sum("_sign").alias("_left")).filter("_left <> 0")
+    copies = F.array_repeat(F.when(F.col("_left") > 0, "before").otherwise("after"), F.abs("_left").cast("int"))
+    return left.select(*names, F.explode(copies).alias("side"))

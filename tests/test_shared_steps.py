@@ -3,9 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from kinesift.operators import signals
+from checks import QUERIES
+from kinesift.operators import audit, signals
 from kinesift.operators.logistic import fit_logistic
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString().lower()
@@ -36,3 +39,23 @@ def test_features_are_computed_once_and_null_rows_left_out(spark):
     assert max(abs(a - b) for a, b in zip([*got.weights, got.intercept], [*want.weights, want.intercept], strict=True)) < 1e-9
     with pytest.raises(ValueError):
         fit_logistic(plain.filter(F.lit(False)))
+
+
+def test_runs_are_compared_in_one_pass(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(x: int) -> int:
+        seen.add(1)
+        return x
+
+    def run(xs):
+        return spark.createDataFrame([(x,) for x in xs], "x int").select(F.udf(mark, "int")("x").alias("x"))
+
+    got = audit.changed_rows(run([1, 1, 1, 2, None]), run([1, 3, None, None])).collect()
+    assert sorted((r["x"] or 0, r["side"]) for r in got) == [(0, "after"), (1, "before"), (1, "before"), (2, "before"), (3, "after")]
+    assert seen.value == 9
+
+
+def test_scores_before_are_computed_once(spark):
+    plan = plan_of(QUERIES["score_invariance"](spark, SMALL))
+    assert plan.count("evalpython") == 1 and "md5" not in plan
