@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -525,9 +527,17 @@ def statement_vectors(spark, d):
     s = bm.statements(hard(spark, d)).withColumn("c", tf.statement_claims(F.lower("text")))
     i = F.when(F.col("kind") == "positive", 0).otherwise(F.col("pos") + 1).cast("int")
     v = s.select("window_id", i.alias("i"), statement_vector(F.col("evidence"), F.col("c")).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    weighted = F.aggregate(F.transform("v", lambda x, k: x * (k + 1)), F.lit(0.0), lambda a, x: a + x)
-    return tight(v.select("window_id", "i", F.size("v").alias("width"), total.alias("total"), weighted.alias("weighted")))
+
+    def sums(vectors: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1 if len(vectors) else 0)
+        both = [np.zeros(len(x)), np.zeros(len(x))]
+        for k in range(x.shape[1]):
+            both[0] += x[:, k]
+            both[1] += x[:, k] * (k + 1)
+        return pa.StructArray.from_arrays([pa.array(b) for b in both], names=["total", "weighted"])
+
+    summed = v.select("window_id", "i", F.size("v").alias("width"), F.arrow_udf(sums, "total double, weighted double")(F.col("v")).alias("s"))
+    return tight(summed.select("window_id", "i", "width", "s.total", "s.weighted"))
 
 
 @check(

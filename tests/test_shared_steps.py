@@ -59,3 +59,7 @@ def test_runs_are_compared_in_one_pass(spark):
 def test_scores_before_are_computed_once(spark):
     plan = plan_of(QUERIES["score_invariance"](spark, SMALL))
     assert plan.count("evalpython") == 1 and "md5" not in plan
+
+
+def test_vector_sums_are_taken_by_batches(spark):
+    assert "aggregate(" not in plan_of(QUERIES["statement_vectors"](spark, SMALL)).replace("aggregate [", "")
