@@ -1,9 +1,12 @@
 """Steps that several queries share compute an expression once."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from checks import QUERIES
+from kinesift.functions import textfields as tf
+from kinesift.functions.phrases import FIELDS
 from kinesift.operators import audit, signals
 from kinesift.operators.logistic import fit_logistic
 
@@ -41,6 +44,28 @@ def test_features_are_computed_once_and_null_rows_left_out(spark):
         fit_logistic(plain.filter(F.lit(False)))
 
 
+def test_a_task_searches_a_text_once_over_all_its_batches(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def fields(texts: pa.Array) -> dict[str, pa.Array]:
+        seen.add(len(texts))
+        return {f: texts for f in FIELDS}
+
+    texts = ["a", "b", None]
+    df = spark.createDataFrame([(i, texts[i % 3]) for i in range(300)], "i int, t string").coalesce(1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = df.select("i", tf._read_batches(F.col("t"), False, fields).alias("c")).collect()
+        assert all(tuple(r["c"]) == (texts[r["i"] % 3],) * len(FIELDS) for r in got) and seen.value == 3
+        monkeypatch.setattr(tf, "KEPT_TEXTS", 12)
+        many = df.select("i", F.concat(F.lit("t"), (F.col("i") * 7 % 25).cast("string")).alias("t"))
+        got = many.select("i", tf._read_batches(F.col("t"), False, fields).alias("c")).collect()
+        assert all(r["c"][0] == f"t{r['i'] * 7 % 25}" for r in got)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_runs_are_compared_in_one_pass(spark):
     seen = spark.sparkContext.accumulator(0)
 
