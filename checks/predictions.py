@@ -803,6 +803,8 @@ CHANGES = f"""SELECT r.window_id, CASE WHEN best <> r.answer AND guess = r.answe
 
 def _changes(spark, d):
     records, rows = structured(spark, d)
+    # Both sides of the comparison read them.
+    rows = stored(rows.select("window_id", "caption_answer_index", "caption_prediction", "caption_scores"), "choices")
     return reports.failure_changes(rows, combine.hybrid_rows(rows, direct_rows(records)), records)
 
 

@@ -81,6 +81,10 @@ def test_runs_are_compared_in_one_pass(spark):
     assert seen.value == 9
 
 
+def test_choices_are_read_once_by_both_sides(spark):
+    assert "evalpython" not in plan_of(QUERIES["failure_examples"](spark, SMALL))
+
+
 def test_scores_before_are_computed_once(spark):
     plan = plan_of(QUERIES["score_invariance"](spark, SMALL))
     assert plan.count("evalpython") == 1 and "md5" not in plan
