@@ -1,39 +1,44 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional backoff bigrams.
 
 Two bigram models, of toxic and of ordinary texts, score every text; what counts is the difference of their
-log-likelihoods per word. Bigrams back off to the class's single words and these to shared counts: in
-how many contexts a word occurs, in both classes together. So an expression that either class has seen too
-seldom is explained by the shared counts, and says nothing.
-
-All labelled texts outside the held-out fifth are counted. Into the model go expressions that make up a share of
-``SHARE`` of their class or more (and ``LEAST`` uses): at most 2 / SHARE words and as many bigrams, however large the corpus. A bigram is
-no more frequent than its words, so bigrams are counted over the model's words only.
+log-likelihoods per word. A class's counts are discounted towards what it shares with the other class: of a word, the count that both
+classes together let expect; of a bigram, the one that its words' models let expect. The discount is ``DISCOUNT`` standard errors
+of a count, so an expression that either class has seen too seldom is explained by the shared counts, and says nothing;
+the more texts hold it, the more of the difference is left. An expression counts once a text.
+
+Every expression of all labelled texts outside the held-out fifth is counted, and every one that says something is in the model,
+however many there are. The model is a distributed table: texts meet it by a join, but for its ``COMMON`` most used
+expressions, which travel with the tasks (the join's hot keys).
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinesift.llm.text import bit_table, may_hold, stored
+from kinesift.llm.text import bit_table, may_hold, parts, stored
 
 FOLDS = 5
-SHARE = 5e-5
-#: Expressions seen less often than this in both classes are rare in any corpus.
-LEAST = 5
-DISCOUNT = 0.75
+#: Standard errors of a count that are taken off its distance from the shared counts.
+DISCOUNT = 2.0
+#: Expressions that travel with the tasks at most, the most used ones.
+COMMON = 1 << 16
 NEWTON_STEPS = 12
 #: A text counts as if so many words that say nothing followed: few words are weak evidence.
 PADDING = 10
-#: Distinct expressions that a task holds before it sends their counts on.
+#: Words that a task holds before it sends their counts on.
 HELD = 1 << 20
+#: Weights are whole numbers of this unit, so that their sums don't depend on the order.
+UNIT = 2.0**-20
 
 
 def held_out(key: Column) -> Column:
@@ -41,7 +46,7 @@ def held_out(key: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(text, toxic) of the labelled rows outside the held-out fold, written once. Several labels of a key count as
+    """(text, toxic) of the labelled rows outside the held-out fold. Several labels of a key count as
     toxic if one is. A bit table of the labels' keys spares most other texts the shuffle."""
     known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("key")).agg((F.max(label) > 0).cast("int").alias("toxic"))
@@ -53,7 +58,7 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
 
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(key).alias("hash"), F.col(text).cast("string").alias("text"))
     # Labels grow with the texts, so they are never broadcast: the same join at every size.
-    return stored(rows.mapInArrow(pick, rows.schema).join(known.hint("merge"), "key").select("text", "toxic"), "labelled")
+    return rows.mapInArrow(pick, rows.schema).join(known.hint("merge"), "key").select("text", "toxic")
 
 
 _WORD = re.compile(r"\w+")
@@ -63,144 +68,153 @@ def words_in(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, n0, n1): how often ordinary and toxic texts hold each word."""
+def _hashes(words: dict[str, int]) -> np.ndarray:
+    """A 64-bit hash of each word, in their order; the same in every process."""
+    return pd.util.hash_array(np.array(list(words), object), categorize=False).view(np.int64) if words else np.zeros(0, np.int64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def out() -> pa.RecordBatch:
-            words = list(seen[0].keys() | seen[1].keys())
-            columns = [pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)]
-            for c in seen:
-                c.clear()
-            return pa.RecordBatch.from_arrays(columns, ["word", "n0", "n1"])
+def _numbered(texts: pa.Array, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of every word, how many words each text has); new words are added to ``words``."""
+    found = [[words.setdefault(w, len(words)) for w in words_in(t.as_py())] for t in texts]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((i for f in found for i in f), np.int64, int(sizes.sum())), sizes
 
-        for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                seen[toxic].update(words_in(text.as_py()))
-                if len(seen[0]) + len(seen[1]) > HELD:
-                    yield out()
-        if seen[0] or seen[1]:
-            yield out()
 
-    return train.mapInArrow(count, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def pair_code(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The number of a bigram; ``_pair_code`` is the same of columns."""
+    s = second.view(np.uint64)
+    return first ^ ((s << np.uint64(17)) | (s >> np.uint64(47))).view(np.int64)
 
 
-def _numbers(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    """The words' numbers in the model, -1 for words it doesn't have."""
-    words = words_in(text)
-    return np.fromiter((ids.get(w, -1) for w in words), np.int64, len(words))
+def _pair_code(first: str, second: str) -> Column:
+    return F.col(first).bitwiseXOR(F.shiftleft(second, 17).bitwiseOR(F.shiftrightunsigned(second, 47)))
 
 
-def pair_counts(train: DataFrame, ids: dict[str, int]) -> DataFrame:
-    """(first, second, n0, n1): how often two of the model's words follow each other."""
-    shared = train.sparkSession.sparkContext.broadcast(ids)
+def counts(train: DataFrame) -> DataFrame:
+    """(first, second, n): how many texts hold the word ``second``, or hold it after ``first``; ``n`` is the number of ordinary
+    ones and 2**32 times that of toxic ones, one number to save room. Rows without ``second`` have the sums over all words of
+    ordinary (``first`` 0) and toxic texts (1)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, int] = {}
         waiting: list[np.ndarray] = []
         held = 0
 
         def out() -> pa.RecordBatch:
+            # A word has the number 0 before it, and words are numbered from 1 here.
             codes, n = np.unique(np.concatenate(waiting), return_counts=True)
             toxic = (codes & 1).astype(bool)
-            columns = [codes >> 33, (codes >> 1) & 0xFFFFFFFF, np.where(toxic, 0, n), np.where(toxic, n, 0)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["first", "second", "n0", "n1"])
-
-        for batch in batches:
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                w = _numbers(text.as_py(), shared.value)
-                a, b = w[:-1], w[1:]
-                both = (a >= 0) & (b >= 0)
-                waiting.append((((a[both] << 32) | b[both]) << 1) | toxic)
-                held += int(both.sum())
-                if held > HELD:
-                    yield out()
-                    waiting, held = [], 0
+            hashes = np.concatenate(([0], _hashes(words)))
+            first, second = codes >> 32, (codes >> 1) & 0x7FFFFFFF
+            alone = first == 0
+            columns = [
+                pa.array(np.append(hashes[first], [0, 1]), mask=np.append(alone, [False, False])),
+                pa.array(np.append(hashes[second], [0, 0]), mask=np.append(np.zeros(len(n), bool), [True, True])),
+                pa.array(np.append(n << np.where(toxic, 32, 0), [n[alone & (toxic == k)].sum() for k in (False, True)]).astype(np.int64)),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["first", "second", "n"])
+
+        for batch in parts(batches, 0):
+            w, sizes = _numbered(batch.column(0), words)
+            w += 1
+            ends = np.cumsum(sizes)
+            for a, b, toxic in zip(ends - sizes, ends, batch.column(1).to_pylist(), strict=True):
+                mine = w[a:b]
+                waiting.append((np.unique(np.concatenate((mine, (mine[:-1] << 31) | mine[1:]))) << 1) | toxic)
+            held += len(w)
+            if held > HELD:
+                yield out()
+                words, waiting, held = {}, [], 0
         if held:
             yield out()
 
-    shape = "first long, second long, n0 long, n1 long"
-    return train.mapInArrow(count, shape).groupBy("first", "second").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-class PairModel:
-    """Log-likelihood differences (toxic minus ordinary) of words after words."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, totals: np.ndarray, contexts: np.ndarray, pairs: np.ndarray):
-        """``counts`` and ``totals``: of words and of all, by class; ``contexts``: different words before a word;
-        ``pairs``: rows of (first, second, ordinary, toxic count)."""
-        self.ids = {w: i for i, w in enumerate(words)}
-        seen = np.maximum(counts - DISCOUNT, 0.0)
-        shared = (contexts + 1.0) / (contexts.sum() + len(words) + 1.0)
-        totals = np.maximum(totals, 1.0)
-        # What discounting takes off the model's words; the mass of all other words is theirs in either class.
-        rest = (counts - seen).sum(0) / totals
-        self.single = seen / totals + rest * shared[:, None]
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        pairs = pairs[order]
-        self.codes = (pairs[:, 0] << 32) | pairs[:, 1]
-        found = np.maximum(pairs[:, 2:] - DISCOUNT, 0.0)
-        self.direct = found / np.maximum(counts[pairs[:, 0]], 1.0)
-        self.left = np.ones((len(words), 2))
-        np.subtract.at(self.left, pairs[:, 0], self.direct)
-        self.left = np.maximum(self.left, 1e-6)
-
-    def difference(self, numbers: np.ndarray) -> float:
-        """Mean over the words of a text and the padding; words that the model doesn't have count 0, and so does an empty text."""
-        at = np.flatnonzero(numbers >= 0)
-        if not len(at):
-            return 0.0
-        w = numbers[at]
-        p = self.single[w]
-        h = np.where(at > 0, numbers[np.maximum(at - 1, 0)], -1)
-        after = h >= 0
-        direct = np.zeros_like(p)
-        if len(self.codes):
-            code = (h[after] << 32) | w[after]
-            spot = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            direct[after] = np.where((self.codes[spot] == code)[:, None], self.direct[spot], 0.0)
-        p = np.where(after[:, None], direct + self.left[np.maximum(h, 0)] * p, p)
-        return float(np.log(p[:, 1] / p[:, 0]).sum() / (len(numbers) + PADDING))
-
-
-def fit(train: DataFrame, share: float = SHARE) -> PairModel | None:
-    """The model of labelled texts, or None where a class has no word."""
-    counted = stored(word_counts(train), "word-counts")
-    total = counted.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    if not total["n0"] or not total["n1"]:
-        return None
+    return train.mapInArrow(count, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("n"))
 
-    def frequent() -> Column:
-        return (F.col("n0") >= max(LEAST, share * total["n0"])) | (F.col("n1") >= max(LEAST, share * total["n1"]))
-
-    kept = counted.filter(frequent()).orderBy("word").toPandas()
-    words = kept["word"].tolist()
-    pairs = stored(pair_counts(train, {w: i for i, w in enumerate(words)}), "pair-counts")
-    contexts = np.zeros(len(words))
-    for row in pairs.groupBy("second").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        contexts[row["second"]] = row["n"]
-    often = pairs.filter(frequent()).toPandas()[["first", "second", "n0", "n1"]].to_numpy(np.int64).reshape(-1, 4)
-    totals = np.array([total["n0"], total["n1"]], float)
-    return PairModel(words, kept[["n0", "n1"]].to_numpy(float), totals, contexts, often)
-
-
-def differences(docs: DataFrame, model: PairModel | None, key: str, text: str) -> DataFrame:
-    """(key, x): the model's mean difference for every text."""
-    shape = docs.select(F.col(key).alias("key")).schema.add("x", "double")
-    # Plain tables: a broadcast object would need the package on the executors.
-    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = None
-        if shared.value:
-            m = object.__new__(PairModel)
-            vars(m).update(shared.value)
-        for batch in batches:
-            x = [m.difference(_numbers(t.as_py(), m.ids)) if m else 0.0 for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.float64())], ["key", "x"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(score, shape)
+def _weight(n: tuple[Column, Column], expected: tuple[Column, Column]) -> Column:
+    """Log-likelihood ratio (toxic to ordinary) that is left of the counts' distance from the expected ones."""
+
+    def log_left(n: Column, e: Column) -> Column:
+        far = F.greatest(F.abs(n - e) - DISCOUNT * F.sqrt(F.greatest(n, e, F.lit(1.0))), F.lit(0.0))
+        return F.log((e + F.signum(n - e) * far) / e)
+
+    return F.round((log_left(n[1], expected[1]) - log_left(n[0], expected[0])) / UNIT) * UNIT
+
+
+def fit(train: DataFrame) -> DataFrame | None:
+    """(code, uses, weight) of every word and bigram of the labelled texts that says something; None where a class has no word."""
+    # A count of DISCOUNT ** 2 or less is never farther from an expected one than its discount, and so has no weight.
+    split = F.col("n").bitwiseAND(0xFFFFFFFF), F.shiftright("n", 32)
+    stored_counts = stored(counts(train).filter((split[0] + split[1] > DISCOUNT**2) | F.col("second").isNull()), "expressions")
+    total = {row["first"]: row["n"] for row in stored_counts.filter("second is null").collect()}
+    if not total.get(0) or not total.get(1):
+        return None
+    share = [total[k] / (total[0] + total[1]) for k in (0, 1)]
+    seen = stored_counts.filter("second is not null").select("first", "second", split[0].alias("n0"), split[1].alias("n1"))
+    uses = F.col("n0") + F.col("n1")
+    n = F.col("n0").cast("double"), F.col("n1").cast("double")
+    single = _weight(n, (uses * share[0], uses * share[1]))
+    words = stored(seen.filter("first is null").select(F.col("second").alias("code"), "n0", "n1", single.alias("weight")), "words")
+    before = words.select(F.col("code").alias("first"), F.col("n0").alias("f0"), F.col("n1").alias("f1"))
+    pairs = seen.filter("first is not null").join(before.hint("merge"), "first").join(words.select(F.col("code").alias("second"), "weight").hint("merge"), "second")
+    odds = (F.col("f1") + share[1] / 2) * F.exp("weight") / (F.col("f0") + share[0] / 2)
+    both = _weight(n, (uses / (1 + odds), uses * odds / (1 + odds)))
+    every = words.select("code", uses.alias("uses"), "weight").union(pairs.select(_pair_code("first", "second"), uses, both))
+    return stored(every.filter("weight <> 0"), "weights")
+
+
+def _most_used(model: DataFrame) -> Column:
+    """Whether an expression is one of the ``COMMON`` that travel with the tasks: those of the highest powers of the root of 2 that fit."""
+    step = F.floor(2 * F.log2("uses"))
+    room, least = COMMON, 1 << 30
+    for row in model.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["step"]
+    return step >= least
+
+
+def differences(docs: DataFrame, model: DataFrame | None, key: str, text: str) -> DataFrame:
+    """(key, x): the model's mean difference for every text, over its words and the padding. An empty text has 0."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    if model is None:
+        return rows.select("key", F.lit(0.0).alias("x"))
+    common = _most_used(model)
+    near = model.filter(common).select("code", "weight").orderBy("code").toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast((bit_table(model.select("code")), near["code"].to_numpy(np.int64), near["weight"].to_numpy(float)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, codes, weights = shared.value
+        number = TaskContext.get().partitionId() << 40
+        for batch in parts(batches, 1):
+            words: dict[str, int] = {}
+            w, sizes = _numbered(batch.column(1), words)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            h = _hashes(words)[w]
+            follows = doc[1:] == doc[:-1]
+            at, code = np.concatenate((doc, doc[1:][follows])), np.concatenate((h, pair_code(h[:-1], h[1:])[follows]))
+            hit = may_hold(table, code)
+            at, code = at[hit], code[hit]
+            order = np.lexsort((code, at))
+            at, code = at[order], code[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1]) | (code[1:] != code[:-1])
+            at, code = at[new], code[new]
+            spot = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            known = codes[spot] == code if len(codes) else np.zeros(len(code), bool)
+            sums = np.bincount(at[known], weights[spot[known]], len(sizes)).astype(float)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(at[~known], minlength=len(sizes))))).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(ends), pa.array(code[~known]))
+            ids = pa.array(number + np.arange(len(sizes)))
+            number += len(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(sizes), pa.array(sums), rest], ["key", "id", "n", "sum", "rest"])
+
+    shape = rows.select("key").schema.add("id", "long").add("n", "long").add("sum", "double").add("rest", T.ArrayType(T.LongType()))
+    met = stored(rows.mapInArrow(meet, shape), "met")
+    others = model.filter(~common).select("code", "weight")
+    more = met.select("id", F.explode("rest").alias("code")).join(others.hint("merge"), "code").groupBy("id").agg(F.sum("weight").alias("more"))
+    return met.drop("rest").join(more, "id", "left").select("key", ((F.col("sum") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + PADDING)).alias("x"))
 
 
 def calibrate(rows: DataFrame) -> tuple[float, float]:

@@ -399,6 +399,55 @@ def test_toxicity_held_out_accuracy(spark):
     assert by[900].score == by[901].score < 0.5
 
 
+def plain_differences(texts, toxic):
+    """The mean differences of all texts by a model of those with a label, in dictionaries."""
+    n, pairs = {}, {}
+    split = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    for w, y in zip(split, toxic, strict=True):
+        if y is not None:
+            for table, found in ((n, set(w)), (pairs, set(itertools.pairwise(w)))):
+                for x in found:
+                    table.setdefault(x, [0, 0])[y] += 1
+    total = [sum(c[k] for c in n.values()) for k in (0, 1)]
+    share = [t / sum(total) for t in total]
+
+    def weight(c, e):
+        left = [e[k] + np.sign(c[k] - e[k]) * max(abs(c[k] - e[k]) - 2 * max(c[k], e[k], 1) ** 0.5, 0) for k in (0, 1)]
+        return np.log(left[1] / e[1]) - np.log(left[0] / e[0])
+
+    single = {x: weight(c, [sum(c) * share[0], sum(c) * share[1]]) for x, c in n.items()}
+    double = {}
+    for (a, b), c in pairs.items():
+        odds = (n[a][1] + share[1] / 2) * np.exp(single[b]) / (n[a][0] + share[0] / 2)
+        double[a, b] = weight(c, [sum(c) / (1 + odds), sum(c) * odds / (1 + odds)])
+    sums = [sum(single.get(x, 0) for x in set(w)) + sum(double.get(x, 0) for x in set(itertools.pairwise(w))) for w in split]
+    return [x / (len(w) + 10) for x, w in zip(sums, split, strict=True)], sum(x != 0 for x in single.values()), sum(x != 0 for x in double.values())
+
+
+@pytest.mark.parametrize("common", [1 << 16, 2, 0])
+def test_toxicity_counts_every_expression(spark, monkeypatch, common):
+    """Of a class of 200,000 words, one that ten texts hold is in the model, and so are bigrams; by the join as by the tasks' table."""
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    rng = random.Random(11)
+    texts, toxic = [], []
+    for i in range(160):
+        t = words(rng, 2500, 3000).split()
+        bad = i % 2
+        for said in (["Vile", "w1 w2"] if i % 16 == 1 else []) + (["w3 w4"] * 2 if bad else ["w4 w5"] if i % 3 == 0 else []):
+            t.insert(rng.randrange(len(t)), said)
+        texts.append(" ".join(t))
+        toxic.append(bad)
+    texts += ["vile w3 w4 w1 w2", "w3 w4 vile vile unseen", None, "", "vile w3 w4 w1 w2"]
+    toxic += [None] * 5
+    train = spark.createDataFrame([(t, y) for t, y in zip(texts, toxic, strict=True) if y is not None], "text string, toxic int")
+    model = toxicity.fit(train)
+    want, n_words, n_pairs = plain_differences(texts, toxic)
+    assert model.count() == n_words + n_pairs and n_words > 1 and n_pairs > 1
+    got = toxicity.differences(docs(spark, texts), model, "doc_id", "text").collect()
+    assert len(got) == len(texts) and all(abs(r.x - want[r.key]) < 1e-5 for r in got)
+    assert want[160] > 0.05
+
+
 def test_toxicity_without_both_classes(spark):
     table = docs(spark, ["a b", "c"])
     only = spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
