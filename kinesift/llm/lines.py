@@ -33,7 +33,7 @@ from kinesift.llm.text import bit_table, may_hold, parts, stored
 WORD_BITS, COUNTER_BITS = 44, 22
 SLICE = 1 << 16
 #: Bytes of text whose words are found at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 #: Shares that the sets of a word are dealt into for the first step, and how many sets before it each meets there.
 SALTS = 16
 NEIGHBOURS = 4
@@ -168,11 +168,11 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return table
 
 
-LINE_SHAPE = "doc {key}, mark long, line int, set long, n int, p0 long, p1 long, prefix array<int>"
+LINE_SHAPE = "doc {key}, mark long, line int, n_lines int, set long, n int, p0 long, p1 long, prefix array<int>"
 
 
 def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
-    """Every line with a word: its place, the hash of its word set, their number, their parity over 128 bits, and
+    """Every line with a word: its place, how many its text has, the hash of its word set, their number, their parity over 128 bits, and
     the prefix words that other lines may share, rarest first."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shape = LINE_SHAPE.format(key=docs.schema[key].dataType.simpleString())
@@ -204,8 +204,8 @@ def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> D
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((order[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             at = pa.array(found["doc"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), *parity, lists],
-                ["doc", "mark", "line", "set", "n", "p0", "p1", "prefix"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(np.bincount(found["doc"])[found["doc"]].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), *parity, lists],
+                ["doc", "mark", "line", "n_lines", "set", "n", "p0", "p1", "prefix"],
             )
 
     return _keyed(docs, key, text).mapInArrow(emit, shape)
@@ -217,16 +217,18 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def words_of_sets(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
-    """(at, words) of the asked sets (set, at). A bit table of fixed size, made from the asked hashes, lets through the lines
-    of these and few others before the join."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_table(asked.select("set")))
+    """(at, words) of the asked sets (set, at, mark). Bit tables of fixed size let through the texts that the sets first occur in,
+    and of these the sets' lines, and few others, before the join."""
+    shared = docs.sparkSession.sparkContext.broadcast((bit_table(asked.select("set")), bit_table(asked.select("mark"))))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = LineReader()
-        for batch in parts(batches, 0):
+        sets, marks = shared.value
+        wanted = (b.filter(pa.array(may_hold(marks, b.column(1).to_numpy(zero_copy_only=False)))) for b in batches)
+        for batch in parts(wanted, 0):
             found = reader.lines(batch.column(0))
             ids = _set_ids(found)
-            hit = np.flatnonzero(may_hold(shared.value, ids))
+            hit = np.flatnonzero(may_hold(sets, ids))
             _, once = np.unique(ids[hit], return_index=True)
             hit = hit[once]
             sizes = found["n"][hit]
@@ -235,8 +237,9 @@ def words_of_sets(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found["word"][take].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), lists], ["set", "words"])
 
-    lines = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "set long, words array<long>")
-    return lines.join(asked, "set").groupBy("at").agg(F.first("words").alias("words"))
+    t = F.col(text).cast("string")
+    lines = docs.select(t.alias("text"), F.xxhash64(t).alias("mark")).mapInArrow(emit, "set long, words array<long>")
+    return lines.join(asked.drop("mark"), "set").groupBy("at").agg(F.first("words").alias("words"))
 
 
 def _apart(a: str, b: str) -> Column:
@@ -290,8 +293,12 @@ def _neighbours(sets: DataFrame) -> DataFrame:
     # The word they meet at may not be the first that two sets share, so its place bounds nothing.
     row = F.struct("at", "n", "p0", "p1", F.lit(0).alias("pos"))
     common = _entries(sets.filter("copies > 1"), "copies").groupBy("word").agg(F.max_by(row, F.struct("copies", "at")).alias("hub"))
-    hubs = common.select("word", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "hub")
-    dealt = mine.select("word", F.pmod("at", F.lit(SALTS)).cast("int").alias("salt"), row.alias("r"), F.lit(None).cast(hubs.schema["hub"].dataType).alias("hub"))
+    salt = F.pmod("at", F.lit(SALTS)).cast("int")
+    # A hub goes to those shares of its word that have a set.
+    used = mine.groupBy("word").agg(F.bit_or(F.pow(F.lit(2), salt).cast("int")).alias("used"))
+    every = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("used", k) == 1)
+    hubs = common.join(used, "word").select("word", F.explode(every).alias("salt"), "hub")
+    dealt = mine.select("word", salt.alias("salt"), row.alias("r"), F.lit(None).cast(hubs.schema["hub"].dataType).alias("hub"))
     both = dealt.unionByName(hubs.select("word", "salt", F.lit(None).cast(hubs.schema["hub"].dataType).alias("r"), "hub"))
     # Nulls first: the hub's row stands before the sets.
     w = Window.partitionBy("word", "salt").orderBy("r.at")
@@ -300,10 +307,14 @@ def _neighbours(sets: DataFrame) -> DataFrame:
     return each.filter(_possible("l", "r")).select(F.col("r.at").alias("b"), F.col("l.at").alias("a"), _apart("l", "r").cast("int").alias("apart")).distinct()
 
 
-def _verified(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _words(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(at, words) of the sets of the pairs."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().join(sets.select("at", "set", F.col("first.mark").alias("mark")), "at")
+    return stored(words_of_sets(docs, text, stored(asked, "asked-lines")), "words-of-lines")
+
+
+def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (b, a) whose words are alike."""
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().join(sets.select("at", "set"), "at"), "asked-lines")
-    words = stored(words_of_sets(docs, text, asked), "words-of-lines")
     both = pairs.join(words.select(F.col("at").alias("a"), F.col("words").alias("wa")), "a").join(
         words.select(F.col("at").alias("b"), F.col("words").alias("wb")), "b"
     )
@@ -311,10 +322,14 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame) ->
     return both.filter(9 * overlap >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
 
 
-def _settled(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(at): the later sets ``b`` whose most promising earlier partner ``a`` is verified."""
-    best = pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
-    return stored(_verified(docs, text, stored(best, "best-partners"), sets).select(F.col("b").alias("at")).distinct(), "settled-lines")
+def _best(pairs: DataFrame) -> DataFrame:
+    """(b, a): the most promising earlier partner ``a`` of each later set ``b``."""
+    return stored(pairs.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")), "best-partners")
+
+
+def _settled(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(at): the later sets of the pairs that are verified."""
+    return stored(_verified(pairs, words).select(F.col("b").alias("at")).distinct(), "settled-lines")
 
 
 def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame:
@@ -329,14 +344,16 @@ def similar_to_earlier(docs: DataFrame, sets: DataFrame, text: str) -> DataFrame
     found = []
     near = stored(_neighbours(sets), "near-lines")
     if not near.isEmpty():
-        found.append(_settled(docs, text, near, sets))
+        best = _best(near)
+        found.append(_settled(best, _words(docs, text, best, sets)))
         done = found[0].withColumn("done", F.lit(True))
         sets = sets.join(done, "at", "left").withColumn("open", F.col("done").isNull()).drop("done")
     pairs = stored(_pairs(_entries(sets, "open")), "line-pairs")
-    found.append(_settled(docs, text, pairs, sets))
+    words = _words(docs, text, pairs, sets)
+    found.append(_settled(_best(pairs), words))
     rest = stored(pairs.join(reduce(DataFrame.union, found).withColumnRenamed("at", "b"), "b", "left_anti"), "open-pairs")
     if not rest.isEmpty():
-        found.append(_verified(docs, text, rest.select("b", "a"), sets).select(F.col("b").alias("at")))
+        found.append(_verified(rest.select("b", "a"), words).select(F.col("b").alias("at")))
     return reduce(DataFrame.union, found).distinct()
 
 
@@ -359,10 +376,10 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = stored(ordered, "line-sets")
     gone = similar_to_earlier(docs, sets, text).withColumn("gone", F.lit(True))
     verdict = sets.select("at", "set", "first").join(gone, "at", "left").drop("at")
-    marked = lines.select("doc", "mark", "line", "set").join(verdict, "set")
+    marked = lines.select("doc", "mark", "line", "n_lines", "set").join(verdict, "set")
     repeat = F.coalesce("gone", F.lit(False)) | (F.col("first") < place)
     return marked.groupBy("doc", "mark").agg(
-        F.count_distinct("line").alias("n_lines"), F.array_sort(F.collect_set(F.when(repeat, F.col("line")))).alias("removed")
+        F.max("n_lines").cast("long").alias("n_lines"), F.array_sort(F.collect_set(F.when(repeat, F.col("line")))).alias("removed")
     )
 
 

@@ -248,6 +248,28 @@ def test_repeated_lines_equal_all_pairs(spark, monkeypatch, salts):
     assert sum(map(len, want.values())) > 40
 
 
+def test_words_of_pairs_are_read_once(spark, monkeypatch):
+    """Texts are read for the neighbours and for the pairs, not again for the pairs that stay open; only texts that hold an asked set."""
+    calls = {"words_of_sets": 0, "_verified": 0}
+    for name in calls:
+
+        def counted(*args, name=name, plain=getattr(lines, name)):
+            calls[name] += 1
+            return plain(*args)
+
+        monkeypatch.setattr(lines, name, counted)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(120):
+        w = [f"w{k}" for k in range(30)]
+        for _ in range(rng.randrange(0, 7)):
+            w[rng.randrange(30)] = f"x{rng.randrange(40)}"
+        texts.append("\n".join([" ".join(w), "its own " + words(rng, 12, 5000)]))
+    got = {r.doc: (r.n_lines, list(r.removed)) for r in lines.repeated_lines(docs(spark, texts)).collect()}
+    assert got == {i: (2, g) for i, g in plain_repeats(texts).items()}
+    assert calls == {"words_of_sets": 2, "_verified": 3}
+
+
 def test_line_dedup_texts_and_columns(spark):
     texts = ["first line of it\nsecond line\n\nthird", "second line\nfresh words\n", "third", None, "", "fresh words"]
     table = docs(spark, texts).withColumn("removed", F.lit("x")).withColumn("doc", F.lit(3)).withColumn("row", F.lit(2.5))
