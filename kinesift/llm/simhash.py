@@ -106,7 +106,8 @@ def links(marks: DataFrame, bits: int = LINK_BITS) -> DataFrame:
     if not 0 <= bits <= LINK_BITS:
         raise ValueError("two halves with one differing bit each cover three bits at most")
     home, near = anchors(marks)
-    h, v = home.alias("h"), near.alias("v")
+    # A side has up to 32 rows for one of ``marks``, which Spark's estimate does not know: never broadcast it.
+    h, v = home.alias("h"), near.hint("merge").alias("v")
     close = (F.col("h.fp") < F.col("v.fp")) & (F.bit_count(F.col("h.fp").bitwiseXOR(F.col("v.fp"))) <= bits)
     return h.join(v, (F.col("h.anchor") == F.col("v.anchor")) & close).select(F.col("h.fp").alias("a"), F.col("v.fp").alias("b"))
 

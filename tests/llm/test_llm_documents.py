@@ -86,6 +86,13 @@ def test_anchors_lose_no_link(spark):
     assert found == want and len(want) >= 120
 
 
+def test_anchors_are_not_broadcast(spark, tmp_path):
+    """Small fingerprints have many anchors: Spark sizes a side by the former."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/marks")
+    plan = simhash.links(spark.read.parquet(f"{tmp_path}/marks"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = {(r.node, r.root) for r in components(chain).collect()}
