@@ -116,7 +116,7 @@ def trend_segments(signal: Column, spread: Column, parts: int = 3) -> Column:
 def strongest_pair(centred: Column, channels: int) -> Column:
     """STRUCT<strength, order, r, i, j> of the channel pair with the largest |Pearson r|; NULL if there is none.
 
-    Channels with (population) deviation up to 1e-8 take no part; the first pair wins a tie.
+    Channels with (population) deviation up to 1e-8 take no part; the first pair wins a tie, and what differs by rounding only is one.
     """
     if channels < 2:
         return F.lit(None).cast("struct<strength:double,order:int,r:double,i:int,j:int>")
@@ -139,8 +139,12 @@ def strongest_pair(centred: Column, channels: int) -> Column:
     def pairs(units: Column) -> Column:
         return F.filter(F.array(*[one(units, i, j) for i in range(channels) for j in range(i + 1, channels)]), lambda p: p["r"].isNotNull())
 
+    def first_of_strongest(known: Column) -> Column:
+        least = F.array_max(F.transform(known, lambda p: p["strength"])) * (1.0 - TIE)
+        return once(least, lambda low: F.get(F.filter(known, lambda p: p["strength"] >= low), F.lit(0)))
+
     known = once(F.transform(centred, to_unit), pairs)
-    return once(known, lambda k: F.when(~F.exists(k, lambda p: F.isnan(p["r"])), F.array_max(k)))
+    return once(known, lambda k: F.when(~F.exists(k, lambda p: F.isnan(p["r"])), first_of_strongest(k)))
 
 
 def window_statistics(

@@ -1,5 +1,7 @@
 """Steps that several queries share compute an expression once."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,19 @@ def test_signal_measures_are_not_repeated_inside_lambdas(spark):
     assert plan_of(trend).count("sqrt") == 1 and len(trend.first()["t"]) == 3
 
 
+def test_first_of_equally_strong_pairs_whatever_the_rounding(spark):
+    """Channels with two values that change together: |r| is 1 for every pair, but for rounding."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(200):
+        at = rng.randint(1, 7)
+        channels = [[a] * at + [b] * (8 - at) for a, b in ((round(rng.uniform(0, 100), 2), round(rng.uniform(0, 100), 2)) for _ in range(3))]
+        rows.append(([[x - sum(c) / 8 for x in c] for c in channels],))
+    pairs = spark.createDataFrame(rows, "c array<array<double>>").select("c", signals.strongest_pair(F.col("c"), 3).alias("p")).collect()
+    assert {(r.p["i"], r.p["j"]) for r in pairs} == {(0, 1)}
+    assert all((r.p["r"] > 0) == (r.c[0][0] * r.c[1][0] > 0) for r in pairs)
+
+
 def test_features_are_computed_once_and_null_rows_left_out(spark):
     seen = spark.sparkContext.accumulator(0)
 
