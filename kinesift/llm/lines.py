@@ -14,11 +14,13 @@ Sets are numbered in the order of their first lines, so two of them tell by thei
 
 Word counts are kept for hashed words in a table of fixed size: sharing a counter can make a word seem less
 rare than it is, which costs candidates, never results. Words are compared by 44 bits of a 64-bit hash.
+Sets with a word that many lines have meet by bands of length besides, as only lengths within 4 to 5 can be alike.
 Groups of many similar lines are met in two steps, see ``similar_to_earlier``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,6 +34,8 @@ from kinesift.llm.text import bit_table, may_hold, parts, stored
 #: Bits of the word hash, and of the number of its counter.
 WORD_BITS, COUNTER_BITS = 44, 22
 SLICE = 1 << 16
+#: Words that more lines than this have are met by bands of length.
+FEW = 64
 #: Bytes of text whose words are found at once.
 CHUNK = 1 << 18
 #: Shares that the sets of a word are dealt into for the first step, and how many sets before it each meets there.
@@ -132,10 +136,15 @@ def _counter(word: np.ndarray) -> np.ndarray:
     return (word >> np.uint64(WORD_BITS - COUNTER_BITS)).astype(np.int64)
 
 
+def _code(counts: np.ndarray) -> np.ndarray:
+    """Counts in 12 bits and in their order: exact up to 2,048, in steps of 1.1 % from there to any number of lines."""
+    return np.where(counts <= 2048, counts, np.minimum(4095, 2048 + np.floor(64 * np.log2(np.maximum(counts, 2048) / 2048)))).astype(np.uint16)
+
+
 def word_counts(docs: DataFrame, text: str) -> np.ndarray:
-    """In how many lines each counter's words occur, up to a ceiling: a table of 2**COUNTER_BITS numbers.
+    """In how many lines each counter's words occur, as a code of 12 bits: a table of 2**COUNTER_BITS numbers.
 
-    Every task counts its lines (up to 255 each) and sends its table in slices; the slices are added up in parallel.
+    Every task counts its lines (up to 65,535 each) and sends its table in slices; the slices are added up in parallel.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,16 +158,16 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
         if held:
             total += np.bincount(np.concatenate(waiting), minlength=len(total))
         if total.any():
-            slices = np.minimum(total, 255).astype(np.uint8).reshape(-1, SLICE)
+            slices = np.minimum(total, 65535).astype(np.uint16).reshape(-1, SLICE)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array([p.tobytes() for p in slices], pa.binary())], ["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(raw, np.uint8).astype(np.int64)
+                total[k] = total.get(k, 0) + np.frombuffer(raw, np.uint16).astype(np.int64)
         for k, t in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(t, 4095).astype(np.uint16).tobytes()], pa.binary())], ["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_code(t).tobytes()], pa.binary())], ["slice", "counts"])
 
     shape = "slice int, counts binary"
     sent = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, shape)
@@ -168,12 +177,12 @@ def word_counts(docs: DataFrame, text: str) -> np.ndarray:
     return table
 
 
-LINE_SHAPE = "doc {key}, mark long, line int, n_lines int, set long, n int, p0 long, p1 long, prefix array<int>"
+LINE_SHAPE = "doc {key}, mark long, line int, n_lines int, set long, n int, p0 long, p1 long, rare int, prefix array<int>"
 
 
 def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> DataFrame:
-    """Every line with a word: its place, how many its text has, the hash of its word set, their number, their parity over 128 bits, and
-    the prefix words that other lines may share, rarest first."""
+    """Every line with a word: its place, how many its text has (0 but at the first of them), the hash of its word set, their number, their parity over 128 bits, and
+    the prefix words that other lines may share, rarest first; ``rare`` of them are in few lines."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     shape = LINE_SHAPE.format(key=docs.schema[key].dataType.simpleString())
 
@@ -197,15 +206,18 @@ def with_prefixes(docs: DataFrame, key: str, text: str, counts: np.ndarray) -> D
             prefix = n - (4 * n + 4) // 5 + 1
             use = (np.arange(len(word)) - start[place] < prefix[place]) & (often > 1)
             kept = np.bincount(place[use], minlength=len(n))
+            rare = np.bincount(place[use & (often <= FEW)], minlength=len(n)).astype(np.int32)
             single = np.uint64(1) << (word & np.uint64(63))
             half = (word >> np.uint64(6)) & np.uint64(1)
             parity = [pa.array(np.bitwise_xor.reduceat(np.where(half == k, single, np.uint64(0)), start).view(np.int64)) for k in (0, 1)]
             ends = np.concatenate(([0], np.cumsum(kept))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((order[use] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             at = pa.array(found["doc"])
+            first = np.concatenate(([True], found["doc"][1:] != found["doc"][:-1]))
+            lines_of = np.where(first, np.bincount(found["doc"])[found["doc"]], 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(np.bincount(found["doc"])[found["doc"]].astype(np.int32)), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), *parity, lists],
-                ["doc", "mark", "line", "n_lines", "set", "n", "p0", "p1", "prefix"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found["line"].astype(np.int32)), pa.array(lines_of), pa.array(_set_ids(found)), pa.array(n.astype(np.int32)), *parity, pa.array(rare), lists],
+                ["doc", "mark", "line", "n_lines", "set", "n", "p0", "p1", "rare", "prefix"],
             )
 
     return _keyed(docs, key, text).mapInArrow(emit, shape)
@@ -247,9 +259,8 @@ def _apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{p}").bitwiseXOR(F.col(f"{b}.{p}"))) for p in ("p0", "p1")), F.lit(0))
 
 
-def _possible(a: str, b: str) -> Column:
+def _possible(a: str, b: str, n1: Column, n2: Column, p1: Column, p2: Column) -> Column:
     """Length, position and parity filters for Jaccard 0.8: overlap at least 4/9 of both sizes together."""
-    n1, n2, p1, p2 = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
     return (
         (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2))
         & (9 * F.least(n1 - p1, n2 - p2) >= 4 * (n1 + n2))
@@ -263,20 +274,39 @@ def _skipped() -> Column:
 
 
 def _entries(sets: DataFrame, *more: str) -> DataFrame:
-    """A row for each shareable prefix word of each set; ``pos`` is its place in the set's order."""
-    every = sets.select("at", "n", "p0", "p1", *more, _skipped().alias("_s"), F.posexplode("prefix").alias("_p", "word"))
-    return every.select("word", "at", "n", "p0", "p1", *more, (F.col("_p") + F.col("_s")).alias("pos"))
+    """A row for each shareable prefix word of each set; ``pos`` is its place in the set's order,
+    ``rare`` whether few lines have it."""
+    every = sets.select("at", "n", "p0", "p1", *more, F.col("rare").alias("_r"), _skipped().alias("_s"), F.posexplode("prefix").alias("_p", "word"))
+    return every.select("word", "at", "n", "p0", "p1", *more, (F.col("_p") + F.col("_s")).alias("pos"), (F.col("_p") < F.col("_r")).alias("rare"))
+
+
+def _band(n: Column) -> Column:
+    """The band of a length: lengths within 4 to 5 are in one band or in two that follow each other."""
+    return F.floor(F.log(n) / F.lit(math.log(1.25))).cast("int")
 
 
 def _pairs(entries: DataFrame) -> DataFrame:
-    """(b, a, apart): open sets with the earlier ones that they may be similar to. Both sides are the same rows, shuffled
-    once: the conditions on either side must not be moved below the exchange."""
-    l, r = entries.alias("l"), entries.alias("r")
-    smaller = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.at") < F.col("r.at")))
-    short = F.col("l.pos") < F.col("l.n") - F.ceil(F.col("l.n") * 8 / 9) + 1
-    first = F.col("l.at") < F.col("r.at")
-    waits = F.when(first, F.col("r.open")).otherwise(F.col("l.open"))
-    found = l.join(r, (F.col("l.word") == F.col("r.word")) & smaller & short & waits & _possible("l", "r"))
+    """(b, a, apart): open sets with the earlier ones that they may be similar to.
+
+    A word of few lines brings all its sets together; of any other word, the smaller set goes to the bands of the lengths
+    that it may be similar to. Rows multiply, so neither side is ever broadcast. Word and band are one number: Spark
+    sorts by one number without comparing rows.
+    """
+    low, high = (_band(x) + 1 for x in (F.col("n"), F.floor(F.col("n") * 5 / 4)))
+    bands = F.when(F.col("rare"), F.array(F.lit(0))).otherwise(F.sequence(low, high))
+    meet = lambda band: F.shiftleft(F.col("word").cast("long"), 8).bitwiseOR(band).alias("meet")
+    # Length, place and state are shuffled as one number, too.
+    packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.col("open").cast("long"))
+    kept = ["at", packed.alias("x"), "p0", "p1"]
+    l = entries.select("*", F.explode(bands).alias("band")).select(meet(F.col("band")), *kept).alias("l")
+    r = entries.select(meet(F.when(F.col("rare"), 0).otherwise(low)), *kept).hint("merge").alias("r")
+    n1, n2 = (F.shiftright(F.col(f"{side}.x"), 32) for side in "lr")
+    p1, p2 = (F.shiftright(F.col(f"{side}.x"), 1).bitwiseAND(F.lit((1 << 31) - 1)) for side in "lr")
+    smaller = (n1 < n2) | ((n1 == n2) & (F.col("l.at") < F.col("r.at")))
+    short = p1 < n1 - F.ceil(n1 * 8 / 9) + 1
+    later = F.when(F.col("l.at") < F.col("r.at"), F.col("r.x")).otherwise(F.col("l.x"))
+    waits = later.bitwiseAND(F.lit(1)) == 1
+    found = l.join(r, (F.col("l.meet") == F.col("r.meet")) & smaller & short & waits & _possible("l", "r", n1, n2, p1, p2))
     return found.select(
         F.greatest("l.at", "r.at").alias("b"), F.least("l.at", "r.at").alias("a"), _apart("l", "r").cast("int").alias("apart")
     ).distinct()
@@ -304,7 +334,8 @@ def _neighbours(sets: DataFrame) -> DataFrame:
     w = Window.partitionBy("word", "salt").orderBy("r.at")
     near = both.select("r", F.first("hub").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("l0"), *[F.lag("r", k).over(w).alias(f"l{k}") for k in range(1, NEIGHBOURS + 1)])
     each = near.filter("r is not null").select("r", F.explode(F.array(*[f"l{k}" for k in range(NEIGHBOURS + 1)])).alias("l")).filter("l.at < r.at")
-    return each.filter(_possible("l", "r")).select(F.col("r.at").alias("b"), F.col("l.at").alias("a"), _apart("l", "r").cast("int").alias("apart")).distinct()
+    sizes = [F.col(c) for c in ("l.n", "r.n", "l.pos", "r.pos")]
+    return each.filter(_possible("l", "r", *sizes)).select(F.col("r.at").alias("b"), F.col("l.at").alias("a"), _apart("l", "r").cast("int").alias("apart")).distinct()
 
 
 def _words(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -369,7 +400,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     grouped = lines.groupBy("set").agg(
         F.min(place).alias("first"),
         F.count(F.lit(1)).alias("copies"),
-        *[F.first(c).alias(c) for c in ("n", "p0", "p1", "prefix")],
+        *[F.first(c).alias(c) for c in ("n", "p0", "p1", "rare", "prefix")],
     )
     # Numbered by range and place in it: in the order of the first lines.
     ordered = grouped.repartitionByRange("first").sortWithinPartitions("first").withColumn("at", F.monotonically_increasing_id())
@@ -378,7 +409,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     verdict = sets.select("at", "set", "first").join(gone, "at", "left").drop("at")
     marked = lines.select("doc", "mark", "line", "n_lines", "set").join(verdict, "set")
     repeat = F.coalesce("gone", F.lit(False)) | (F.col("first") < place)
-    return marked.groupBy("doc", "mark").agg(
+    # The first line of a text counts its lines; of the others only those that repeat go on.
+    return marked.filter(repeat | (F.col("n_lines") > 0)).groupBy("doc", "mark").agg(
         F.max("n_lines").cast("long").alias("n_lines"), F.array_sort(F.collect_set(F.when(repeat, F.col("line")))).alias("removed")
     )
 

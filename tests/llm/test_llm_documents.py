@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -255,6 +256,44 @@ def test_repeated_lines_equal_all_pairs(spark, monkeypatch, salts):
     assert sum(map(len, want.values())) > 40
 
 
+@pytest.mark.parametrize("few", [0, 6])
+def test_bands_of_length_lose_no_pair(spark, monkeypatch, few):
+    """Every word, or every word of more than six lines, is met by bands of length."""
+    monkeypatch.setattr(lines, "FEW", few)
+    rng = random.Random(14)
+    texts = []
+    for n in (*range(1, 14), 16, 20, 25, 31, 40, 50):
+        w = words(rng, n, 60).split()
+        texts += [" ".join(w), " ".join(w[: -(-4 * n // 5)]), " ".join(w[: n // 2]), " ".join([*w, *[f"more{n}x{i}" for i in range(n // 4)]])]
+    rng.shuffle(texts)
+    got = {r.doc: list(r.removed) for r in lines.repeated_lines(docs(spark, texts)).collect()}
+    want = plain_repeats(texts)
+    assert {i: g for i, g in got.items() if g} == {i: g for i, g in want.items() if g} and sum(map(len, want.values())) > 20
+
+
+def test_sets_of_other_lengths_do_not_meet(spark, monkeypatch):
+    """One word in many lines: its sets meet by word and band, so far fewer pairs of rows than all are looked at."""
+    monkeypatch.setattr(lines, "FEW", 0)
+    rows = [(i, 4 + i, 0, 0, True, 0, [7]) for i in range(400)]
+    sets = spark.createDataFrame(rows, "at long, n int, p0 long, p1 long, open boolean, rare int, prefix array<int>")
+    pairs = lines._pairs(lines._entries(sets, "open"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [meet#" in plan and "Broadcast" not in plan
+    entries = lines._entries(sets.withColumn("p0", F.lit(0)), "open").withColumn("pos", F.lit(0))
+    close = {(r.b, r.a) for r in lines._pairs(entries).collect()}
+    assert close == {(j, i) for i in range(400) for j in range(i + 1, 400) if 5 * (4 + i) >= 4 * (4 + j)}
+
+
+def test_counts_of_very_frequent_words_differ(spark):
+    """Words are ordered by rarity however many lines have them; counts of 12 bits are exact where words are rare."""
+    texts = ["\n".join(f"a{k % 9000} " + ("b " if k % 3 else "") + "c" for k in range(i, 30000, 10)) for i in range(10)]
+    counts = lines.word_counts(docs(spark, texts), "text")
+    word = lines.LineReader().lines(pa.array(["b", "c"]))["word"]
+    b, c = counts[lines._counter(word)].tolist()
+    assert b < c < 4096
+    assert lines._code(np.arange(2049)).tolist() == list(range(2049)) and (np.diff(lines._code(2 ** np.arange(11, 40)).astype(int)) > 0).all()
+
+
 def test_words_of_pairs_are_read_once(spark, monkeypatch):
     """Texts are read for the neighbours and for the pairs, not again for the pairs that stay open; only texts that hold an asked set."""
     calls = {"words_of_sets": 0, "_verified": 0}
