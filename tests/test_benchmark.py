@@ -208,6 +208,24 @@ def test_classifier_learns_the_match(hard):
         assert right / len(rows) > 0.9 and len(rows[0]["support_probabilities"]) == 6
 
 
+def test_forest_trains_on_written_rows(hard, monkeypatch):
+    seen = []
+
+    class Trainer:
+        def __init__(self, **given):
+            self.given = given
+
+        def fit(self, rows):
+            seen.append((self.given["cacheNodeIds"], rows._jdf.queryExecution().optimizedPlan().toString()))
+
+    monkeypatch.setattr(evaluate, "RandomForestClassifier", Trainer)
+    for bound in (1 << 22, 0):
+        monkeypatch.setattr(evaluate, "NODE_IDS", bound)
+        evaluate.fit_statement_classifier(bm.statements(hard), "random_forest")
+    assert [kept for kept, _ in seen] == [True, False]
+    assert all("parquet" in plan and "explode" not in plan.lower() for _, plan in seen)
+
+
 def test_probability_score_skips_unknown(spark):
     probs = F.create_map(F.lit("intensity"), F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5)))
     claims = F.struct(*[F.lit(v).cast("string").alias(f) for f, v in zip(ph.FIELDS, ("high", "weak", None, None, None))])
